@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyseq.llm import minhash_dedup
+from tallyseq.llm import language_id, minhash_dedup, packing, quality_rules, secret_ledger
 from tallyseq.llm.common import read
 
 
@@ -12,5 +12,21 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.digest(read(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1"))
+
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op4_language_id": op4_language_id, "op6_packing": op6_packing, "op8_secret_ledger": op8_secret_ledger, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
