@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyseq.llm import language_id, minhash_dedup, packing, quality_rules, secret_ledger
+from tallyseq.llm import bloom_lm, bpe, language_id, minhash_dedup, packing, quality_rules, secret_ledger
 from tallyseq.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -24,9 +28,15 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.digest(read(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest(bpe.encode_and_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op4_language_id": op4_language_id, "op6_packing": op6_packing, "op8_secret_ledger": op8_secret_ledger, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_bloom_lm": op2_bloom_lm, "op4_language_id": op4_language_id, "op6_packing": op6_packing, "op8_secret_ledger": op8_secret_ledger, "op9_bpe": op9_bpe, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
