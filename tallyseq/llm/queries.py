@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyseq.llm import bloom_lm, bpe, language_id, minhash_dedup, packing, quality_rules, secret_ledger
+from tallyseq.llm import bloom_lm, bpe, language_id, minhash_dedup, packing, quality_rules, recompression, secret_ledger
 from tallyseq.llm.common import read
 
 
@@ -20,6 +20,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.digest(recompression.without_repeats(read(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_bloom_lm": op2_bloom_lm, "op4_language_id": op4_language_id, "op6_packing": op6_packing, "op8_secret_ledger": op8_secret_ledger, "op9_bpe": op9_bpe, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_bloom_lm": op2_bloom_lm, "op4_language_id": op4_language_id, "op5_recompression": op5_recompression, "op6_packing": op6_packing, "op8_secret_ledger": op8_secret_ledger, "op9_bpe": op9_bpe, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
