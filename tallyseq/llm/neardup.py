@@ -2,11 +2,12 @@
 
 The input is one row per distinct set, ``classes(id long, n long, sig binary)``; ``sig``
 holds ``bands * rows`` 32-bit minima. Buckets of equal bands propose pairs without
-writing out all pairs of a bucket: first every member meets one pivot of its bucket;
-then, only in buckets whose members still belong to different components, 8, 64, 512 ...
-pivots meet the members of other components, until one component is left or every
-member has been a pivot. A bucket is thus never collected, and every pair that shares a
-bucket is either checked or already known to be connected.
+writing out all pairs of a bucket: first every member meets one pivot of its bucket, the one
+with the smallest share of shingles that no other set has; then, only in buckets whose members still belong to
+different components, 8, 64, 512 ... pivots meet the members of other components, until one component is left or every
+member has been a pivot. Pairs that such shingles alone keep below the threshold are never formed. A
+bucket is thus never collected, and every pair that shares a bucket is checked, provably too far apart
+or already known to be connected.
 """
 
 from __future__ import annotations
@@ -89,6 +90,16 @@ def band_keys(bands: int, rows: int) -> Callable:
     return keys
 
 
+def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (id, shingles) to one (value, id) for each shingle."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            flat = np.frombuffer(b"".join(part.column("shingles").to_pylist()), np.int64)
+            sizes = np.array([len(x.as_buffer()) // 8 for x in part.column("shingles")])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), sizes))], ["value", "id"])
+
+
 def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int, rows: int, miss: float = 1e-9, batch: int = 16) -> DataFrame:
     """Components (id, component) of the classes that have a link.
 
@@ -96,11 +107,14 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     share a bucket. Empty input, or no bucket of two, gives no rows.
     """
     banded = classes.select("id", "n", "sig").mapInArrow(band_keys(bands, rows), "key long, id long, n long")
-    many = banded.groupBy("key").agg(F.count("*").alias("size"), F.min_by("id", F.xxhash64("key", "id")).alias("pivot")).where("size > 1")
+    many = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(banded.join(many, "key"))
     ids = members.select("id").distinct()
     sets = cut(sets_of(ids))
     sigs = cut(classes.select("id", "sig").join(ids, "id", "left_semi"))
+    alone = sets.mapInArrow(values, "value long, id long").groupBy("value").agg(F.count("*").alias("holders"), F.min("id").alias("id")).where("holders = 1")
+    most = ids.join(alone.groupBy("id").agg(F.count("*").alias("own")), "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"))
+    members = cut(members.join(most, "id").select("key", "id", "size", "n", (F.col("n") - F.col("own")).alias("shared")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -111,19 +125,21 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
             pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
         return pairs.select("a", "b", "set_a", "set_b").mapInArrow(linked(percent), "a long, b long")
 
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    sizes = sets.select("id").join(members.select("id", "n").distinct(), "id")
-    first = members.where("id <> pivot").join(sizes.select(F.col("id").alias("pivot"), F.col("n").alias("m")), "pivot").where(fits)
-    found = cut(verified(first.select(F.col("pivot").alias("x"), F.col("id").alias("y"))))
+    # an intersection holds no more than what either set shares with any other
+    fits = f"100 * least(shared, shared_x) >= {percent} * (n + n_x - least(shared, shared_x))"
+    of_x = [F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("shared").alias("shared_x")]
+    plain = F.struct(((F.col("n") - F.col("shared")) / F.col("n")).alias("own"), F.xxhash64("key", "id").alias("by"))
+    first = members.groupBy("key").agg(F.min_by(F.struct(*of_x), plain).alias("pivot")).select("key", "pivot.*")
+    found = cut(verified(members.join(first, "key").where("id <> x").where(fits).select("x", F.col("id").alias("y"))))
     pivots = 8
     while True:
         labels = components(found)
-        open_ = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component", "pivot")
+        open_ = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         active = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         open_ = cut(open_.join(active, "key"))
         chance = (F.xxhash64("key", "id", F.lit(1)).bitwiseAND((1 << 30) - 1) / (1 << 30)) * F.col("size")
-        picked = open_.where(chance < pivots).where(chance >= (pivots // 8 if pivots > 8 else 0))
-        pairs = open_.select("key", F.col("id").alias("y"), "n", F.col("label").alias("of_y")).join(picked.select("key", F.col("id").alias("x"), F.col("n").alias("m"), F.col("label").alias("of_x")), "key").where("of_x <> of_y").where(fits)
+        picked = open_.where(chance < pivots).where(chance >= (pivots // 8 if pivots > 8 else 0)).select("key", *of_x, F.col("label").alias("label_x"))
+        pairs = open_.join(picked, "key").where("label <> label_x").where(fits).select("x", F.col("id").alias("y"))
         found = cut(found.unionByName(verified(pairs)).distinct())
         left = open_.where(F.col("size") > pivots).limit(1).count()
         if not left:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyseq.llm import bloom_lm, bpe, language_id, minhash_dedup, packing, quality_rules, recompression, secret_ledger
+from tallyseq.llm import bloom_lm, bpe, language_id, minhash_dedup, packing, quality_rules, recompression, secret_ledger, vp_tree
 from tallyseq.llm.common import read
 
 
@@ -16,6 +17,11 @@ def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(read(spark, sf_dir, "documents"))
 
 
+def op3_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return vp_tree.nearest(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "v"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -42,5 +48,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_bloom_lm": op2_bloom_lm, "op4_language_id": op4_language_id, "op5_recompression": op5_recompression, "op6_packing": op6_packing, "op8_secret_ledger": op8_secret_ledger, "op9_bpe": op9_bpe, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_bloom_lm": op2_bloom_lm, "op3_vp_tree": op3_vp_tree, "op4_language_id": op4_language_id, "op5_recompression": op5_recompression, "op6_packing": op6_packing, "op8_secret_ledger": op8_secret_ledger, "op9_bpe": op9_bpe, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
