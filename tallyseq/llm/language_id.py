@@ -130,35 +130,57 @@ def words_of(text: str) -> list[str]:
     return words if max(map(len, words), default=0) <= PIECE else [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
 
 
+class Scorer:
+    """Scores texts with one model, remembering up to CACHE distinct words."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.known: dict[str, int] = {}
+        self.table = np.empty((0, len(model.languages)), np.float32)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple]:
+        """lang_pred, score, cross_entropy, accepted of each text."""
+        model, out = self.model, []
+        split = [words_of(t) if t else [] for t in texts]
+        if len(self.known) > CACHE:
+            self.known, self.table = {}, self.table[:0]
+        new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.known))
+        if new and model.languages:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, score_words(model, new)])
+        for text, ws in zip(texts, split, strict=True):
+            if not ws or not model.languages or not any(map(str.isalpha, text)):
+                out.append(("und", 0.0, None, False))
+                continue
+            n = sum(map(len, ws)) + len(ws)
+            total = self.table[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64)
+            best = int(np.argmax(total))
+            entropy = -float(total[best]) / n
+            out.append((model.languages[best], 1 / float(np.exp(np.maximum(total - total[best], -700)).sum()), entropy, bool(entropy <= model.limit[best] * (1 + 2 / np.sqrt(n)))))
+        return out
+
+
 def predicted(shared):
-    """mapInArrow function: adds the prediction of each text."""
+    """mapInArrow function: the prediction of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in batches:
+            rows = [r for at in range(0, b.num_rows, 512) for r in scorer(b.column("text").slice(at, 512).to_pylist())]
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("held_out"), *columns], ["doc_id", "lang", "held_out", "lang_pred", "score", "cross_entropy", "accepted"])
+
+    return run
+
+
+def passing(shared):
+    """mapInArrow function: the rows whose text is accepted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        known: dict[str, int] = {}
-        table = np.empty((0, len(model.languages)), np.float32)
+        scorer = Scorer(shared.value)
         for b in batches:
-            names, scores, entropies, accepted = [], [], [], []
-            for at in range(0, b.num_rows, 512):
-                texts = b.column("text").slice(at, 512).to_pylist()
-                split = [words_of(t) if t else [] for t in texts]
-                if len(known) > CACHE:
-                    known, table = {}, table[:0]
-                new = list(dict.fromkeys(w for ws in split for w in ws if w not in known))
-                if new:
-                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                    table = np.concatenate([table, score_words(model, new)])
-                for text, ws in zip(texts, split, strict=True):
-                    if not ws or not model.languages or not any(map(str.isalpha, text)):
-                        names.append("und"), scores.append(0.0), entropies.append(None), accepted.append(False)
-                        continue
-                    n = sum(map(len, ws)) + len(ws)
-                    total = table[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64)
-                    best = int(np.argmax(total))
-                    p = 1 / float(np.exp(np.maximum(total - total[best], -700)).sum())
-                    names.append(model.languages[best]), scores.append(p), entropies.append(-float(total[best]) / n)
-                    accepted.append(bool(entropies[-1] <= model.limit[best] * (1 + 2 / np.sqrt(n))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(accepted, pa.bool_())], ["doc_id", "lang", "held_out", "lang_pred", "score", "cross_entropy", "accepted"])
+            good = [r[3] for at in range(0, b.num_rows, 512) for r in scorer(b.column("text").slice(at, 512).to_pylist())]
+            yield b.filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -225,3 +247,10 @@ def identify(docs: DataFrame, folds: int = 3, held: int = 1, **settings) -> Data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", held_out.alias("held_out"), "text")
     model = train(rows.where("not held_out").select("doc_id", "text", "lang"), **settings)
     return rows.mapInArrow(predicted(docs.sparkSession.sparkContext.broadcast(model)), SCHEMA).drop("lang")
+
+
+def accepted(docs: DataFrame, folds: int = 3, held: int = 1, **settings) -> DataFrame:
+    """The rows of ``docs(doc_id, text, lang, ...)`` that identify() accepts, with the model it would train; columns as they were."""
+    held_out = F.coalesce(fold("doc_id", folds) == held, F.lit(False))
+    model = train(docs.where(~held_out).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), **settings)
+    return docs.mapInArrow(passing(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)

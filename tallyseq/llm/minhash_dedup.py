@@ -89,3 +89,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: i
     out = rows_.select("doc_id", "n_shingles", "print").join(per_class, "print", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(docs: DataFrame, **settings) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with one row of each component, that of the smallest doc_id; columns as they were.
+
+    Rows that are linked with nothing stay, also those without words. Of rows with equal doc_ids one stays, except that
+    rows with a null doc_id all stay.
+    """
+    ids = near_duplicates(docs, **settings).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = docs.where("doc_id is not null")
+    one = known.join(ids, known["doc_id"].cast("long") == ids["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 
+def chars(column: str) -> Column:
+    return F.length(column).cast("long")
+
+
 def boundaries(histogram: np.ndarray, buckets: int) -> list[int]:
     """Upper lengths of at most ``buckets`` buckets with the least total padding.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyseq.llm import bloom_lm, bpe, language_id, minhash_dedup, packing, quality_rules, recompression, secret_ledger, vp_tree
+from tallyseq.llm import bloom_lm, bpe, language_id, line_dedup, minhash_dedup, packing, quality_rules, recompression, secret_ledger, vp_tree
 from tallyseq.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.digest(read(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_bloom_lm": op2_bloom_lm, "op3_vp_tree": op3_vp_tree, "op4_language_id": op4_language_id, "op5_recompression": op5_recompression, "op6_packing": op6_packing, "op8_secret_ledger": op8_secret_ledger, "op9_bpe": op9_bpe, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_bloom_lm": op2_bloom_lm, "op3_vp_tree": op3_vp_tree, "op4_language_id": op4_language_id, "op5_recompression": op5_recompression, "op6_packing": op6_packing, "op7_line_dedup": op7_line_dedup, "op8_secret_ledger": op8_secret_ledger, "op9_bpe": op9_bpe, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
