@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyseq.functions import dna
 from tallyseq.operators.barcode import small
+from tallyseq.operators.common import cut
 
 HIT = ["read_id", "feature_index", "hamming", "match_position", "matched_sequence"]
 
@@ -125,17 +126,18 @@ def cascade(reads: DataFrame, features: DataFrame, offset: int | None = None, m:
         return exhaustive(reads, features, m, max_n)
     if reach >= 0:
         return in_window(reads, features, offset, reach, m, max_n)
-    left = lambda found: reads.join(found.select("read_id"), "read_id", "left_anti")
-    first = fuzzy_at(reads, features, offset, 0, max_n).select(*HIT)
-    for shift in (1, -1):
-        if offset + shift >= 0:
-            first = first.unionByName(exact_at(left(first), features, offset + shift).select(*HIT))
-    anchored = fuzzy_at(left(first), features, offset, m, max_n).select(*HIT) if m else first.limit(0)
-    # the search everywhere only beats an anchored hit if it is strictly closer
-    wide = exhaustive(left(first), features, m, max_n).select(*HIT)
-    both = anchored.withColumn("rank", F.lit(0)).unionByName(wide.withColumn("rank", F.lit(1)))
-    best = both.groupBy("read_id").agg(F.min_by(F.struct(*HIT[1:]), F.struct("hamming", "rank")).alias("m")).select("read_id", "m.*")
-    return first.unionByName(best)
+    steps = [fuzzy_at(reads, features, offset, 0, max_n).select(*HIT)] + [exact_at(reads, features, offset + s).select(*HIT) for s in (1, -1) if offset + s >= 0]
+    first = cut(_ranked(steps, "rank"))
+    # what is still open is materialised once; the search everywhere only beats an anchored hit if it is strictly closer
+    left = cut(reads.select("read_id", "seq").join(first.select("read_id"), "read_id", "left_anti"))
+    rest = ([fuzzy_at(left, features, offset, m, max_n).select(*HIT)] if m else []) + [exhaustive(left, features, m, max_n).select(*HIT)]
+    return first.unionByName(_ranked(rest, "hamming", "rank"))
+
+
+def _ranked(hits: list[DataFrame], *order: str) -> DataFrame:
+    """Of the hits of a read, the first by ``order``; rank is the place in the list."""
+    every = reduce(DataFrame.unionByName, [h.withColumn("rank", F.lit(i)) for i, h in enumerate(hits)])
+    return every.groupBy("read_id").agg(F.min_by(F.struct(*HIT[1:]), F.struct(*order)).alias("m")).select("read_id", "m.*")
 
 
 def combine(hits: DataFrame) -> DataFrame:

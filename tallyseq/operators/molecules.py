@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyseq.functions import dna
+from tallyseq.operators.common import cut
 
 
 def raw_counts(assigned: DataFrame) -> DataFrame:
@@ -72,17 +73,12 @@ def _components(pairs: pd.DataFrame) -> pd.DataFrame:
 
 def _spread(edges: DataFrame) -> DataFrame:
     """Smallest reachable UMI by repeated minimum over neighbours; a checkpoint each round cuts the lineage."""
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    edges = edges.checkpoint()
-    labels = edges.groupBy("barcode", "umi").agg(F.least(F.min("other"), F.col("umi")).alias("clique_id")).checkpoint()
+    edges = cut(edges)
+    labels = cut(edges.groupBy("barcode", "umi").agg(F.least(F.min("other"), F.col("umi")).alias("clique_id")))
     while True:
         near = edges.join(labels.select("barcode", F.col("umi").alias("other"), F.col("clique_id").alias("near")), ["barcode", "other"]).groupBy("barcode", "umi").agg(F.min("near").alias("near"))
         jump = labels.select("barcode", F.col("umi").alias("clique_id"), F.col("clique_id").alias("far"))
-        best = labels.join(near, ["barcode", "umi"]).join(jump, ["barcode", "clique_id"]).select("barcode", "umi", F.least("clique_id", "near", "far").alias("clique_id"), (F.least("near", "far") < F.col("clique_id")).alias("moved")).checkpoint()
+        best = cut(labels.join(near, ["barcode", "umi"]).join(jump, ["barcode", "clique_id"]).select("barcode", "umi", F.least("clique_id", "near", "far").alias("clique_id"), (F.least("near", "far") < F.col("clique_id")).alias("moved")))
         labels = best.drop("moved")
         if not best.where("moved").take(1):
             return labels
