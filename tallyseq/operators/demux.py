@@ -31,10 +31,10 @@ def probe_of(reads: DataFrame, probes: DataFrame, offset: int, k: int = 8, nearb
 def route(reads: DataFrame, sample_map: DataFrame) -> DataFrame:
     """Adds route (matched, unspecified, undetermined) and sample_group: the sample of (library_id, probe_name),
     unspecified/<library>_<probe> where the map has none, undetermined/<library>_unk where the read has no probe."""
-    out = reads.join(small(sample_map.select("library_id", "probe_name", "sample")), ["library_id", "probe_name"], "left")
-    kind = F.when(F.col("probe_name").isNull(), "undetermined").when(F.col("sample").isNull(), "unspecified").otherwise("matched")
-    group = F.when(kind == "undetermined", F.concat(F.lit("undetermined/"), "library_id", F.lit("_unk"))).when(kind == "unspecified", F.concat(F.lit("unspecified/"), "library_id", F.lit("_"), "probe_name")).otherwise(F.col("sample"))
-    return out.withColumn("route", kind).withColumn("sample_group", group).drop("sample")
+    out = reads.join(small(sample_map.select("library_id", "probe_name", F.col("sample").alias("mapped"))), ["library_id", "probe_name"], "left")
+    kind = F.when(F.col("probe_name").isNull(), "undetermined").when(F.col("mapped").isNull(), "unspecified").otherwise("matched")
+    group = F.when(kind == "undetermined", F.concat(F.lit("undetermined/"), "library_id", F.lit("_unk"))).when(kind == "unspecified", F.concat(F.lit("unspecified/"), "library_id", F.lit("_"), "probe_name")).otherwise(F.col("mapped"))
+    return out.withColumn("route", kind).withColumn("sample_group", group).drop("mapped")
 
 
 def totals(routed: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def probe_counts(alignments: DataFrame, probes: DataFrame, offset: int = 68, nea
 def alignment_stats(alignments: DataFrame, counts: DataFrame) -> DataFrame:
     """total_reads, countable_reads, counted, cells, entries."""
     one = F.lit(1).alias("one")
-    a = alignments.agg(F.count("*").alias("total_reads"), F.count_if("countable").alias("countable_reads")).select("*", one)
+    a = alignments.agg(F.count("*").alias("total_reads"), F.count_if(F.col("countable")).alias("countable_reads")).select("*", one)
     c = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("counted"), F.count_distinct("cb").alias("cells"), F.count("*").alias("entries")).select("*", one)
     return a.join(c, "one").drop("one")
 

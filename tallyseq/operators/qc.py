@@ -92,7 +92,7 @@ def status_counts(reads: DataFrame) -> DataFrame:
 
 def run_stats(reads: DataFrame, raw: DataFrame, dedup: DataFrame, molecules: DataFrame) -> DataFrame:
     """One row of run counters from reads(status, feature_index): the numbers of stats.txt and the share of all reads that were assigned."""
-    counts = reads.agg(F.count("*").alias("total_reads"), F.count_if("feature_index is null").alias("unmatched_reads"), F.count_if("status in ('valid', 'corrected', 'n_corrected', 'rescued')").alias("assigned_reads"), F.count_if("status = 'rescued'").alias("pending_recovered"))
+    counts = reads.agg(F.count("*").alias("total_reads"), F.count_if(F.expr("feature_index is null")).alias("unmatched_reads"), F.count_if(F.expr("status in ('valid', 'corrected', 'n_corrected', 'rescued')")).alias("assigned_reads"), F.count_if(F.expr("status = 'rescued'")).alias("pending_recovered"))
     parts = [raw.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("raw_counts")), dedup.agg(F.coalesce(F.sum("umis"), F.lit(0)).alias("deduped_counts")), molecules.agg(F.count_distinct("barcode", "umi").alias("unique_barcode_umis")), raw.agg(F.count_distinct("barcode").alias("whitelisted_barcodes"))]
     key = F.lit(1).alias("one")
     out = counts.select("*", key)
