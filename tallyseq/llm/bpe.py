@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyseq.llm import blocks
-from tallyseq.llm.common import cut
 
 SEP = b"\xff"  # in no UTF-8 text
 LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -75,7 +74,13 @@ def pieces(path: str) -> list[bytes]:
     return [names.get(i, b"") for i in range(max(names) + 1)]
 
 
-def split(shards: int):
+def split(shards: int, part: str):
+    """Rows of blocks: ``part`` bodies gives the documents, words the requests.
+
+    Both are made by separate reads of the same table, as storing them would take its size again. A block is
+    named by its documents and words, so both agree.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, _ in blocks.batched(batches):
             index: dict[str, int] = {}
@@ -90,11 +95,14 @@ def split(shards: int):
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
             words = [words[i] for i in order]
-            body = blocks.put(*blocks.ids_of(ids), np.array([len(words)], np.int64), np.array(lengths, np.uint32), rank[stream])
-            block = blocks.name(body + SEP.join(words[:1000]))
+            doc_ids, known = blocks.ids_of(ids)
+            lengths, stream = np.array(lengths, np.uint32), rank[stream]
+            block = blocks.name(doc_ids.tobytes() + lengths.tobytes() + stream.tobytes() + SEP.join(words))
+            if part == "bodies":
+                yield blocks.rows_of([(block, -1, blocks.put(doc_ids, known, np.array([len(words)], np.int64), lengths, stream))])
+                continue
             keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            rows = blocks.deal(block, keys, shards, lambda mine, words=words: blocks.put(np.diff(mine, prepend=0).astype(np.uint32), SEP.join([words[i] for i in mine])))
-            yield blocks.rows_of([(block, -1, body), *rows])
+            yield blocks.rows_of(blocks.deal(block, keys, shards, lambda mine, words=words: blocks.put(np.diff(mine, prepend=0).astype(np.uint32), SEP.join([words[i] for i in mine]))))
 
     return run
 
@@ -157,12 +165,13 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     ``path``: a byte-level BPE file of the tokenizers library, present on every executor. ids: what the library's encode() gives
     for the whole text without adding special tokens. decoded: the pieces of the ids joined, which is the
     text. Null or empty text: no ids and an empty text. A null doc_id stays null. Repeated rows each get the same
-    answer. Empty table: no rows. Other columns are ignored.
+    answer. Empty table: no rows. Other columns are ignored. ``docs`` is read twice and must give the same rows in the same partitions
+    both times, as tables do; where it does not, a block lacks its ids and an error is raised.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(base.mapInArrow(split(blocks.shards_for(docs)), blocks.ROWS))
-    answers = blocks.answered(rows.where("shard >= 0"), word_table(path))
-    return blocks.rejoined(rows.where("shard < 0"), answers, assembled(path), SCHEMA, FIELDS)
+    shards = blocks.shards_for(docs)
+    bodies, words = (base.mapInArrow(split(shards, part), blocks.ROWS) for part in ("bodies", "words"))
+    return blocks.rejoined(bodies, blocks.answered(words, word_table(path)), assembled(path), SCHEMA, FIELDS)
 
 
 def digest(encoded: DataFrame) -> DataFrame:
