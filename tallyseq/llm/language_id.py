@@ -156,7 +156,7 @@ class Scorer:
             total = self.table[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64)
             best = int(np.argmax(total))
             entropy = -float(total[best]) / n
-            out.append((model.languages[best], 1 / float(np.exp(np.maximum(total - total[best], -700)).sum()), entropy, bool(entropy <= model.limit[best] * (1 + 2 / np.sqrt(n)))))
+            out.append((model.languages[best], 1 / float(np.exp(np.maximum(total - total[best], -700)).sum()), entropy, bool(entropy <= model.limit[best] * (1 + 1 / np.sqrt(n)))))
         return out
 
 
@@ -207,7 +207,7 @@ def word_grams(order: int):
     return run
 
 
-def train(labelled: DataFrame, order: int = 5, most: int = 1500, least: int = 2, widen: float = 1.6) -> Model:
+def train(labelled: DataFrame, order: int = 5, most: int = 1500, least: int = 2, widen: float = 1.4) -> Model:
     """Model from ``labelled(doc_id, text, lang)``, fitted on a bounded sample.
 
     About ``most`` documents of each language (all, if fewer), chosen by a hash of doc_id, are read whole; n-grams seen
