@@ -53,4 +53,54 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_bloom_lm": op2_bloom_lm, "op3_vp_tree": op3_vp_tree, "op4_language_id": op4_language_id, "op5_recompression": op5_recompression, "op6_packing": op6_packing, "op7_line_dedup": op7_line_dedup, "op8_secret_ledger": op8_secret_ledger, "op9_bpe": op9_bpe, "op10_quality_rules": op10_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+
+WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = f"""
+with recursive w as materialized (select doc_id, {WORDS.format(text=LOWER)} as w from documents),
+s as materialized (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle from w),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+link as materialized (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+edge as materialized (select a, b from link union all select b, a from link),
+reach(doc_id, far) as (select doc_id, doc_id from documents union select r.doc_id, e.b from reach r join edge e on e.a = r.far),
+label as (select doc_id, min(far) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, l.component_id, d.doc_id = l.component_id as kept from documents d join label l on l.doc_id = d.doc_id left join n on n.doc_id = d.doc_id
+"""
+
+OP3_SQL = """
+with v as (select vec_id, cast(embedding as double[]) as v from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d as (select q.vec_id as query_id, c.vec_id, list_distance(q.v, c.v) as score from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 100 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as int) as rank, vec_id, score from d qualify rank <= 10
+"""
+
+OP5_SQL = f"""
+with w as materialized (select doc_id, {WORDS.format(text="text")} as w from documents),
+p as materialized (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) >= 50)),
+gone as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by h) as first from p) where first < doc_id),
+dead as (select distinct doc_id, i + k as i from gone, (select unnest(range(0, 50)) as k)),
+dead_list as (select doc_id, list(i) as dead from dead group by doc_id)
+select w.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(dead), 0) as bigint) as n_removed,
+  sha256(array_to_string(case when dead is null then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: not list_contains(dead, x[2])), lambda x: x[1]) end, ' ')) as kept_sha256
+from w left join dead_list d on d.doc_id = w.doc_id
+"""
+
+
+def _op8_sql() -> str:
+    rows = []
+    for i, r in enumerate(secret_ledger.RULES):
+        p = r.pattern.replace("'", "''")
+        rows.append(f"select doc_id, {i} as rank, '{r.kind}' as kind, {r.least} as least, regexp_extract_all(t, '{p}') as hit, regexp_extract_all(t, '{p}', {r.group}) as val, string_split_regex(t, '{p}') as gap from d")
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents), m as ({" union all ".join(rows)}),
+e as (select *, unnest(range(1, len(hit) + 1)) as i from m),
+span as (select doc_id, rank, kind, len(val[i]) >= least as good, coalesce(list_sum(list_transform(gap[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: len(x))), 0) as s, len(hit[i]) as n from e),
+g as (select doc_id, rank, s, concat(kind, ':', cast(s as bigint), ':', cast(s + n as bigint)) as x from span where good)
+select d.doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex,
+  sha256(coalesce(string_agg(x, ',' order by s, rank) filter (rank < 3), '')) as base_sha256, coalesce(string_agg(x, ',' order by s, rank), '') as spans
+from d left join g on g.doc_id = d.doc_id group by d.doc_id
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op3_vp_tree": OP3_SQL, "op5_recompression": OP5_SQL, "op8_secret_ledger": _op8_sql()}
