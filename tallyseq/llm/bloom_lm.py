@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyseq.llm import blocks
-from tallyseq.llm.common import cut, fold, mix64
+from tallyseq.llm.common import cut, fold, mix64, word_hashes
 
 END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end of a text, and for what precedes its first word
 PROBES = 6
@@ -65,41 +64,48 @@ def probed(filters: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def bigrams(stream: np.ndarray, keys: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Key of (the token before, the token); before a text's first token is END."""
-    tokens = keys[stream]
-    before = np.concatenate([[END], tokens[:-1]])
-    before[np.cumsum(lengths) - lengths] = END
-    return mix64(before) + tokens
+def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens, each text's end included, and the number of tokens of each text."""
+    h, words = word_hashes([t.encode().lower() for t in texts])
+    out = np.full(len(h) + len(texts), END)
+    lengths = words + 1
+    out[blocks.ragged(np.cumsum(lengths) - lengths, words)] = h
+    return out, lengths
 
 
-def split(shards: int):
-    """Rows of blocks; the requests ask for word counts (shard 2s) and pair counts (shard 2s + 1)."""
+def bigrams(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Key of (the token before, the token); before a text's first token is END, which ended the text before it."""
+    return mix64(np.append(END, tokens[:-1])) + tokens
+
+
+def split(shards: int, part: str):
+    """Rows of blocks: ``part`` bodies gives the documents, words or pairs the requests with the training counts of a block's distinct keys.
+
+    The three are made by separate reads of the same table, as storing them would take more than twice its size. A block
+    is named by its texts, so all agree; its size bounds the memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, more in blocks.batched(batches):
-            index: dict[bytes, int] = {b"\n": 0}  # no word holds a newline: the end of a text
-            streams = []
-            for t in texts:
-                s = [index.setdefault(w, len(index)) for w in t.encode().lower().split()]
-                streams.append(np.array([*s, 0], np.uint32))
-            lengths = np.array([len(s) for s in streams], np.uint32)
-            stream = np.concatenate(streams)
-            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
-            keys[0] = END
-            order = np.argsort(-np.bincount(stream, minlength=len(keys)), kind="stable")
+            doc_ids, known = blocks.ids_of(ids)
+            held = np.array(more["held_out"], np.uint8)
+            tokens, lengths = tokens_of(texts)
+            block = blocks.name(doc_ids.tobytes() + lengths.tobytes() + tokens.tobytes())
+            train = np.repeat(held == 0, lengths)
+            if part == "pairs":
+                keys, counts = np.unique(bigrams(tokens, lengths)[train], return_counts=True)
+                yield blocks.rows_of(blocks.deal(block, keys, shards, lambda mine, k=keys, c=counts: blocks.put(k[mine], c[mine].astype(np.uint32))))
+                continue
+            keys, stream = np.unique(tokens, return_inverse=True)
+            order = np.argsort(-np.bincount(stream, minlength=len(keys)), kind="stable")  # frequent words get small numbers
             rank = np.empty(len(keys), np.uint32)
             rank[order] = np.arange(len(keys), dtype=np.uint32)
             keys, stream = keys[order], rank[stream]
-            held = np.array(more["held_out"], np.uint8)
-            train = np.repeat(held == 0, lengths)
-            body = blocks.put(*blocks.ids_of(ids), held, np.array([len(keys)], np.int64), lengths, stream, keys)
-            block = blocks.name(body)
-            words = np.bincount(stream[train], minlength=len(keys)).astype(np.uint32)
-            rows = blocks.deal(block, keys, shards, lambda mine, k=keys, c=words: blocks.put(np.diff(mine, prepend=0).astype(np.uint32), k[mine], c[mine]))
-            pairs, first = np.unique(bigrams(stream, keys, lengths.astype(np.int64))[train], return_counts=True)
-            more_rows = blocks.deal(block, pairs, shards, lambda mine, k=pairs, c=first: blocks.put(k[mine], c[mine].astype(np.uint32)))
-            yield blocks.rows_of([(block, -1, body), *[(b, 2 * s, d) for b, s, d in rows], *[(b, 2 * s + 1, d) for b, s, d in more_rows]])
+            if part == "words":
+                counts = np.bincount(stream[train], minlength=len(keys)).astype(np.uint32)
+                yield blocks.rows_of(blocks.deal(block, keys, shards, lambda mine, k=keys, c=counts: blocks.put(np.diff(mine, prepend=0).astype(np.uint32), k[mine], c[mine])))
+            else:
+                yield blocks.rows_of([(block, -1, blocks.put(doc_ids, known, held, lengths.astype(np.uint32), stream, keys))])
 
     return run
 
@@ -133,8 +139,8 @@ def pair_requests(shards: int):
         for b in batches:
             for block, body in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
                 *_, lengths, stream, keys = blocks.get(body.as_py())
-                pairs = np.unique(bigrams(stream, keys, lengths.astype(np.int64)))
-                yield blocks.rows_of([(x, 2 * s + 1, d) for x, s, d in blocks.deal(block, pairs, shards, lambda mine, k=pairs: blocks.put(k[mine]))])
+                pairs = np.unique(bigrams(keys[stream], lengths))
+                yield blocks.rows_of(blocks.deal(block, pairs, shards, lambda mine, k=pairs: blocks.put(k[mine])))
 
     return run
 
@@ -150,10 +156,10 @@ def scored(shared, tokens: int, types: int, base: float, mu: float):
     """``shared``: the broadcast filter, or None where the answers hold the levels."""
 
     def finish(body: bytes, answers: list[bytes]) -> pa.Table:
-        doc_ids, known, held, size, lengths, stream, keys = blocks.get(body)
+        doc_ids, known, held, lengths, stream, keys = blocks.get(body)
         lengths = lengths.astype(np.int64)
-        pairs, at = np.unique(bigrams(stream, keys, lengths), return_inverse=True)
-        counts = np.full(int(size[0]), -1, np.int64)
+        pairs, at = np.unique(bigrams(keys[stream], lengths), return_inverse=True)
+        counts = np.full(len(keys), -1, np.int64)
         levels = np.zeros(len(pairs), np.uint8)
         for data in answers:
             which, found = blocks.get(data)
@@ -199,19 +205,19 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, least: int = 2, base:
     held_out = F.coalesce(fold("doc_id", folds) == held, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     shards = blocks.shards_for(docs)
-    rows = cut(rows.mapInArrow(split(shards), blocks.ROWS))
-    answers = cut(rows.where("shard >= 0 and shard % 2 = 0").groupBy("shard").applyInArrow(word_counts, COUNTED))
+    made = {part: rows.mapInArrow(split(shards, part), blocks.ROWS) for part in ("bodies", "words", "pairs")}
+    answers = cut(made["words"].groupBy("shard").applyInArrow(word_counts, COUNTED))
     tokens, types = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
-    pairs = rows.where("shard % 2 = 1")
-    parts = cut(pairs.groupBy("shard").applyInArrow(pair_filter(least, base), "shard int, bits binary"))
+    parts = cut(made["pairs"].groupBy("shard").applyInArrow(pair_filter(least, base), "shard int, bits binary"))
     size = parts.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    bodies, answers = rows.where("shard < 0"), answers.select("block", "shard", "data")
+    bodies, answers = made["bodies"], answers.select("block", "shard", "data")
     if size <= most_mb << 20:
         filters = [np.zeros(8, np.uint8).tobytes()] * shards
         for r in parts.collect():
-            filters[r["shard"] // 2] = bytes(r["bits"])
+            filters[r["shard"]] = bytes(r["bits"])
         shared = spark.sparkContext.broadcast(filters)
         return blocks.rejoined(bodies, answers, scored(shared, tokens, types, base, mu), SCHEMA, FIELDS)
     asked = bodies.mapInArrow(pair_requests(shards), blocks.ROWS)
     levels = asked.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(pair_levels, blocks.ROWS)
-    return blocks.rejoined(bodies, answers.unionByName(levels), scored(None, tokens, types, base, mu), SCHEMA, FIELDS)
+    answers = answers.unionByName(levels.withColumn("shard", F.col("shard") + shards))  # an answer of its own for each block and shard
+    return blocks.rejoined(bodies, answers, scored(None, tokens, types, base, mu), SCHEMA, FIELDS)

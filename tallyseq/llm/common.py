@@ -21,6 +21,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+ODD = np.uint64(0xD1342543DE82EF95)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int, odd: np.uint64 = ODD) -> tuple[np.ndarray, np.ndarray]:
+    """odd ** i and its inverse modulo 2 ** 64, for i up to ``n``; kept for the process, as long as any that was asked for."""
+    have = _powers.get(int(odd))
+    if have is None or len(have[0]) <= n:
+        up = np.full(n + 1, odd)
+        down = np.full(n + 1, np.uint64(pow(int(odd), -1, 1 << 64)))
+        up[0] = down[0] = 1
+        have = _powers[int(odd)] = (np.cumprod(up), np.cumprod(down))
+    return have
+
+
+def runs_hashed(values: np.ndarray, first: np.ndarray, end: np.ndarray, odd: np.uint64 = ODD) -> np.ndarray:
+    """Hash of each run values[first:end]: a polynomial modulo 2 ** 64, from sums over what lies before."""
+    up, down = powers(len(values), odd)
+    sums = np.append(np.uint64(0), np.cumsum(values * up[: len(values)]))
+    return mix64((sums[end] - sums[first]) * down[first])
+
+
+def word_hashes(texts: list[bytes], chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word (run without ASCII white space) of the texts, and the number of words of each text.
+
+    Runs of texts of about ``chunk`` bytes are hashed together.
+    """
+    hashes, counts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= chunk):
+            size += len(texts[to])
+            to += 1
+        data = np.frombuffer(b"\n".join([*texts[at:to], b""]), np.uint8)
+        space = SPACE[data]
+        before = np.append(True, space[:-1])
+        first, end = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+        edges = np.cumsum([len(t) + 1 for t in texts[at:to]], dtype=np.int64)
+        counts.append(np.diff(np.searchsorted(first, edges), prepend=0))
+        hashes.append(runs_hashed(BYTES[data], first, end))
+        at = to
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with checkpoint() in the shared folder, which ends its lineage.
 
