@@ -19,8 +19,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without near-repeated lines; those that lose every line go."""
     columns = docs.columns
-    thin = line_dedup.without_repeated_lines(docs)
-    thin = thin.where("n_removed = 0 or n_removed < n_lines")
+    aside = {c: f"{c}_of_the_table" for c in ("n_lines", "n_removed") if c in columns}
+    thin = line_dedup.without_repeated_lines(docs.withColumnsRenamed(aside)).where("n_removed = 0 or n_removed < n_lines")
+    thin = thin.drop(*aside).withColumnsRenamed({v: k for k, v in aside.items()})
     return thin.withColumn("n_chars", packing.chars("text")).select(*columns) if "n_chars" in columns else thin.select(*columns)
 
 
