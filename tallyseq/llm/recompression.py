@@ -15,15 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyseq.llm import blocks
-from tallyseq.llm.common import cut, mix64
+from tallyseq.llm.common import ODD, cut, mix64, runs_hashed, word_hashes
 
+BLOCK_CHARS = 3_000_000  # the parse of a block takes some tens of bytes for each of its own
 LOOK = 4  # symbols of a level among which a window takes the longest
-ODD = np.uint64(0xD1342543DE82EF95)
 ODD2 = np.uint64(0x2545F4914F6CDD1D)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 FIELDS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -79,10 +78,6 @@ def pairs_named(x: Level, doc: np.ndarray, edges: tuple) -> Level:
     return out.take(np.flatnonzero(~joined))
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
 def windows_of(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """First word of each window of ``width`` words of one document, and its document."""
     starts = np.cumsum(lengths) - lengths
@@ -121,30 +116,16 @@ def anchors(h: np.ndarray, lengths: np.ndarray, width: int, rounds: int) -> np.n
 
 
 def window_keys(h: np.ndarray, p: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits of hash for each window, from two rolling polynomials."""
-    out = []
-    for k, odd in enumerate((ODD, ODD2)):
-        w = np.zeros(max(len(h) - width + 1, 0), np.uint64)
-        # doubling: runs of 1, 2, 4 ... words, put together to the window's width
-        size, have, run = 1, 0, mix64(h + np.uint64(k))
-        while size <= width:
-            if width & size:
-                shift = run[have : have + len(w)]
-                w = mix64(w * odd + shift)
-                have += size
-            run = mix64(run[: len(run) - size] * odd + run[size:]) if len(run) > size else run[:0]
-            size *= 2
-        out.append(w[p])
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
-
-
-def opened(body: bytes) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], np.ndarray, np.ndarray]:
-    """doc_ids, known, words of each document, word hashes, words per document."""
+    """96 bits of hash for the windows that begin at ``p``."""
+    one, two = (runs_hashed(h, p, p + width, odd) for odd in (ODD, ODD2))
+    return one, (two >> np.uint64(32)).astype(np.uint32)
+
+
+def opened(body: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """doc_ids, known, texts."""
     doc_ids, known, sizes, data = blocks.get(body)
     ends = np.cumsum(sizes.astype(np.int64))
-    words = [data[e - n : e].split() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    lengths = np.array([len(w) for w in words], np.int64)
-    return doc_ids, known, words, hashes([w for ws in words for w in ws]), lengths
+    return doc_ids, known, [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def extremes(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,12 +140,12 @@ def split(shards: int, width: int, rounds: int):
     """Rows of blocks; the requests hold the distinct symbols that windows chose, with least and greatest doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, _ in blocks.batched(batches):
+        for ids, texts, _ in blocks.batched(batches, BLOCK_CHARS):
             texts = [t.encode() for t in texts]
             doc_ids, known = blocks.ids_of(ids)
             body = blocks.put(doc_ids, known, np.array([len(t) for t in texts], np.uint32), b"".join(texts))
             block = blocks.name(body)
-            *_, h, lengths = opened(body)
+            h, lengths = word_hashes(texts)
             chosen = anchors(h, lengths, width, rounds)
             _, of = windows_of(lengths, width)
             keep = np.append(True, (chosen[1:] != chosen[:-1]) | (of[1:] != of[:-1])) if len(chosen) else np.zeros(0, bool)
@@ -192,12 +173,15 @@ def candidate_windows(shards: int, width: int, rounds: int):
     """Finish of the first return: requests with the distinct windows whose symbol is shared, and their least doc_id."""
 
     def finish(body: bytes, answers: list[bytes]) -> pa.Table:
-        doc_ids, known, _, h, lengths = opened(body)
+        doc_ids, known, texts = opened(body)
+        h, lengths = word_hashes(texts)
         shared = np.sort(np.concatenate([*[blocks.get(d)[0] for d in answers], np.zeros(0, np.uint64)]))
         p, of = windows_of(lengths, width)
         chosen = anchors(h, lengths, width, rounds)
         at = np.minimum(np.searchsorted(shared, chosen), max(len(shared) - 1, 0))
         keep = np.flatnonzero((shared[at] == chosen) & (known[of] > 0)) if len(shared) else np.zeros(0, np.int64)
+        if not len(keep):
+            return blocks.FIELDS.empty_table()
         one, two = window_keys(h, p[keep], width)
         ids = doc_ids[of[keep]]
         order = np.lexsort((ids, two, one))
@@ -233,7 +217,8 @@ def repeated_windows(requests: list[bytes]) -> list[bytes]:
 
 def cleaned(width: int):
     def finish(body: bytes, answers: list[bytes]) -> pa.Table:
-        doc_ids, known, words, h, lengths = opened(body)
+        doc_ids, known, texts = opened(body)
+        h, lengths = word_hashes(texts)
         parts = [blocks.get(d) for d in answers]
         one, two, own = (np.concatenate([*[x[c] for x in parts], np.zeros(0, t)]) for c, t in enumerate((np.uint64, np.uint32, np.uint8)))
         order = np.lexsort((two, one))
@@ -256,7 +241,8 @@ def cleaned(width: int):
             np.add.at(covered, p[gone] + width, -1)
         dead = np.cumsum(covered)[:-1] > 0
         rows, end = {f: [] for f in FIELDS.names}, 0
-        for i, ok, ws in zip(doc_ids.tolist(), known.tolist(), words, strict=True):
+        for i, ok, text in zip(doc_ids.tolist(), known.tolist(), texts, strict=True):
+            ws = text.split()
             mine = dead[end : end + len(ws)]
             end += len(ws)
             n = int(mine.sum())
