@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,22 +92,44 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)`` by alternating large-star and small-star steps.
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: the (u, v) of one partition as edges (u, smallest id that the partition links it to)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+            u, v = root(u), root(v)
+            parent[max(u, v)] = min(u, v)
+    pairs = [(x, root(x)) for x in parent if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+
+def components(edges: DataFrame, per_part: int = 300_000) -> DataFrame:
+    """Connected components of ``edges(a, b)``: union-find inside partitions of about ``per_part`` edges, then alternating large-star and small-star steps.
 
     Returns (id, component) for each id in an edge between different ids; component
-    is the smallest reachable id. Each step only takes minima (combined map-side)
+    is the smallest reachable id. A step only takes minima (combined map-side)
     and joins edges with them, so a hub of any degree is no hot group, and the number
-    of edges never grows. Stops when a step leaves the edge set unchanged.
+    of edges never grows. Stops when a step leaves the edge set unchanged, or when one partition has held all edges.
     """
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = cut(e)
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     now = state(e)
     while now[0]:
+        parts = -(-now[0] // per_part)
+        e = e.coalesce(parts).mapInArrow(contracted, "u long, v long")
+        if parts == 1:
+            break
+        e = e.distinct()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -115,4 +139,5 @@ def components(edges: DataFrame) -> DataFrame:
         before, now = now, state(e)
         if now == before:
             break
+    e = cut(e)
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -95,13 +95,19 @@ def lines_of(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
                     yield r, n, line
 
 
+def bodies_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks: the documents. Their table is read once for them and once for split(); a block is named by its rows, so both agree."""
+    for b in sliced(batches):
+        body = packed(b)
+        yield blocks.rows_of([(blocks.name(body), -1, body)])
+
+
 def split(shards: int, bands: int, rows: int):
-    """Rows of blocks; the requests hold the band keys of the distinct lines, cut to 40 bits, and 16 bits of the line's hash."""
+    """Rows of blocks: requests that hold the band keys of the distinct lines, cut to 40 bits, and 16 bits of the line's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            body = packed(b)
-            block = blocks.name(body)
+            block = blocks.name(packed(b))
             lines = list(dict.fromkeys(normal(x) for _, _, x in lines_of(b)))
             sig = signatures(lines, bands * rows).reshape(len(lines), bands, rows)
             key = np.broadcast_to(mix64(np.arange(1, bands + 1, dtype=np.uint64)), (len(lines), bands)).copy()
@@ -114,7 +120,7 @@ def split(shards: int, bands: int, rows: int):
             def pack(mine: np.ndarray, key=key, mark=mark, of=of) -> bytes:  # noqa: ANN001
                 return blocks.put((key[mine] >> np.uint64(32)).astype(np.uint8), key[mine].astype(np.uint32), mark[mine], np.diff(of[mine], prepend=np.uint32(0)))
 
-            yield blocks.rows_of([(block, -1, body), *blocks.deal(block, key, shards, pack)])
+            yield blocks.rows_of(blocks.deal(block, key, shards, pack))
 
     return run
 
@@ -141,6 +147,8 @@ CANDIDATES = pa.schema([("id", pa.int64()), ("line", pa.binary())])
 
 def candidates(body: bytes, answers: list[bytes]) -> pa.Table:
     lines = list(dict.fromkeys(normal(x) for _, _, x in lines_of(opened(body))))
+    if lines and not answers:
+        raise RuntimeError("a block lacks the answers about its lines")
     which = np.unique(np.concatenate([*[blocks.get(d)[0] for d in answers], np.zeros(0, np.uint32)]))
     lines = [lines[i] for i in which.tolist()]
     return pa.table([pa.array(ids_of(lines).view(np.int64)), pa.array(lines, pa.binary())], schema=CANDIDATES)
@@ -163,22 +171,15 @@ def described(k: int):
     return run
 
 
-def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets_of(part.column("line").to_pylist())], pa.binary())], ["id", "shingles"])
-
-
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line that takes part: class, doc_id, line number, block, and its place among the block's lines."""
+    """Each line that takes part: class, doc_id, line number, block, and its place among the block's lines; place -1 tells that the block was seen."""
     for b in batches:
         for block, body in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
             rows = opened(body.as_py())
             doc_ids = rows.column("doc_id").to_pylist()
             found = list(lines_of(rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids_of([normal(x) for _, _, x in found]).view(np.int64)), pa.array([doc_ids[r] for r, _, _ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.int32()), pa.array(np.full(len(found), block)), pa.array(np.arange(len(found), dtype=np.int32))],
+                [pa.array(np.append(ids_of([normal(x) for _, _, x in found]).view(np.int64), block)), pa.array([*[doc_ids[r] for r, _, _ in found], 0], pa.int64()), pa.array([*[n for _, n, _ in found], 0], pa.int32()), pa.array(np.full(len(found) + 1, block)), pa.array(np.append(np.arange(len(found), dtype=np.int32), np.int32(-1)))],
                 ["id", "doc_id", "line", "block", "at"],
             )
 
@@ -188,6 +189,8 @@ def thinned(schema: pa.Schema):
 
     def run(bodies: pa.Table, winners: pa.Table) -> pa.Table:
         stay = set(winners.column("at").to_pylist())
+        if bodies.num_rows and -1 not in stay:
+            raise RuntimeError("a block lacks its winners")
         out = [schema.empty_table()]
         for body in bodies.column("data"):
             rows = opened(body.as_py())
@@ -217,17 +220,17 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80, bands: int = 10,
 
     Blank lines take no part and stay. Null or empty text is unchanged. Rows with a null doc_id neither lose
     lines nor make others lose them. Of repeated rows one keeps its lines. Other columns are passed on, but for n_lines and n_removed, which
-    are replaced. n_chars, where present, is not changed. Empty table: no rows.
+    are replaced. n_chars, where present, is not changed. Empty table: no rows. ``docs`` is read several times and must give the same rows in the
+    same partitions each time, as tables do.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_removed").withColumn("doc_id", F.col("doc_id").cast("long"))
     shards = blocks.shards_for(docs)
-    made = cut(docs.mapInArrow(split(shards, bands, rows), blocks.ROWS))
-    bodies = made.where("shard < 0")
-    shared = blocks.answered(made.where("shard >= 0"), shared_bands)
+    bodies = docs.mapInArrow(bodies_of, blocks.ROWS)
+    shared = blocks.answered(docs.mapInArrow(split(shards, bands, rows), blocks.ROWS), shared_bands)
     lines = cut(blocks.rejoined(bodies, shared, candidates, "id long, line binary", CANDIDATES).groupBy("id").agg(F.first("line").alias("line")))
     classes = cut(lines.mapInArrow(described(bands * rows), "id long, n long, sig binary"))
-    near = links(classes, lambda ids: lines.join(ids, "id", "left_semi").mapInArrow(listed, "id long, shingles binary"), percent, bands, rows)
+    near = links(classes, lambda _: lines.withColumnRenamed("line", "shingles"), percent, bands, rows, sets_of)
     found = bodies.mapInArrow(occurrences, "id long, doc_id long, line int, block long, at int")
     label = F.coalesce("component", "id").alias("label")
     winners = found.join(near, "id", "left").groupBy(label).agg(F.min(F.struct("doc_id", "line", "block", "at")).alias("w")).select("w.block", "w.at")

@@ -55,7 +55,7 @@ def signed(k: int, width: int):
     return run
 
 
-def sets_from(docs: DataFrame, width: int):
+def sets_from(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t, width).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "shingles"])
@@ -82,9 +82,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: i
 
     def sets_of(ids: DataFrame) -> DataFrame:
         texts = base.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-        return texts.mapInArrow(sets_from(docs, width), "id long, shingles binary")
+        return cut(texts.mapInArrow(sets_from(width), "id long, shingles binary"))
 
-    found = links(classes, sets_of, percent, bands, rows, miss)
+    found = links(classes, sets_of, percent, bands, rows, miss=miss)
     per_class = classes.select("print", "id").join(found, "id", "left").select("print", F.coalesce("component", "id").alias("class_component"))
     out = rows_.select("doc_id", "n_shingles", "print").join(per_class, "print", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_component"))

@@ -2,12 +2,12 @@
 
 The input is one row per distinct set, ``classes(id long, n long, sig binary)``; ``sig``
 holds ``bands * rows`` 32-bit minima. Buckets of equal bands propose pairs without
-writing out all pairs of a bucket: first every member meets one pivot of its bucket, the one
-with the smallest share of shingles that no other set has; then, only in buckets whose members still belong to
-different components, 8, 64, 512 ... pivots meet the members of other components, until one component is left or every
-member has been a pivot. Pairs that such shingles alone keep below the threshold are never formed. A
-bucket is thus never collected, and every pair that shares a bucket is checked, provably too far apart
-or already known to be connected.
+writing out all pairs of a bucket. First every member meets one pivot of its bucket, the one with most company
+in all its buckets. What follows concerns only buckets whose members still belong to different components. Those of up to SMALL members
+check every such pair. In larger ones, sets that share a rare shingle (RARE holders at most) are paired through
+it. For all other pairs no rare shingle is in the intersection, which bounds the similarity; under that bound 16, 128,
+1024 ... pivots meet the members of other components, until one component is left or every member has been a pivot. A bucket is thus never
+collected, and every pair that shares a bucket is checked, provably too far apart or already connected.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from tallyseq.llm.common import components, cut, mix64
 
 
+RARE = 8
+SMALL = 16
+
+
 def least_matches(n: int, threshold: float, miss: float) -> int:
     """Smallest number of equal minima among ``n`` that is not pruned.
 
@@ -56,14 +60,18 @@ def survivors(threshold: float, miss: float, batch: int) -> Callable:
     return keep
 
 
-def linked(percent: int) -> Callable:
+def stored(data: list[bytes]) -> list[np.ndarray]:
+    """Sets that are stored as they are."""
+    return [np.frombuffer(x, np.uint64) for x in data]
+
+
+def linked(percent: int, decode: Callable) -> Callable:
     """mapInArrow function: keeps the (a, b) with 100 * intersection >= percent * union on the full sets."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             good = []
-            for i, (x, y) in enumerate(zip(b.column("set_a"), b.column("set_b"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for i, (x, y) in enumerate(zip(*(decode(b.column(c).to_pylist()) for c in ("set_a", "set_b")), strict=True)):
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= percent * (len(x) + len(y) - common):
@@ -90,31 +98,29 @@ def band_keys(bands: int, rows: int) -> Callable:
     return keys
 
 
-def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def values(decode: Callable) -> Callable:
     """mapInArrow function: (id, shingles) to one (value, id) for each shingle."""
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            flat = np.frombuffer(b"".join(part.column("shingles").to_pylist()), np.int64)
-            sizes = np.array([len(x.as_buffer()) // 8 for x in part.column("shingles")])
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), sizes))], ["value", "id"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            sets = decode(b.column("shingles").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(b.column("id").to_numpy(zero_copy_only=False), [len(x) for x in sets]))], ["value", "id"])
 
-def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int, rows: int, miss: float = 1e-9, batch: int = 16) -> DataFrame:
+    return run
+
+
+def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int, rows: int, decode: Callable = stored, miss: float = 1e-9, batch: int = 16) -> DataFrame:
     """Components (id, component) of the classes that have a link.
 
-    ``sets_of(ids)`` gives (id, shingles binary: sorted distinct uint64) for the ids that
-    share a bucket. Empty input, or no bucket of two, gives no rows.
+    ``sets_of(ids)`` gives (id, shingles binary) for the ids that share a bucket, or for more; ``decode`` makes sorted
+    distinct uint64 of a list of them. Empty input, or no bucket of two, gives no rows.
     """
     banded = classes.select("id", "n", "sig").mapInArrow(band_keys(bands, rows), "key long, id long, n long")
     many = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(banded.join(many, "key"))
-    ids = members.select("id").distinct()
-    sets = cut(sets_of(ids))
+    ids = members.groupBy("id").agg(F.sum("size").alias("company"))
+    sets = sets_of(ids.select("id"))
     sigs = cut(classes.select("id", "sig").join(ids, "id", "left_semi"))
-    alone = sets.mapInArrow(values, "value long, id long").groupBy("value").agg(F.count("*").alias("holders"), F.min("id").alias("id")).where("holders = 1")
-    most = ids.join(alone.groupBy("id").agg(F.count("*").alias("own")), "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"))
-    members = cut(members.join(most, "id").select("key", "id", "size", "n", (F.col("n") - F.col("own")).alias("shared")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -123,25 +129,56 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
         pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(survivors(percent / 100, miss, batch), "a long, b long")
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-        return pairs.select("a", "b", "set_a", "set_b").mapInArrow(linked(percent), "a long, b long")
+        return pairs.select("a", "b", "set_a", "set_b").mapInArrow(linked(percent, decode), "a long, b long")
+
+    def opened(labels: DataFrame) -> DataFrame:
+        labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        active = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        return cut(labelled.join(active, "key"))
+
+    middle = F.max_by(F.struct(F.col("id").alias("x"), F.col("n").alias("n_x")), F.struct("company", F.xxhash64("key", "id")))
+    first = members.join(ids, "id").groupBy("key").agg(middle.alias("pivot")).select("key", "pivot.*")
+    near = f"100 * least(n, n_x) >= {percent} * greatest(n, n_x)"
+    found = cut(verified(members.join(first, "key").where("id <> x").where(near).select("x", F.col("id").alias("y"))))
+
+    # small buckets: every pair of different components
+    labels = components(found)
+    open_ = opened(labels)
+    other = open_.where(F.col("size") <= SMALL).select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
+    pairs = cut(open_.where(F.col("size") <= SMALL).join(other, "key").where("id < x and label <> label_x").where(near).select("x", F.col("id").alias("y")).distinct())
+    if pairs.take(1):
+        found = cut(found.unionByName(verified(pairs)))
+        labels = components(found)
+        open_ = opened(labels)
+    open_ = open_.where(F.col("size") > SMALL)
+    if not open_.take(1):
+        return labels
+
+    # large ones: sets that share a rare shingle meet through it; of the others an intersection holds no rare shingle
+    loose = cut(open_.select("id", "label").distinct())
+    held = sets.join(loose, "id", "left_semi").mapInArrow(values(decode), "value long, id long")
+    few = held.groupBy("value").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
+    rare = cut(held.join(few, "value"))
+    common = cut(loose.join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left").select("id", F.coalesce("rare", F.lit(0)).alias("rare")))
+    together = rare.where("holders > 1").groupBy("value").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
+    pairs = together.select("ids", F.explode("ids").alias("x")).select("x", F.explode("ids").alias("y")).where("x < y").distinct()
+    for side in ("x", "y"):
+        pairs = pairs.join(loose.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}")), side)
+    found = cut(found.unionByName(verified(pairs.where("label_x <> label_y"))))
 
-    # an intersection holds no more than what either set shares with any other
     fits = f"100 * least(shared, shared_x) >= {percent} * (n + n_x - least(shared, shared_x))"
-    of_x = [F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("shared").alias("shared_x")]
-    plain = F.struct(((F.col("n") - F.col("shared")) / F.col("n")).alias("own"), F.xxhash64("key", "id").alias("by"))
-    first = members.groupBy("key").agg(F.min_by(F.struct(*of_x), plain).alias("pivot")).select("key", "pivot.*")
-    found = cut(verified(members.join(first, "key").where("id <> x").where(fits).select("x", F.col("id").alias("y"))))
-    pivots = 8
+    pivots, labels = SMALL, components(found)
+    open_ = opened(labels).where(F.col("size") > SMALL)
     while True:
-        labels = components(found)
-        open_ = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        active = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        open_ = cut(open_.join(active, "key"))
+        rows_ = open_.join(common, "id").withColumn("shared", F.col("n") - F.col("rare"))
         chance = (F.xxhash64("key", "id", F.lit(1)).bitwiseAND((1 << 30) - 1) / (1 << 30)) * F.col("size")
-        picked = open_.where(chance < pivots).where(chance >= (pivots // 8 if pivots > 8 else 0)).select("key", *of_x, F.col("label").alias("label_x"))
-        pairs = open_.join(picked, "key").where("label <> label_x").where(fits).select("x", F.col("id").alias("y"))
-        found = cut(found.unionByName(verified(pairs)).distinct())
-        left = open_.where(F.col("size") > pivots).limit(1).count()
-        if not left:
-            return cut(components(found))
+        picked = rows_.where(chance < pivots).where(chance >= (pivots // 8 if pivots > SMALL else 0))
+        picked = picked.select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("shared").alias("shared_x"), F.col("label").alias("label_x"))
+        pairs = cut(rows_.join(picked, "key").where("label <> label_x").where(fits).select("x", F.col("id").alias("y")))
+        if pairs.take(1):
+            found = cut(found.unionByName(verified(pairs)))
+            labels = components(found)
+            open_ = opened(labels).where(F.col("size") > SMALL)
+        if not open_.where(F.col("size") > pivots).take(1):
+            return labels
         pivots *= 8
