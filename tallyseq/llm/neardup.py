@@ -136,19 +136,21 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
         active = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         return cut(labelled.join(active, "key"))
 
+    def grown(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return components(known.unionByName(verified(pairs)))
+
     middle = F.max_by(F.struct(F.col("id").alias("x"), F.col("n").alias("n_x")), F.struct("company", F.xxhash64("key", "id")))
     first = members.join(ids, "id").groupBy("key").agg(middle.alias("pivot")).select("key", "pivot.*")
     near = f"100 * least(n, n_x) >= {percent} * greatest(n, n_x)"
-    found = cut(verified(members.join(first, "key").where("id <> x").where(near).select("x", F.col("id").alias("y"))))
+    labels = components(verified(members.join(first, "key").where("id <> x").where(near).select("x", F.col("id").alias("y"))))
 
     # small buckets: every pair of different components
-    labels = components(found)
     open_ = opened(labels)
     other = open_.where(F.col("size") <= SMALL).select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
     pairs = cut(open_.where(F.col("size") <= SMALL).join(other, "key").where("id < x and label <> label_x").where(near).select("x", F.col("id").alias("y")).distinct())
     if pairs.take(1):
-        found = cut(found.unionByName(verified(pairs)))
-        labels = components(found)
+        labels = grown(labels, pairs)
         open_ = opened(labels)
     open_ = open_.where(F.col("size") > SMALL)
     if not open_.take(1):
@@ -164,10 +166,10 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     pairs = together.select("ids", F.explode("ids").alias("x")).select("x", F.explode("ids").alias("y")).where("x < y").distinct()
     for side in ("x", "y"):
         pairs = pairs.join(loose.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}")), side)
-    found = cut(found.unionByName(verified(pairs.where("label_x <> label_y"))))
+    labels = grown(labels, pairs.where("label_x <> label_y"))
 
     fits = f"100 * least(shared, shared_x) >= {percent} * (n + n_x - least(shared, shared_x))"
-    pivots, labels = SMALL, components(found)
+    pivots = SMALL
     open_ = opened(labels).where(F.col("size") > SMALL)
     while True:
         rows_ = open_.join(common, "id").withColumn("shared", F.col("n") - F.col("rare"))
@@ -176,8 +178,7 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
         picked = picked.select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("shared").alias("shared_x"), F.col("label").alias("label_x"))
         pairs = cut(rows_.join(picked, "key").where("label <> label_x").where(fits).select("x", F.col("id").alias("y")))
         if pairs.take(1):
-            found = cut(found.unionByName(verified(pairs)))
-            labels = components(found)
+            labels = grown(labels, pairs)
             open_ = opened(labels).where(F.col("size") > SMALL)
         if not open_.where(F.col("size") > pivots).take(1):
             return labels
