@@ -185,12 +185,12 @@ def scored(shared, tokens: int, types: int, base: float, mu: float):
     return finish
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, least: int = 2, base: float = 1.5, mu: float = 2000.0, most_mb: int = 96) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held: int = 2, least: int = 1, base: float = 1.5, mu: float = 2000.0, most_mb: int = 96) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from all documents whose crc32(doc_id) modulo ``folds`` is not ``held``. Tokens: the words with A-Z lower-cased, then one end. Word
-    counts c are exact; base_score sums log10((c + 1) / (N + V + 1)) over the tokens. Pairs seen ``least`` times or more in
-    training enter a log-frequency Bloom filter with their level 1 + floor(log_base(count)); a worker finds a pair's level by
+    counts c are exact; base_score sums log10((c + 1) / (N + V + 1)) over the tokens. All pairs seen in training (``least`` times or more, if
+    that is raised) enter a log-frequency Bloom filter with their level 1 + floor(log_base(count)); a worker finds a pair's level by
     probing 1, 2, ... until one is absent. score sums log10((c12 + mu * p) / (c1 + mu)), where p is the base's
     probability of the token, c12 the count that the level stands for, c1 the count of the token before (for the first, of the ends).
 
