@@ -78,13 +78,12 @@ def find(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds ``found``: the spans of the rules whose keys are in column ``todo``, by start, rule order and end.
 
     Offsets count code points, end exclusive. The text between the matches and the matches
-    themselves come from split() and regexp_extract_all(); their lengths give the offsets. Only rows
-    with a finding are returned.
+    themselves come from split() and regexp_extract_all(); their lengths give the offsets. All rows
+    are returned, an empty array where nothing is found.
     """
     text = F.col("content")
     for i, r in enumerate(rules):
         texts = texts.withColumn(f"has{i}", F.array_contains("todo", r.key) & _has(r, text))
-    texts = texts.where(" or ".join(f"has{i}" for i in range(len(rules))))
     for i, r in enumerate(rules):
         none = F.array().cast("array<string>")
         texts = texts.withColumn(f"hit{i}", F.when(F.col(f"has{i}"), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))).otherwise(none))
@@ -98,7 +97,7 @@ def find(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows for ``versions(content)``: blob, rules (array of rule keys), spans.
+    """New ledger rows for ``versions(content)``, one for each scanned blob: blob, rules (array of rule keys), spans.
 
     ``ledger``: earlier results of this function. A blob that the ledger holds under all current
     rules gives no row; one that it holds under some is scanned with the others only. Null content is
@@ -113,10 +112,7 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tu
     else:
         seen = ledger.select("blob", F.explode("rules").alias("key")).groupBy("blob").agg(F.collect_set("key").alias("seen"))
         blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.when(F.col("seen").isNull(), keys).otherwise(F.array_except(keys, "seen"))).where("size(todo) > 0")
-    if ledger is None:
-        return find(blobs, rules).select("blob", F.col("todo").alias("rules"), F.col("found").alias("spans"))
-    found = find(blobs, rules).select("blob", "found")
-    return blobs.select("blob", "todo").join(found, "blob", "left").select("blob", F.col("todo").alias("rules"), F.coalesce("found", F.array().cast(SPAN)).alias("spans"))
+    return find(blobs, rules).select("blob", F.col("todo").alias("rules"), F.col("found").alias("spans"))
 
 
 def findings(paths: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -157,7 +153,7 @@ def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         F.array().cast("array<struct<start:int,end:int>>"),
         lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
-    keyed = keyed.withColumn("cuts", F.when(F.col("found_spans").isNotNull(), merged))
+    keyed = keyed.withColumn("cuts", F.when(F.size("found_spans") > 0, merged))
     starts = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda s: s["end"]))
     ends = F.concat(F.transform("cuts", lambda s: s["start"]), F.array(F.length("text")))
     kept = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"])), mask)
