@@ -220,7 +220,7 @@ def thinned(schema: pa.Schema):
         if bodies.num_rows and -1 not in stay:
             raise RuntimeError("a block lacks its winners")
         out = [schema.empty_table()]
-        for body in bodies.column("data"):
+        for body in bodies.column("data"):  # several only if blocks are equal: the first keeps the winners
             rows = opened(body.as_py())
             texts, removed, counts = rows.column("text").to_pylist(), [0] * rows.num_rows, [0] * rows.num_rows
             gone: dict[int, set[int]] = {}
@@ -233,6 +233,7 @@ def thinned(schema: pa.Schema):
                 removed[r] = len(numbers)
             new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
             out.append(pa.table([new[f.name] if f.name in new else rows.column(f.name) for f in schema], schema=schema))
+            stay = set()
         return pa.concat_tables(out)
 
     return run

@@ -158,10 +158,13 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
 
     # large ones: sets that share a rare shingle meet through it; of the others an intersection holds no rare shingle
     loose = cut(open_.select("id", "label").distinct())
-    held = sets.join(loose, "id", "left_semi").mapInArrow(values(decode), "value long, id long")
+    # sets may give an id in several rows: equal ones count once; an id of different sets counts as without rare shingles, which only loosens its bound
+    mine = sets.join(loose, "id", "left_semi")
+    several = mine.groupBy("id").agg(F.min(F.xxhash64("shingles")).alias("least"), F.max(F.xxhash64("shingles")).alias("most")).where("least < most").select("id")
+    held = mine.mapInArrow(values(decode), "value long, id long").distinct()
     few = held.groupBy("value").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
     rare = cut(held.join(few, "value"))
-    common = cut(loose.join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left").select("id", F.coalesce("rare", F.lit(0)).alias("rare")))
+    common = cut(loose.join(rare.groupBy("id").agg(F.count("*").alias("rare")).join(several, "id", "left_anti"), "id", "left").select("id", F.coalesce("rare", F.lit(0)).alias("rare")))
     together = rare.where("holders > 1").groupBy("value").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
     pairs = together.select("ids", F.explode("ids").alias("x")).select("x", F.explode("ids").alias("y")).where("x < y").distinct()
     for side in ("x", "y"):
