@@ -15,10 +15,10 @@ def test_a_large_bucket_of_two_families_with_repeated_rows(spark):
     """One bucket of two families of 20; each set comes in three rows."""
     rng = np.random.default_rng(7)
     sets = family(rng, 100, 20) | family(rng, 200, 20)
-    sig = np.arange(16, dtype=np.uint32).tobytes()  # equal minima: all share each bucket, none is pruned
+    sig = np.arange(4, dtype=np.uint32).tobytes()  # equal minima: all share the one bucket, whose pivot connects one family; none is pruned
     classes = spark.createDataFrame([(i, len(x), sig) for i, x in sets.items()], "id long, n long, sig binary")
     rows = spark.createDataFrame([(i, x.tobytes()) for i, x in sets.items() for _ in range(3)], "id long, shingles binary")
-    got = {r["id"]: r["component"] for r in neardup.links(classes, lambda ids: rows.join(ids, "id", "left_semi"), 85, 4, 4).collect()}
+    got = {r["id"]: r["component"] for r in neardup.links(classes, lambda ids: rows.join(ids, "id", "left_semi"), 85, 1, 4).collect()}
     assert got == {i: i // 100 * 100 for i in sets}
 
 
