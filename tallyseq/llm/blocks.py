@@ -103,10 +103,10 @@ def deal(block: int, keys: np.ndarray, shards: int, pack: Callable[[np.ndarray],
     return [(block, s, pack(order[edges[s] : edges[s + 1]])) for s in range(shards) if edges[s] < edges[s + 1]]
 
 
-def shards_for(docs: DataFrame, chars: int = 25_000_000) -> int:
-    """One shard for each ``chars`` characters of input."""
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(4, -(-total // chars))
+def shards_for(docs: DataFrame, size: int = 25_000_000) -> int:
+    """One shard for each ``size`` bytes of text."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4, -(-total // size))
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -115,14 +115,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def answered(requests: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """Deals the requests by shard; ``answer`` gets the data of all blocks of a shard and gives as many answers."""
+def answered_rows(requests: DataFrame, answer: Callable[[pa.Table], pa.Table], shards: int, schema: str = ROWS) -> DataFrame:
+    """Deals the requests by shard, to as many partitions as there are shards; ``answer`` gets all rows of a shard."""
+    return requests.repartition(shards, "shard").groupBy("shard").applyInArrow(answer, schema)
+
+
+def answered(requests: DataFrame, answer: Callable[[list[bytes]], list[bytes]], shards: int) -> DataFrame:
+    """The same, where ``answer`` gets the data of all blocks of a shard and gives as many answers."""
 
     def run(table: pa.Table) -> pa.Table:
         data = answer([x.as_py() for x in table.column("data")])
         return pa.table([table.column("block"), table.column("shard"), pa.array(data, pa.binary())], schema=FIELDS)
 
-    return requests.groupBy("shard").applyInArrow(run, ROWS)
+    return answered_rows(requests, run, shards)
 
 
 def rejoined(bodies: DataFrame, answers: DataFrame, finish: Callable[[bytes, list[bytes]], pa.Table], schema: str, empty: pa.Schema) -> DataFrame:

@@ -171,7 +171,7 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = blocks.shards_for(docs)
     bodies, words = (base.mapInArrow(split(shards, part), blocks.ROWS) for part in ("bodies", "words"))
-    return blocks.rejoined(bodies, blocks.answered(words, word_table(path)), assembled(path), SCHEMA, FIELDS)
+    return blocks.rejoined(bodies, blocks.answered(words, word_table(path), shards), assembled(path), SCHEMA, FIELDS)
 
 
 def digest(encoded: DataFrame) -> DataFrame:

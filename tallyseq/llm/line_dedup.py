@@ -17,8 +17,8 @@ from tallyseq.llm.neardup import links
 
 WIDTH = 8
 CHUNK = 50_000
+BLOCK_BYTES = 3_000_000
 SPACES = b" \t\n\v\f\r"
-KEY_BITS = np.uint64(40)
 
 
 def normal(line: str) -> bytes:
@@ -54,8 +54,11 @@ def signatures(lines: list[bytes], k: int) -> np.ndarray:
             continue
         h, many = shingle_hashes(lines[done:end])
         x, starts = (h >> np.uint64(32)).astype(np.uint32), np.cumsum(many) - many
+        t = np.empty_like(x)
         for j in range(k):
-            out[done:end, j] = np.minimum.reduceat(x * a[j] + c[j], starts)
+            np.multiply(x, a[j], out=t)
+            t += c[j]
+            out[done:end, j] = np.minimum.reduceat(t, starts)
         done, size = end, 0
     return out
 
@@ -65,12 +68,14 @@ def ids_of(lines: list[bytes]) -> np.ndarray:
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of about BLOCK_CHARS characters of text, one row at least."""
+    """Slices of about BLOCK_BYTES, one row at least; columns other than text count by their mean."""
     for b in batches:
-        sizes = np.cumsum(pc.fill_null(pc.utf8_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        text = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        rest = max(0, b.nbytes - int(text.sum())) // max(1, b.num_rows)
+        sizes = np.cumsum(text + rest)
         at = 0
         while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + blocks.BLOCK_CHARS, "right")))
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK_BYTES, "right")))
             yield b.slice(at, end - at)
             at = end
 
@@ -88,44 +93,64 @@ def opened(body: bytes) -> pa.Table:
 
 def lines_of(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
     """(row, line number, line) of the lines that take part: not blank, of a row with a doc_id."""
-    for r, (i, t) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True)):
-        if i is not None and t:
+    for r, (i, t) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("text"), strict=True)):
+        if i is not None and (t := t.as_py()):
             for n, line in enumerate(t.split("\n")):
                 if line.strip(" \t\n\v\f\r"):
                     yield r, n, line
 
 
 def bodies_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of blocks: the documents. Their table is read once for them and once for claims(); a block is named by its rows, so both agree."""
+    """Rows of blocks: the documents."""
     for b in sliced(batches):
         body = packed(b)
         yield blocks.rows_of([(blocks.name(body), -1, body)])
 
 
-def distinct_lines(rows: pa.Table | pa.RecordBatch) -> list[bytes]:
-    return list(dict.fromkeys(normal(x) for _, _, x in lines_of(rows)))
+class Lines:
+    """Distinct lines of a block, in order of appearance, and the first place of each by (doc_id, line number).
+
+    ``at`` is that place's number among all lines of the block that take part.
+    """
+
+    def __init__(self, rows: pa.Table) -> None:
+        doc_ids, first = rows.column("doc_id").to_pylist(), {}
+        for at, (r, n, line) in enumerate(lines_of(rows)):
+            place, key = (doc_ids[r], n, at), normal(line)
+            if key not in first or place < first[key]:
+                first[key] = place
+        self.lines = list(first)
+        places = np.array(list(first.values()), np.int64).reshape(len(first), 3)
+        self.doc_id, self.n, self.at = places[:, 0].copy(), places[:, 1].astype(np.uint32), places[:, 2].astype(np.int32)
 
 
 def claims(shards: int):
-    """Rows of blocks: requests that hold the 64-bit hashes of the block's distinct lines."""
+    """Rows of blocks: requests that hold the 64-bit hashes of the block's distinct lines and their first places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            ids = ids_of(distinct_lines(b))
-            yield blocks.rows_of(blocks.deal(blocks.name(packed(b)), ids, shards, lambda mine, ids=ids: blocks.put(np.diff(mine, prepend=0).astype(np.uint32), ids[mine])))
+        for b in batches:
+            for block, body in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
+                own = Lines(opened(body.as_py()))
+                ids = ids_of(own.lines)
+                pack = lambda mine, ids=ids, own=own: blocks.put(np.diff(mine, prepend=0).astype(np.uint32), ids[mine], own.doc_id[mine], own.n[mine])
+                yield blocks.rows_of(blocks.deal(block, ids, shards, pack))
 
     return run
 
 
 def owners(table: pa.Table) -> pa.Table:
-    """Answer of a shard to claims: the lines of each block that no block of a smaller name holds."""
+    """Answer of a shard to claims: the lines of each block whose first place over all blocks is there; of equal places the block of the smallest name."""
     asked = [blocks.get(x.as_py()) for x in table.column("data")]
-    of = np.repeat(table.column("block").to_numpy(), [len(a[1]) for a in asked])
-    distinct, at = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(least, at, of)
-    own = np.split(least[at] == of, np.cumsum([len(a[1]) for a in asked])[:-1])
-    data = [blocks.put(np.cumsum(a[0].astype(np.int64))[mine].astype(np.uint32)) for a, mine in zip(asked, own, strict=True)]
+    sizes = [len(a[1]) for a in asked]
+    block = np.repeat(table.column("block").to_numpy(), sizes)
+    ids, doc_id, n = (np.concatenate([a[c] for a in asked]) for c in (1, 2, 3))
+    order = np.lexsort((block, n, doc_id, ids))
+    ids, doc_id, n, block = ids[order], doc_id[order], n[order], block[order]
+    new = np.append(True, ids[1:] != ids[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    own = np.empty(len(ids), bool)
+    own[order] = (doc_id == doc_id[first]) & (n == n[first]) & (block == block[first])
+    data = [blocks.put(np.cumsum(a[0].astype(np.int64))[mine].astype(np.uint32)) for a, mine in zip(asked, np.split(own, np.cumsum(sizes)[:-1]), strict=True)]
     return pa.table([table.column("block"), table.column("shard"), pa.array(data, pa.binary())], schema=blocks.FIELDS)
 
 
@@ -134,10 +159,13 @@ def numbers(answers: list[bytes]) -> np.ndarray:
 
 
 def split(shards: int, bands: int, rows: int):
-    """Requests of a block: band keys of the lines it owns, cut to 40 bits. Each line has one owner, so equal keys are of different lines."""
+    """Requests of a block: band keys of the lines it owns. Each line has one owner, so equal keys are of different lines.
+
+    A shard gets the upper 32 bits of the keys that fall to it by their remainder.
+    """
 
     def finish(body: bytes, answers: list[bytes]) -> pa.Table:
-        lines, which = distinct_lines(opened(body)), numbers(answers)
+        lines, which = Lines(opened(body)).lines, numbers(answers)
         if lines and not answers:
             raise RuntimeError("a block lacks the owners of its lines")
         lines = [lines[i] for i in which.tolist()]
@@ -145,11 +173,10 @@ def split(shards: int, bands: int, rows: int):
         key = np.broadcast_to(mix64(np.arange(1, bands + 1, dtype=np.uint64)), (len(lines), bands)).copy()
         for r in range(rows):
             key = mix64(key ^ sig[:, :, r])
-        key = key.ravel() >> (np.uint64(64) - KEY_BITS)
-        of = np.repeat(which, bands)
+        key, of = key.ravel(), np.repeat(which, bands)
 
         def pack(mine: np.ndarray) -> bytes:
-            return blocks.put((key[mine] >> np.uint64(32)).astype(np.uint8), key[mine].astype(np.uint32), np.diff(of[mine], prepend=np.uint32(0)))
+            return blocks.put((key[mine] >> np.uint64(32)).astype(np.uint32), np.diff(of[mine], prepend=np.uint32(0)))
 
         block = blocks.name(body)
         return pa.Table.from_batches([blocks.rows_of(blocks.deal(block, key, shards, pack) or [(block, 0, pack(np.zeros(0, np.int64)))])])
@@ -160,26 +187,25 @@ def split(shards: int, bands: int, rows: int):
 def shared_bands(requests: list[bytes]) -> list[bytes]:
     """Answer of a shard: each block's lines whose band key another line has too."""
     asked = [blocks.get(d) for d in requests]
-    high, low, _ = (np.concatenate(c) for c in zip(*asked, strict=True))
-    _, at, size = np.unique((high.astype(np.uint64) << np.uint64(32)) | low, return_inverse=True, return_counts=True)
-    many = (size > 1)[at]
-    out, end = [], 0
-    for a in asked:
-        mine = many[end : end + len(a[0])]
-        end += len(a[0])
-        out.append(blocks.put(np.unique(np.cumsum(a[2].astype(np.int64))[mine]).astype(np.uint32)))
-    return out
+    keys = np.concatenate([a[0] for a in asked])
+    order = np.argsort(keys)
+    same = keys[order][1:] == keys[order][:-1]
+    many = np.empty(len(keys), bool)
+    many[order] = np.append(same, False) | np.append(False, same) if len(keys) else many
+    parts = np.split(many, np.cumsum([len(a[0]) for a in asked])[:-1])
+    return [blocks.put(np.unique(np.cumsum(a[1].astype(np.int64))[mine]).astype(np.uint32)) for a, mine in zip(asked, parts, strict=True)]
 
 
-CANDIDATES = pa.schema([("id", pa.int64()), ("line", pa.binary())])
+CANDIDATES = pa.schema([("id", pa.int64()), ("line", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("block", pa.int64()), ("at", pa.int32())])
 
 
 def candidates(body: bytes, answers: list[bytes]) -> pa.Table:
-    lines = distinct_lines(opened(body))
-    if lines and not answers:
+    own = Lines(opened(body))
+    if own.lines and not answers:
         raise RuntimeError("a block lacks the answers about its lines")
-    lines = [lines[i] for i in numbers(answers).tolist()]
-    return pa.table([pa.array(ids_of(lines).view(np.int64)), pa.array(lines, pa.binary())], schema=CANDIDATES)
+    mine = numbers(answers)
+    lines = [own.lines[i] for i in mine.tolist()]
+    return pa.table([ids_of(lines).view(np.int64), pa.array(lines, pa.binary()), own.doc_id[mine], own.n[mine].astype(np.int64), np.full(len(mine), blocks.name(body)), own.at[mine]], schema=CANDIDATES)
 
 
 def sets_of(lines: list[bytes]) -> list[np.ndarray]:
@@ -199,41 +225,31 @@ def described(k: int):
     return run
 
 
-def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line that takes part: class, doc_id, line number, block, and its place among the block's lines; place -1 tells that the block was seen."""
-    for b in batches:
-        for block, body in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
-            rows = opened(body.as_py())
-            doc_ids = rows.column("doc_id").to_pylist()
-            found = list(lines_of(rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(ids_of([normal(x) for _, _, x in found]).view(np.int64), block)), pa.array([*[doc_ids[r] for r, _, _ in found], 0], pa.int64()), pa.array([*[n for _, n, _ in found], 0], pa.int32()), pa.array(np.full(len(found) + 1, block)), pa.array(np.append(np.arange(len(found), dtype=np.int32), np.int32(-1)))],
-                ["id", "doc_id", "line", "block", "at"],
-            )
-
-
 def thinned(schema: pa.Schema):
-    """cogroup function: the rows of a block without the lines that are not among its winners."""
+    """cogroup function: the rows of a block without the lines that it doesn't own or that lost against a near line."""
 
-    def run(bodies: pa.Table, winners: pa.Table) -> pa.Table:
-        stay = set(winners.column("at").to_pylist())
-        if bodies.num_rows and -1 not in stay:
-            raise RuntimeError("a block lacks its winners")
+    def run(bodies: pa.Table, answers: pa.Table) -> pa.Table:
+        lost = set(answers.column("lost").drop_null().to_pylist())
+        which = numbers([x.as_py() for x in answers.column("data").drop_null()])
         out = [schema.empty_table()]
-        for body in bodies.column("data"):  # several only if blocks are equal: the first keeps the winners
+        for body in bodies.column("data"):  # several only if blocks are equal: the first keeps its lines
             rows = opened(body.as_py())
+            own = Lines(rows)
+            if own.lines and not answers.num_rows:
+                raise RuntimeError("a block lacks the owners of its lines")
+            stay = set(own.at[which].tolist()) - lost
             texts, removed, counts = rows.column("text").to_pylist(), [0] * rows.num_rows, [0] * rows.num_rows
             gone: dict[int, set[int]] = {}
             for at, (r, n, _) in enumerate(lines_of(rows)):
                 counts[r] += 1
                 if at not in stay:
                     gone.setdefault(r, set()).add(n)
-            for r, numbers in gone.items():
-                texts[r] = "\n".join(x for n, x in enumerate(texts[r].split("\n")) if n not in numbers)
-                removed[r] = len(numbers)
+            for r, those in gone.items():
+                texts[r] = "\n".join(x for n, x in enumerate(texts[r].split("\n")) if n not in those)
+                removed[r] = len(those)
             new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
             out.append(pa.table([new[f.name] if f.name in new else rows.column(f.name) for f in schema], schema=schema))
-            stay = set()
+            which = which[:0]
         return pa.concat_tables(out)
 
     return run
@@ -247,24 +263,28 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80, bands: int = 26,
     documents, only the line of the smallest (doc_id, line number) stays. ``bands`` of ``rows`` minima propose the
     pairs; a pair at the threshold is missed with probability (1 - (percent / 100) ** rows) ** bands, 1e-6 at 80 %. Lines are told apart by 64 bits of hash throughout.
 
+    The table is dealt into blocks once, by name, and kept so (checkpoint()); a block owns the lines whose first place it holds,
+    asks the shards of their band keys for company, and only lines that have some leave it.
+
     Blank lines take no part and stay. Null or empty text is unchanged. Rows with a null doc_id neither lose
     lines nor make others lose them. Of repeated rows one keeps its lines. Other columns are passed on, but for n_lines and n_removed, which
-    are replaced. n_chars, where present, is not changed. Empty table: no rows. ``docs`` is read several times and must give the same rows in the
-    same partitions each time, as tables do.
+    are replaced. n_chars, where present, is not changed. Empty table: no rows.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_removed").withColumn("doc_id", F.col("doc_id").cast("long"))
-    shards = blocks.shards_for(docs, 10_000_000)  # a line has a key for each band
-    bodies = docs.mapInArrow(bodies_of, blocks.ROWS)
-    own = docs.mapInArrow(claims(shards), blocks.ROWS).groupBy("shard").applyInArrow(owners, blocks.ROWS)
+    shards = blocks.shards_for(docs, 16_000_000)  # a line has a key for each band
+    bodies = cut(docs.mapInArrow(bodies_of, blocks.ROWS).repartition(shards, "block"))
+    own = cut(blocks.answered_rows(bodies.mapInArrow(claims(shards), blocks.ROWS), owners, shards))
     keys = blocks.rejoined(bodies, own, split(shards, bands, rows), blocks.ROWS, blocks.FIELDS)
-    shared = blocks.answered(keys, shared_bands)
-    lines = cut(blocks.rejoined(bodies, shared, candidates, "id long, line binary", CANDIDATES).groupBy("id").agg(F.first("line").alias("line")))
+    shared = blocks.answered(keys, shared_bands, shards)
+    places = blocks.rejoined(bodies, shared, candidates, "id long, line binary, doc_id long, n long, block long, at int", CANDIDATES)
+    lines = cut(places.groupBy("id").agg(F.first(F.struct("line", "doc_id", "n", "block", "at")).alias("x")).select("id", "x.*"))
     classes = cut(lines.mapInArrow(described(bands * rows), "id long, n long, sig binary"))
-    near = links(classes, lambda _: lines.withColumnRenamed("line", "shingles"), percent, bands, rows, sets_of)
-    found = bodies.mapInArrow(occurrences, "id long, doc_id long, line int, block long, at int")
-    label = F.coalesce("component", "id").alias("label")
-    winners = found.join(near, "id", "left").groupBy(label).agg(F.min(F.struct("doc_id", "line", "block", "at")).alias("w")).select("w.block", "w.at")
+    near = links(classes, lambda _: lines.select("id", F.col("line").alias("shingles")), percent, bands, rows, sets_of)
+    linked = lines.drop("line").join(near, "id")
+    first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "n", "id")).alias("first")).select("component", F.col("first.id").alias("first"))
+    lost = linked.join(first, "component").where("id <> first").select("block", F.lit(None).cast("binary").alias("data"), F.col("at").alias("lost"))
+    answers = own.select("block", "data", F.lit(None).cast("int").alias("lost")).unionByName(lost)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema
     fields = spark.createDataFrame([], schema).toArrow().schema
-    return bodies.groupBy("block").cogroup(winners.groupBy("block")).applyInArrow(thinned(fields), schema)
+    return bodies.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(thinned(fields), schema)

@@ -269,9 +269,9 @@ def without_repeats(docs: DataFrame, width: int = 50, rounds: int = 6) -> DataFr
     shards = blocks.shards_for(docs)
     rows = cut(base.mapInArrow(split(shards, width, rounds), blocks.ROWS))
     bodies = rows.where("shard < 0")
-    symbols = blocks.answered(rows.where("shard >= 0"), shared_symbols)
+    symbols = blocks.answered(rows.where("shard >= 0"), shared_symbols, shards)
     windows = blocks.rejoined(bodies, symbols, candidate_windows(shards, width, rounds), blocks.ROWS, blocks.FIELDS)
-    repeats = blocks.answered(windows, repeated_windows)
+    repeats = blocks.answered(windows, repeated_windows, shards)
     return blocks.rejoined(bodies, repeats, cleaned(width), SCHEMA, FIELDS)
 
 
