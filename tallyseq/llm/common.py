@@ -139,5 +139,4 @@ def components(edges: DataFrame, per_part: int = 300_000) -> DataFrame:
         before, now = now, state(e)
         if now == before:
             break
-    e = cut(e)
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return cut(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))

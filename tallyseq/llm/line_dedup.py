@@ -255,15 +255,16 @@ def thinned(schema: pa.Schema):
     return run
 
 
-def without_repeated_lines(docs: DataFrame, percent: int = 80, bands: int = 26, rows: int = 4) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, percent: int = 80, bands: int = 26, rows: int = 4, miss: float = 1e-6) -> DataFrame:
     """``docs(doc_id, text, ...)`` with near-repeated lines taken out of text, and n_lines, n_removed; all rows stay.
 
     Lines are cut at \\n. Two lines are linked when 100 * intersection >= percent * union of their distinct runs of WIDTH
     characters (A-Z lower-cased, ends stripped; a shorter line is one run). Of each component of linked lines, over all
     documents, only the line of the smallest (doc_id, line number) stays. ``bands`` of ``rows`` minima propose the
-    pairs; a pair at the threshold is missed with probability (1 - (percent / 100) ** rows) ** bands, 1e-6 at 80 %. Lines are told apart by 64 bits of hash throughout.
+    pairs; a pair at the threshold is missed with probability (1 - (percent / 100) ** rows) ** bands, 1e-6 at 80 %, one
+    that is proposed with ``miss`` by its signatures. Lines are told apart by 64 bits of hash throughout.
 
-    The table is dealt into blocks once, by name, and kept so (checkpoint()); a block owns the lines whose first place it holds,
+    The table is cut into blocks once and kept so (checkpoint()); a block owns the lines whose first place it holds,
     asks the shards of their band keys for company, and only lines that have some leave it.
 
     Blank lines take no part and stay. Null or empty text is unchanged. Rows with a null doc_id neither lose
@@ -273,14 +274,14 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80, bands: int = 26,
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_removed").withColumn("doc_id", F.col("doc_id").cast("long"))
     shards = blocks.shards_for(docs, 16_000_000)  # a line has a key for each band
-    bodies = cut(docs.mapInArrow(bodies_of, blocks.ROWS).repartition(shards, "block"))
+    bodies = cut(docs.mapInArrow(bodies_of, blocks.ROWS))
     own = cut(blocks.answered_rows(bodies.mapInArrow(claims(shards), blocks.ROWS), owners, shards))
     keys = blocks.rejoined(bodies, own, split(shards, bands, rows), blocks.ROWS, blocks.FIELDS)
     shared = blocks.answered(keys, shared_bands, shards)
     places = blocks.rejoined(bodies, shared, candidates, "id long, line binary, doc_id long, n long, block long, at int", CANDIDATES)
     lines = cut(places.groupBy("id").agg(F.first(F.struct("line", "doc_id", "n", "block", "at")).alias("x")).select("id", "x.*"))
     classes = cut(lines.mapInArrow(described(bands * rows), "id long, n long, sig binary"))
-    near = links(classes, lambda _: lines.select("id", F.col("line").alias("shingles")), percent, bands, rows, sets_of)
+    near = links(classes, lambda _: lines.select("id", F.col("line").alias("shingles")), percent, bands, rows, sets_of, miss)
     linked = lines.drop("line").join(near, "id")
     first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "n", "id")).alias("first")).select("component", F.col("first.id").alias("first"))
     lost = linked.join(first, "component").where("id <> first").select("block", F.lit(None).cast("binary").alias("data"), F.col("at").alias("lost"))

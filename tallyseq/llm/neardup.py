@@ -25,6 +25,8 @@ from tallyseq.llm.common import components, cut, mix64
 
 RARE = 8
 SMALL = 16
+DECODED = 32_000_000  # bytes of sets that a task remembers
+BROADCAST_ROWS = 400_000  # of labels or keys, some 16 bytes each
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -69,11 +71,22 @@ def linked(percent: int, decode: Callable) -> Callable:
     """mapInArrow function: keeps the (a, b) with 100 * intersection >= percent * union on the full sets."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, np.ndarray] = {}  # a set stands in many pairs
+        held = 0
         for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            left, right = (b.column(c).to_pylist() for c in ("set_a", "set_b"))
+            if held > DECODED:
+                known, held = {}, 0
+            new = list({x for x in (*left, *right) if x not in known})
+            for x, values_ in zip(new, decode(new), strict=True):
+                known[x] = values_
+                held += len(x) + values_.nbytes
             good = []
-            for i, (x, y) in enumerate(zip(*(decode(b.column(c).to_pylist()) for c in ("set_a", "set_b")), strict=True)):
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
+            for i, (x, y) in enumerate(zip(left, right, strict=True)):
+                x, y = known[x], known[y]
+                if len(x) > len(y):
+                    x, y = y, x
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     good.append(i)
             yield b.select(["a", "b"]).take(pa.array(good, pa.int64()))
@@ -109,6 +122,11 @@ def values(decode: Callable) -> Callable:
     return run
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a materialised table of labels or keys of at most BROADCAST_ROWS rows; a larger one is shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int, rows: int, decode: Callable = stored, miss: float = 1e-9, batch: int = 16) -> DataFrame:
     """Components (id, component) of the classes that have a link.
 
@@ -132,9 +150,9 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
         return pairs.select("a", "b", "set_a", "set_b").mapInArrow(linked(percent, decode), "a long, b long")
 
     def opened(labels: DataFrame) -> DataFrame:
-        labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        active = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        return cut(labelled.join(active, "key"))
+        labelled = members.join(sent(labels), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        active = cut(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
+        return cut(labelled.join(sent(active), "key"))
 
     def grown(labels: DataFrame, pairs: DataFrame) -> DataFrame:
         known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -158,10 +176,11 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
 
     # large ones: sets that share a rare shingle meet through it; of the others an intersection holds no rare shingle
     loose = cut(open_.select("id", "label").distinct())
-    # sets may give an id in several rows: equal ones count once; an id of different sets counts as without rare shingles, which only loosens its bound
-    mine = sets.join(loose, "id", "left_semi")
+    # sets may give an id in several rows: equal ones count once; an id of different sets counts as without rare shingles, and what it holds
+    # twice as held by more, which only loosens bounds
+    mine = sets.join(loose, "id", "left_semi").dropDuplicates(["id", "shingles"])
     several = mine.groupBy("id").agg(F.min(F.xxhash64("shingles")).alias("least"), F.max(F.xxhash64("shingles")).alias("most")).where("least < most").select("id")
-    held = mine.mapInArrow(values(decode), "value long, id long").distinct()
+    held = mine.mapInArrow(values(decode), "value long, id long")
     few = held.groupBy("value").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
     rare = cut(held.join(few, "value"))
     common = cut(loose.join(rare.groupBy("id").agg(F.count("*").alias("rare")).join(several, "id", "left_anti"), "id", "left").select("id", F.coalesce("rare", F.lit(0)).alias("rare")))
