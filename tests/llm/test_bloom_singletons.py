@@ -2,13 +2,15 @@
 
 import math
 import zlib
+from collections import Counter
 
 import pytest
 
 from tallyseq.llm import bloom_lm
+from tests.llm import brute
 
 
-@pytest.mark.parametrize("most_mb", [96, -1])
+@pytest.mark.parametrize("most_mb", [256, -1])
 def test_pairs_seen_once_are_known(table, most_mb):
     out = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
     train = next(i for i in range(100) if i not in out)
@@ -19,3 +21,34 @@ def test_pairs_seen_once_are_known(table, most_mb):
     for i in (train, out[0]):  # every word, the end and every pair occur once
         assert got[i]["score"] == pytest.approx(41 * math.log10((1 + 2000 * p) / (1 + 2000)))
     assert got[out[0]]["held_out"] and got[out[0]]["score"] > got[out[1]]["score"]
+
+
+def exact(docs, folds=7, held=2, base=1.5, mu=2000.0):
+    """doc_id -> log10 probability, from exact pair counts cut down to the least count of their level."""
+    text = {i: [b"\n", *brute.words(t, lower=True), b"\n"] for i, t in docs.items()}
+    train = [w for i, w in text.items() if zlib.crc32(str(i).encode()) % folds != held]
+    c, pairs = Counter(x for w in train for x in w[1:]), Counter(x for w in train for x in zip(w, w[1:], strict=False))
+    kept = {x: math.ceil(base ** math.floor(math.log(n, base) + 1e-9) - 1e-9) for x, n in pairs.items()}
+    after = Counter()
+    for (v, _), n in kept.items():
+        after[v] += n
+    n, types = sum(c.values()), len(c)
+
+    def p(v, w):
+        return (c[v] * kept.get((v, w), 0) / max(after[v], 1) + mu * (c[w] + 1) / (n + types + 1)) / (c[v] + mu)
+
+    for v in list(c)[:20]:  # known words, and one unknown
+        assert sum(p(v, w) for w in c) + p(v, None) == pytest.approx(1, abs=1e-9)
+    return {i: sum(math.log10(p(v, x)) for v, x in zip(w, w[1:], strict=False)) for i, w in text.items()}
+
+
+@pytest.mark.parametrize("most_mb", [256, -1])
+def test_scores_equal_those_of_exact_counts(table, corpus, most_mb):
+    docs = dict(corpus) | {900 + i: "again and again the same words " * i for i in range(1, 12)}
+    want = exact(docs)
+    off = []  # the filter finds few pairs a level too high
+    for r in bloom_lm.score(table(docs), most_mb=most_mb).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-3)
+        off.append(abs(r["score"] - want[r["doc_id"]]) > 1e-6)
+    assert sum(off) < 0.3 * len(off)
+
