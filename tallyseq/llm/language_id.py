@@ -98,8 +98,8 @@ def look_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def score_words(model: Model, words: list[str]) -> np.ndarray:
-    """Log probability of each word and its end, by language."""
+def score_characters(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each character and end of the words, by language; and the number of rows of each word."""
     pad = model.order - 1
     text = "".join(EDGE * pad + w + EDGE for w in words)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -121,6 +121,12 @@ def score_words(model: Model, words: list[str]) -> np.ndarray:
         out[rows] += np.where(hit, value, np.where(open_[rows], back, 0))
         open_[rows] &= ~hit
     out += np.where(open_, model.floor, 0)
+    return out, lengths
+
+
+def score_words(model: Model, words: list[str]) -> np.ndarray:
+    """Log probability of each word and its end, by language."""
+    out, lengths = score_characters(model, words)
     return np.add.reduceat(out, np.cumsum(lengths) - lengths, axis=0)
 
 
@@ -207,12 +213,12 @@ def word_grams(order: int):
     return run
 
 
-def train(labelled: DataFrame, order: int = 5, most: int = 1500, least: int = 2, widen: float = 1.4) -> Model:
+def train(labelled: DataFrame, order: int = 5, most: int = 1500, widen: float = 1.4) -> Model:
     """Model from ``labelled(doc_id, text, lang)``, fitted on a bounded sample.
 
-    About ``most`` documents of each language (all, if fewer), chosen by a hash of doc_id, are read whole; n-grams seen
-    fewer than ``least`` times are left out. Rejection is calibrated on the same sample: a language's limit is
-    ``widen`` times the 99.9 % quantile of the cross-entropy of its own documents.
+    About ``most`` documents of each language (all, if fewer), chosen by a hash of doc_id, are read whole; every n-gram counts. A fifth of
+    them, chosen by another hash, is kept out of the fit and calibrates rejection: a language's limit is
+    ``widen`` times the 99.9 % quantile of the cross-entropy of its own documents there (no limit, if there are none).
     """
     spark = labelled.sparkSession
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
@@ -220,13 +226,14 @@ def train(labelled: DataFrame, order: int = 5, most: int = 1500, least: int = 2,
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, most / n))).otherwise(share)
-    unit = F.xxhash64(F.coalesce("doc_id", F.lit(0))).bitwiseAND((1 << 30) - 1) / (1 << 30)
-    sample = usable.where(unit < share)
-    grams = sample.mapInArrow(word_grams(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    known = F.coalesce("doc_id", F.lit(0))
+    unit = F.xxhash64(known).bitwiseAND((1 << 30) - 1) / (1 << 30)
+    sample, apart = usable.where(unit < share), F.pmod(F.xxhash64(known, F.lit(1)), F.lit(5)) == 0
+    grams = sample.where(~apart).mapInArrow(word_grams(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     model = fit([(r["lang"], r["gram"], r["n"]) for r in grams.toLocalIterator()], order)
     if not model.languages:
         return model
-    scored = sample.withColumn("held_out", F.lit(False)).select("doc_id", "lang", "held_out", "text").mapInArrow(predicted(spark.sparkContext.broadcast(model)), SCHEMA)
+    scored = sample.where(apart).withColumn("held_out", F.lit(False)).select("doc_id", "lang", "held_out", "text").mapInArrow(predicted(spark.sparkContext.broadcast(model)), SCHEMA)
     for r in scored.where("lang = lang_pred").groupBy("lang").agg(F.percentile_approx("cross_entropy", 0.999, 10_000).alias("q")).collect():
         model.limit[model.languages.index(r["lang"])] = widen * r["q"]
     return model

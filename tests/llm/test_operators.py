@@ -116,9 +116,18 @@ def test_language_id(table):
 
 
 def test_kneser_ney_sums_to_one():
-    model = language_id.fit([("x", g, c) for g, c in {"\x02\x02a": 3, "\x02ab": 2, "ab\x02": 2, "\x02aa": 1, "aa\x02": 1}.items()], 3)
-    ends = [float(np.exp(language_id.score_words(model, ["a" + x])[0, 0] - 0)) for x in "a"]
-    assert 0 < ends[0] < 1
+    """After contexts that are known, known in part and unknown: all known characters, the end and one unknown character."""
+    rng = np.random.default_rng(9)
+    words, edge = ["".join(rng.choice(list("abcde"), rng.integers(1, 7), p=[0.5, 0.2, 0.1, 0.1, 0.1])) for _ in range(200)], language_id.EDGE
+    grams = {}
+    for w in words:
+        padded = edge * 2 + w + edge
+        for k in range(len(padded) - 2):
+            grams[padded[k : k + 3]] = grams.get(padded[k : k + 3], 0) + 1
+    model = language_id.fit([("x", g, c) for g, c in grams.items()] + [("y", edge * 2 + "q", 1), ("y", edge + "q" + edge, 1)], 3)
+    for before in ("", "a", "ab", "ea", "cd", "zz", "az"):
+        logs = [language_id.score_characters(model, [before + x])[0][len(before), 0] for x in ("a", "b", "c", "d", "e", "?", "")]
+        assert sum(np.exp(np.array(logs, float))) == pytest.approx(1, abs=1e-5), before
     assert all((k[1:] > k[:-1]).all() for k in model.keys.values())
 
 
