@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyseq.functions import dna
+from tallyseq.operators.common import cut
 
 BROADCAST_ROWS = 200_000
 
@@ -48,18 +49,25 @@ def n_rescue(barcodes: DataFrame, whitelist: DataFrame, max_n: int = 1) -> DataF
     return hit.groupBy("barcode").agg(F.count("*").alias("n"), F.min("candidate").alias("candidate")).where("n = 1").drop("n")
 
 
-def classify(reads: DataFrame, whitelist: DataFrame, length: int, max_candidates: int = 3, max_n: int = 1) -> DataFrame:
-    """Adds status, corrected (barcode) and candidates to ``reads(read_id, barcode, umi, barcode_qual, ...)``.
+def corrections(reads: DataFrame, whitelist: DataFrame, length: int, max_n: int = 1) -> DataFrame:
+    """(barcode, near, from_n) of the distinct barcodes that are not on the whitelist: candidates at distance one, and the one from N.
 
-    status: short (no barcode or UMI), bad_umi (other than ACGT), valid, corrected (one candidate at distance one), pending (two to
-    ``max_candidates``), ambiguous (more), n_corrected, no_match. Correction tables are made once for the distinct barcodes.
+    The table is materialised: reads meet it several times.
     """
-    distinct = reads.where("barcode is not null").select("barcode").distinct()
-    unknown = distinct.join(whitelist.select("barcode"), "barcode", "left_anti")
+    unknown = cut(reads.where("barcode is not null").select("barcode").distinct().join(whitelist.select("barcode"), "barcode", "left_anti"))
     near = one_mismatch(unknown, whitelist, length).groupBy("barcode").agg(F.array_sort(F.collect_list(F.struct("candidate", "pos"))).alias("near"))
     rescued = n_rescue(unknown, whitelist, max_n).withColumnRenamed("candidate", "from_n")
-    table = unknown.join(near, "barcode", "left").join(rescued, "barcode", "left").withColumn("unknown", F.lit(True))
-    out = reads.join(table, "barcode", "left")
+    return cut(unknown.join(near, "barcode", "left").join(rescued, "barcode", "left").withColumn("unknown", F.lit(True)))
+
+
+def classify(reads: DataFrame, whitelist: DataFrame, length: int, max_candidates: int = 3, max_n: int = 1, table: DataFrame | None = None) -> DataFrame:
+    """Adds status, corrected (barcode) and candidates to ``reads(read_id, barcode, umi, barcode_qual, ...)``.
+
+    status: short (no barcode or UMI), bad_umi (other than ACGT), valid, corrected (one candidate at distance one), pending (two to
+    ``max_candidates``), ambiguous (more), n_corrected, no_match. ``table``: what corrections() gave, if it is at hand; broadcast where it is
+    small, so that reads are not shuffled.
+    """
+    out = reads.join(small(corrections(reads, whitelist, length, max_n) if table is None else table), "barcode", "left")
     n = F.coalesce(F.size("near"), F.lit(0))
     bad = F.col("barcode").isNull() | F.col("umi").isNull()
     status = (
@@ -90,11 +98,22 @@ def rescue(pending: DataFrame, totals: DataFrame, min_posterior: float = 0.975)
 
 
 def correct(reads: DataFrame, whitelist: DataFrame, length: int, max_candidates: int = 3, max_n: int = 1, min_posterior: float = 0.975) -> DataFrame:
-    """classify(), then rescue of pending reads by posterior: status rescued, or rejected."""
-    classed = classify(reads, whitelist, length, max_candidates, max_n)
-    totals = classed.where("corrected is not null").groupBy(F.col("corrected").alias("barcode")).agg(F.count("*").alias("n"))
-    saved = rescue(classed.where("status = 'pending'"), totals, min_posterior).select("read_id", F.col("candidate").alias("saved"))
-    out = classed.join(saved, "read_id", "left")
+    """classify(), then rescue of pending reads by posterior: status rescued, or rejected.
+
+    The posterior is that of evidence(). Counts are joined to the candidates of the distinct pending barcodes; a read then weighs its few
+    candidates by itself, so reads are joined by barcode only, with tables that are broadcast where they are small.
+    """
+    table = corrections(reads, whitelist, length, max_n)
+    classed = classify(reads, whitelist, length, max_candidates, max_n, table)
+    totals = classed.where("corrected is not null").groupBy(F.col("corrected").alias("candidate")).agg(F.count("*").alias("raw"))
+    several = table.where(F.size("near").between(2, max_candidates) & F.col("from_n").isNull()).select("barcode", F.explode("near").alias("c")).select("barcode", "c.*")
+    weighed = several.join(totals, "candidate", "left").groupBy("barcode").agg(F.array_sort(F.collect_list(F.struct("candidate", "pos", F.coalesce("raw", F.lit(0)).alias("raw")))).alias("weighed"))
+    out = classed.join(small(cut(weighed)), "barcode", "left")
+    chance = lambda c: (1 + c["raw"]) * dna.error_probability(F.substring(F.col("barcode_qual"), c["pos"] + 1, F.lit(1)))
+    whole = F.aggregate("weighed", F.lit(0.0), lambda a, c: a + chance(c))
+    out = out.withColumn("whole", F.when(F.col("status") == "pending", whole))
+    saved = F.get(F.filter("weighed", lambda c: chance(c) / F.col("whole") > min_posterior), F.lit(0))["candidate"]
+    out = out.withColumn("saved", F.when(F.col("status") == "pending", saved)).drop("weighed", "whole")
     status = F.when(F.col("status") != "pending", F.col("status")).when(F.col("saved").isNotNull(), "rescued").otherwise("rejected")
     return out.withColumn("status", status).withColumn("corrected", F.coalesce("corrected", "saved")).drop("saved")
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where it is unset, only a local session gets one of its own: other executors could not see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').removesuffix('/')}/checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` with checkpoint() in the folder that the session names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Materialises ``df`` with checkpoint() in the shared folder, which ends its lineage."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -67,10 +67,17 @@ def tagged(alignments: DataFrame, gene_tag: str = "GX", count_intergenic: bool =
 
 
 def with_cbub(alignments: DataFrame, cbub: DataFrame, whitelist: DataFrame) -> DataFrame:
-    """Adds cb, ub and in_range from CBUB records of the same rec_no; a missing record or one without tags drops the row, an index beyond the whitelist keeps it, not in range."""
-    tagged_rows = cbub.where("has_tags").select("rec_no", "cb_idx", F.col("umi").alias("ub"))
+    """Adds cb, ub and in_range from the CBUB record at the same place in its stream (rec_no).
+
+    A record without tags drops the row, an index beyond the whitelist keeps it, not in range. The two streams go together record by
+    record: a stream that ends before the alignments do, and a number that stands in it twice, are errors.
+    """
+    places = cbub.groupBy("rec_no").agg(F.count("*").alias("held"), F.first(F.struct("has_tags", "cb_idx", "umi")).alias("t"))
+    paired = alignments.join(places, "rec_no", "left")
+    wrong = F.when(F.col("held").isNull(), F.raise_error(F.lit("the tag stream ends before the alignments do"))).when(F.col("held") > 1, F.raise_error(F.lit("a record number stands in the tag stream twice")))
+    tagged_rows = paired.where(F.coalesce(wrong.cast("boolean"), F.col("t.has_tags"))).select(*alignments.columns, "t.cb_idx", F.col("t.umi").alias("ub"))
     cells = whitelist.select(F.col("wl_idx").alias("cb_idx"), F.col("barcode").alias("cb"))
-    return alignments.join(tagged_rows, "rec_no").join(small(cells), "cb_idx", "left").withColumn("in_range", F.col("cb").isNotNull())
+    return tagged_rows.join(small(cells), "cb_idx", "left").withColumn("in_range", F.col("cb").isNotNull())
 
 
 def probe_counts(alignments: DataFrame, probes: DataFrame, offset: int = 68, nearby: bool = False, count: str = "reads") -> DataFrame:

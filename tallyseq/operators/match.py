@@ -79,12 +79,25 @@ def _unique_best(hits: DataFrame, same_feature_ties: bool = True) -> DataFrame:
     return one.select("read_id", F.col("a").alias("feature_index"), "m.hamming", F.col("m.position").alias("match_position"), F.col("m.window").alias("matched_sequence"))
 
 
-def fuzzy_at(reads: DataFrame, features: DataFrame, offset: Column | int, m: int = 1, max_n: int = 3) -> DataFrame:
-    """Single closest feature at distance <= m of the read at ``offset``; N are spelled out, ties between features reject."""
+def annotated(reads: DataFrame, features: DataFrame, offset: Column | int, m: int = 1, max_n: int = 3) -> DataFrame:
+    """The reads that fuzzy_at() matches, with all their columns and those of the hit.
+
+    Only the distinct texts at the anchor are searched; reads meet the answers by that text, not by read_id.
+    """
     offset = F.lit(offset) if isinstance(offset, int) else offset
-    rows = spelled(reads, offset, lengths_of(features), max_n)
+    lengths = lengths_of(features)
+    keyed = reads.withColumn("anchor_text", F.substring(F.col("seq"), offset + 1, F.lit(max(lengths, default=0))))
+    texts = keyed.select(F.col("anchor_text").alias("read_id"), F.col("anchor_text").alias("seq")).distinct()
+    rows = spelled(texts, F.lit(0), lengths, max_n)
     found = closest(rows.select("window").distinct(), features, m)
-    return _unique_best(rows.join(found, "window").withColumn("priority", F.lit(0)))
+    best = _unique_best(rows.join(found, "window").withColumn("priority", F.lit(0)))
+    best = best.select(F.col("read_id").alias("anchor_text"), "feature_index", "hamming", "matched_sequence")
+    return keyed.join(best, "anchor_text").withColumn("match_position", offset).drop("anchor_text")
+
+
+def fuzzy_at(reads: DataFrame, features: DataFrame, offset: Column | int, m: int = 1, max_n: int = 3) -> DataFrame:
+    """Single closest feature at distance <= m of the read at ``offset``; N are spelled out, ties between features reject."""
+    return annotated(reads, features, offset, m, max_n).select(*HIT)
 
 
 def in_window(reads: DataFrame, features: DataFrame, offset: int, reach: int, m: int = 1, max_n: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyseq.functions import dna
 from tallyseq.operators import barcode, demux, match, molecules, qc
+from tallyseq.operators.common import cut
 
 
 def classed(reads: DataFrame, whitelist: DataFrame, features: DataFrame, barcode_length: int, offset: int | None = None, m: int = 1, max_n_feature: int = 3, max_n_barcode: int = 1, max_candidates: int = 3, min_posterior: float = 0.975, reach: int = -1, anchored_only: bool = False, translate_nxt: bool = False) -> DataFrame:
@@ -14,17 +15,25 @@ def classed(reads: DataFrame, whitelist: DataFrame, features: DataFrame, barcode
 
     Features are searched first; only matched reads go on to barcode correction.
     """
-    hits = match.fuzzy_at(reads, features, offset, m, max_n_feature) if anchored_only else match.cascade(reads, features, offset, m, max_n_feature, reach)
-    hits = hits.select("read_id", "feature_index")
-    matched = barcode.correct(reads.join(hits, "read_id"), whitelist, barcode_length, max_candidates, max_n_barcode, min_posterior)
+    matched = settled(reads, whitelist, features, barcode_length, offset, m, max_n_feature, max_n_barcode, max_candidates, min_posterior, reach, anchored_only, translate_nxt)
+    return reads.select("read_id", "umi").join(matched.drop("umi"), "read_id", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
+
+
+def settled(reads: DataFrame, whitelist: DataFrame, features: DataFrame, barcode_length: int, offset: int | None = None, m: int = 1, max_n_feature: int = 3, max_n_barcode: int = 1, max_candidates: int = 3, min_posterior: float = 0.975, reach: int = -1, anchored_only: bool = False, translate_nxt: bool = False) -> DataFrame:
+    """(read_id, umi, feature_index, status, corrected) of the reads with a feature."""
+    if anchored_only:
+        hits = match.annotated(reads, features, offset, m, max_n_feature)
+    else:
+        hits = reads.join(match.cascade(reads, features, offset, m, max_n_feature, reach).select("read_id", "feature_index"), "read_id")
+    hits = cut(hits.select("read_id", "barcode", "umi", "barcode_qual", "feature_index"))  # met four times from here on
+    matched = barcode.correct(hits, whitelist, barcode_length, max_candidates, max_n_barcode, min_posterior)
     corrected = dna.translate_nxt(F.col("corrected")) if translate_nxt else F.col("corrected")
-    settled = matched.select("read_id", "feature_index", "status", corrected.alias("corrected"))
-    return reads.select("read_id", "umi").join(settled, "read_id", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
+    return matched.select("read_id", "umi", "feature_index", "status", corrected.alias("corrected"))
 
 
 def assigned(reads: DataFrame, whitelist: DataFrame, features: DataFrame, barcode_length: int, **options) -> DataFrame:
     """(read_id, barcode, umi, feature_index) of the reads with a feature and a barcode."""
-    done = classed(reads, whitelist, features, barcode_length, **options).where("corrected is not null")
+    done = settled(reads, whitelist, features, barcode_length, **options).where("corrected is not null")
     return done.select("read_id", F.col("corrected").alias("barcode"), "umi", "feature_index")
 
 

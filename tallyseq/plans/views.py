@@ -56,9 +56,10 @@ select barcode, umi, feature_index, count(*) as reads from (
   from {{events}}) m group by barcode, umi, feature_index
 """
 
-# One alignment for each line item; the probe sits at offset 2 of the read as sequenced, or up to two bases beside it.
+# One alignment for each line item; the probe sits at offset 2 of the read as sequenced, or up to two bases beside it. Line items that agree in
+# all four numbers are told apart by their order among themselves.
 ALIGNMENTS = f"""
-select (l_orderkey * 8 + l_linenumber) * 68719476736 + l_partkey * 65536 + l_suppkey as rec_no,
+select ((l_orderkey * 8 + l_linenumber) * 68719476736 + l_partkey * 65536 + l_suppkey) * 4 + again - 1 as rec_no,
   concat('q', cast(l_orderkey as varchar(20))) as qname,
   cast((case when l_returnflag = 'R' then 16 else 0 end) + (case when l_partkey % 23 = 0 then 256 else 0 end) + (case when l_suppkey % 19 = 0 then 1024 else 0 end) as int) as flag,
   cast(l_quantity as int) as mapq,
@@ -67,7 +68,7 @@ select (l_orderkey * 8 + l_linenumber) * 68719476736 + l_partkey * 65536 + l_sup
   case when l_partkey % 29 = 0 then '-' else {enc('l_orderkey & 4095', 6)} end as ub,
   case when l_linenumber = 7 then null when l_linenumber = 6 then concat('-', p_brand) else p_brand end as gene,
   cast(l_linenumber as int) as nh
-from (select l.*, p.p_brand, concat(substr('GATTACA', 1, cast(2 + l_linenumber % 3 - (case when l_linenumber = 4 then 2 else 0 end) as int)), {enc('(l_partkey % 40 * 1031) & 65535', 8)}, 'TTTTTT') as forward
+from (select l.*, row_number() over (partition by l_orderkey, l_linenumber, l_partkey, l_suppkey order by l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as again, p.p_brand, concat(substr('GATTACA', 1, cast(2 + l_linenumber % 3 - (case when l_linenumber = 4 then 2 else 0 end) as int)), {enc('(l_partkey % 40 * 1031) & 65535', 8)}, 'TTTTTT') as forward
   from {{lineitem}} l join {{part}} p on l.l_partkey = p.p_partkey) a
 """
 
