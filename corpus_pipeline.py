@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyseq.llm import language_id, line_dedup, minhash_dedup, packing, secret_ledger
 from tallyseq.llm.common import read
+from tallyseq.operators.common import shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,12 @@ ORACLE_SQL = None  # trained models, MinHash and dynamic programming are not SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage writes goes to the session's shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    """All stages over documents; what a stage writes goes to the session's shared folder.
+
+    Null and empty texts have no language and go in the first stage; repeated rows and ties end in the near-duplicate stage, where one row of
+    each doc_id stays (of null doc_ids all); very long texts are packed in pieces. Empty table: no rows. Further columns reach the last stage.
+    """
+    shared = shared_folder(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
