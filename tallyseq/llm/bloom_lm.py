@@ -95,6 +95,11 @@ def short(pairs: np.ndarray) -> np.ndarray:
     return pairs >> np.uint64(24)
 
 
+def gaps(rising: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, the first as it is; cumsum() undoes it."""
+    return np.diff(rising, prepend=np.uint64(0))
+
+
 def split(shards: int, part: str):
     """Rows of blocks: ``part`` bodies gives the documents, words or pairs the requests with the training counts of a block's distinct keys.
 
@@ -115,8 +120,8 @@ def split(shards: int, part: str):
                 rows = []
                 for s, mine in enumerate(dealt(keys, shards)):
                     if len(mine):
-                        low, (ctx, of) = short(keys[mine]), np.unique(before[mine], return_inverse=True)
-                        rows.append((block, s, blocks.put((low >> np.uint64(32)).astype(np.uint8), low.astype(np.uint32), counts[mine], ctx, of.astype(np.uint32))))
+                        ctx, of = np.unique(before[mine], return_inverse=True)
+                        rows.append((block, s, blocks.put(gaps(short(keys[mine])), counts[mine], gaps(ctx), of.astype(np.uint32))))
                 yield blocks.rows_of(rows)
                 continue
             keys, stream = np.unique(tokens, return_inverse=True)
@@ -144,10 +149,10 @@ def pair_tables(shards: int, base: float, answer: bool):
         s = table.column("shard")[0].as_py()
         asked = [blocks.get(x.as_py()) for x in table.column("data")]
         ends = np.cumsum([len(a[0]) for a in asked])
-        flat = np.concatenate([(a[0].astype(np.uint64) << np.uint64(32)) | a[1] for a in asked])
+        flat = np.concatenate([np.cumsum(a[0]) for a in asked])
         keys, first, at = np.unique(flat, return_index=True, return_inverse=True)
-        counts = np.bincount(at, np.concatenate([a[2] for a in asked]), len(keys)).astype(np.int64)
-        before = np.concatenate([a[3][a[4]] for a in asked])[first]
+        counts = np.bincount(at, np.concatenate([a[1] for a in asked]), len(keys)).astype(np.int64)
+        before = np.concatenate([np.cumsum(a[2])[a[3]] for a in asked])[first]
         bits = built(keys, level(counts, base))
         levels = probed(bits, keys)
         rows = [(b, shards + s, blocks.put(np.array([s]), x)) for b, x in zip(table.column("block").to_pylist(), np.split(levels[at], ends[:-1]), strict=True)] if answer else [(0, -1 - s, bits.tobytes())]
