@@ -16,7 +16,7 @@ END = np.uint64(0x9E3779B97F4A7C15)  # stands for the end of a text, and for wha
 FIRST_PROBES, FIRST_BITS = 16, 24  # an unseen pair is found at level 1 once in about 100,000 times
 PROBES, BITS = 8, 12  # for each further level of a pair that is there
 CHUNK = 100_000
-SHARD = 12_000_000
+SHARD = 14_000_000
 COUNTED = "block long, shard int, data binary, tokens long, types long"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 FIELDS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -100,6 +100,15 @@ def gaps(rising: np.ndarray) -> np.ndarray:
     return np.diff(rising, prepend=np.uint64(0))
 
 
+def halves(x: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``low`` lowest bits and the rest: apart, the rest compresses by itself."""
+    return (x & np.uint64((1 << low) - 1)).astype(np.uint8 if low <= 8 else np.uint32), (x >> np.uint64(low)).astype(np.uint32)
+
+
+def whole(low: np.ndarray, high: np.ndarray, bits: int) -> np.ndarray:
+    return (high.astype(np.uint64) << np.uint64(bits)) | low
+
+
 def split(shards: int, part: str):
     """Rows of blocks: ``part`` bodies gives the documents, words or pairs the requests with the training counts of a block's distinct keys.
 
@@ -121,7 +130,7 @@ def split(shards: int, part: str):
                 for s, mine in enumerate(dealt(keys, shards)):
                     if len(mine):
                         ctx, of = np.unique(before[mine], return_inverse=True)
-                        rows.append((block, s, blocks.put(gaps(short(keys[mine])), counts[mine], gaps(ctx), of.astype(np.uint32))))
+                        rows.append((block, s, blocks.put(*halves(gaps(short(keys[mine])), 24), counts[mine], gaps(ctx), *halves(of.astype(np.uint64), 8))))
                 yield blocks.rows_of(rows)
                 continue
             keys, stream = np.unique(tokens, return_inverse=True)
@@ -149,10 +158,10 @@ def pair_tables(shards: int, base: float, answer: bool):
         s = table.column("shard")[0].as_py()
         asked = [blocks.get(x.as_py()) for x in table.column("data")]
         ends = np.cumsum([len(a[0]) for a in asked])
-        flat = np.concatenate([np.cumsum(a[0]) for a in asked])
+        flat = np.concatenate([np.cumsum(whole(a[0], a[1], 24)) for a in asked])
         keys, first, at = np.unique(flat, return_index=True, return_inverse=True)
-        counts = np.bincount(at, np.concatenate([a[1] for a in asked]), len(keys)).astype(np.int64)
-        before = np.concatenate([np.cumsum(a[2])[a[3]] for a in asked])[first]
+        counts = np.bincount(at, np.concatenate([a[2] for a in asked]), len(keys)).astype(np.int64)
+        before = np.concatenate([np.cumsum(a[3])[whole(a[4], a[5], 8)] for a in asked])[first]
         bits = built(keys, level(counts, base))
         levels = probed(bits, keys)
         rows = [(b, shards + s, blocks.put(np.array([s]), x)) for b, x in zip(table.column("block").to_pylist(), np.split(levels[at], ends[:-1]), strict=True)] if answer else [(0, -1 - s, bits.tobytes())]
