@@ -68,7 +68,8 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
 
     Rows are dealt by range and numbered within their partition; the partitions' sizes give the offsets.
     """
-    ranged = df.repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number stays as it is wherever the rows are read
+    ranged = df.repartitionByRange(parts, F.col(key)).withColumn("part", F.spark_partition_id())
     sizes = ranged.groupBy("part").agg(F.count("*").alias("held"), F.min(key).alias("first"))
     before = F.coalesce(F.sum("held").over(Window.partitionBy(F.lit(0)).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(F.col("part"), before.alias("before"))

@@ -80,18 +80,18 @@ def heatmap_json(cells: DataFrame, names: dict[int, str], path: str) -> None:
         json.dump({"labels": [names.get(f, str(f)) for f in labels], "columns": columns, "matrix": matrix, "column_sums": sums}, out)
 
 
-def plot_html(data: dict, path: str, title: str) -> None:
-    """A page that draws ``data`` (a Plotly trace) when it is opened."""
-    page = "<!doctype html><title>{t}</title><div id=p></div><script src=https://cdn.plot.ly/plotly-2.35.2.min.js></script><script>Plotly.newPlot('p',[{d}],{{title:{{text:{t2}}}}})</script>"
+def plot_html(data: dict, path: str, title: str, layout: dict | None = None) -> None:
+    """A page that draws ``data`` (a Plotly trace) with ``layout`` when it is opened."""
+    page = "<!doctype html><title>{t}</title><div id=p></div><script src=https://cdn.plot.ly/plotly-2.35.2.min.js></script><script>Plotly.newPlot('p',[{d}],{l})</script>"
     with open(path, "w") as out:
-        out.write(page.format(t=title, d=json.dumps(data), t2=json.dumps(title)))
+        out.write(page.format(t=title, d=json.dumps(data), l=json.dumps({"title": {"text": title}} | (layout or {}))))
 
 
 def histogram_html(histogram: DataFrame, path: str, title: str) -> None:
     """Histogram of (value, frequency); the axis is rounded up to a multiple of five."""
     rows = histogram.orderBy("value").collect()
     top = -(-max((r["value"] for r in rows), default=0) // 5) * 5
-    plot_html({"type": "bar", "x": [r["value"] for r in rows], "y": [r["frequency"] for r in rows], "meta": {"range": [0, top]}}, path, title)
+    plot_html({"type": "bar", "x": [r["value"] for r in rows], "y": [r["frequency"] for r in rows]}, path, title, {"xaxis": {"range": [0, top]}})
 
 
 def ready(directory: str) -> bool:
