@@ -181,6 +181,21 @@ def anchor_offset(features: DataFrame, guard: float = 0.05) -> DataFrame:
     return out.withColumn("mixed", F.col("runner_up") > guard * F.col("n"))
 
 
+def constant_offset(features: DataFrame, offset: int | None = None, individual: bool = False) -> int:
+    """The anchor for all features: the one given, or the dominant one of the patterns, or 0 without patterns or with ``individual``.
+
+    An error if both are given, or if patterns disagree (see anchor_offset()) and neither is.
+    """
+    if individual and offset is not None:
+        raise ValueError("individual offsets and a constant offset exclude each other")
+    if offset is not None or individual:
+        return offset or 0
+    found = anchor_offset(features).first()
+    if found["mixed"]:
+        raise ValueError(f"patterns give several offsets, {found['pattern_offset']} most often: choose a constant offset or individual offsets")
+    return found["pattern_offset"] or 0
+
+
 def modal_length(features: DataFrame) -> DataFrame:
     """Most frequent feature length; of equals the smallest."""
     counts = features.groupBy(F.length("sequence").alias("length")).agg(F.count("*").alias("n"))

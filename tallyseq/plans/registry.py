@@ -380,9 +380,10 @@ def union_lanes(r: DataFrame) -> DataFrame:
     return lanes[0].unionByName(lanes[1]).unionByName(lanes[2]).unionByName(lanes[3]).groupBy("lane").agg(F.count("*").alias("n"), F.count_distinct("barcode").alias("barcodes"))
 
 
-@query("conservation", "select lane, count(*) as given, count(*) as made, true as equal from v_reads group by lane", "reads")
-def conservation(r: DataFrame) -> DataFrame:
-    return qc.conservation(r, r.select("lane", "read_id").distinct(), "lane")
+@query("conservation", "select library_id, count(*) as given, count(*) as made, true as equal from v_library_reads group by library_id", "library_reads", "probes", "sample_map")
+def conservation(r: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
+    """Routing neither loses nor repeats a read of a library."""
+    return qc.conservation(r, demux.route(demux.probe_of(r, p, 2), s), "library_id")
 
 
 RUN = f"""{NEIGHBOURS.replace("from v_reads r left join", "from v_reads r join hits on hits.read_id = r.read_id left join").replace("unknown as (select distinct barcode from v_reads", "unknown as (select distinct barcode from v_reads semi join hits using (read_id)").strip()},
@@ -481,3 +482,6 @@ def aln_cbub_join(a: DataFrame, w: DataFrame) -> DataFrame:
 @query("aln_nh", "select rec_no, greatest(coalesce(nh, 1), 1) as nh, coalesce(gene, 'none') as gene from v_alignments", "alignments")
 def aln_nh(a: DataFrame) -> DataFrame:
     return tags_of(a).select("rec_no", dna.hits_of(Col("nh")).alias("nh"), F.coalesce(dna.gene_of(Col("tags")), F.lit("none")).alias("gene"))
+
+
+from tallyseq.plans import roundtrips  # noqa: E402, F401 (registers its queries)

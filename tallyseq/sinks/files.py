@@ -1,32 +1,102 @@
-"""Outputs: coordinate matrices, lists, statistics, reports. Tables are written by Spark; only bounded reports pass the driver."""
+"""Outputs: coordinate matrices, lists, statistics, reports. Tables are written by Spark; only bounded reports pass the driver.
+
+Paths are those of Spark's file systems, so a store that Spark writes will do.
+"""
 
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyseq.functions import dna
 from tallyseq.operators import qc
+from tallyseq.operators.barcode import small
+
+MATRIX_HEAD = "%%MatrixMarket matrix coordinate integer general\n%\n"
+# Heads and line of the sequence and histogram tables.
+SEQUENCES_HEAD = "Feature Index Sequence Hamming Distance Counts Match Position Feature Name\n"
+SEQUENCES_LINE = "%7d %s %2d %7d %5d %s"
+HISTOGRAM_HEAD = "FeatureName\tDedupedCount\tFrequency\n"
+
+
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _path(spark, path)
+    return fs.exists(where)
+
+
+@contextmanager
+def stream(spark: SparkSession, path: str) -> Iterator:
+    """Output stream of a file system of Spark's; write() takes bytearrays."""
+    fs, where = _path(spark, path)
+    out = fs.create(where, True)
+    try:
+        yield out
+    finally:
+        out.close()
+
+
+def put_text(spark: SparkSession, text: str, path: str) -> None:
+    """A bounded report as one file."""
+    with stream(spark, path) as out:
+        out.write(bytearray(text.encode()))
+
+
+def part_files(spark: SparkSession, directory: str) -> list[str]:
+    """The part files that Spark wrote to a directory, in order."""
+    fs, where = _path(spark, directory)
+    return sorted(s.getPath().toString() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-"))
+
+
+def merged(spark: SparkSession, head: str, directory: str, path: str) -> None:
+    """One file of ``head`` and the part files of a directory, for tools that read single files.
+
+    Bytes are copied from stream to stream; nothing is held. The parts stay, as what Spark reads back.
+    """
+    with stream(spark, path) as out:
+        out.write(bytearray(head.encode()))
+        for part in part_files(spark, directory):
+            fs, where = _path(spark, part)
+            given = fs.open(where)
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, 1 << 20, False)
+            finally:
+                given.close()
+
+
+def write_lines(lines: DataFrame, path: str, *order: str, head: str = "") -> None:
+    """``lines(value, ...)`` by ``order`` as one file, from sorted parts in <path>.parts."""
+    (lines.orderBy(*order) if order else lines).select("value").write.mode("overwrite").text(f"{path}.parts")
+    merged(lines.sparkSession, head, f"{path}.parts", path)
 
 
-def write_matrix(cells: DataFrame, features: int, directory: str) -> None:
-    """MatrixMarket parts of ``cells(barcode, feature_index, umis)`` under directory/matrix, with barcodes and a header file.
+def write_matrix(cells: DataFrame, features: int, directory: str, suffix: str = "txt") -> None:
+    """MatrixMarket file matrix.mtx of ``cells(barcode, feature_index, umis)``, and barcodes.<suffix>.
 
-    Rows are features, columns barcodes by name, both from 1. header.txt and the sorted parts, put one after another, are the matrix.
+    Rows are features, columns barcodes by name, both from 1. Spark writes sorted parts to matrix, barcodes and header, which are put one after another.
     """
+    spark = cells.sparkSession
     names = qc.numbered(cells.select("barcode").distinct(), "barcode", "column")
     placed = cells.join(names, "barcode").select("column", "feature_index", F.concat_ws(" ", "feature_index", "column", "umis").alias("value"))
     placed.repartitionByRange("column").sortWithinPartitions("column", "feature_index").select("value").write.mode("overwrite").text(f"{directory}/matrix")
     names.repartitionByRange("column").sortWithinPartitions("column").select("barcode").write.mode("overwrite").text(f"{directory}/barcodes")
-    sizes = cells.agg(F.count_distinct("barcode").alias("b"), F.count("*").alias("n"))
-    head = sizes.select(F.concat(F.lit(f"%%MatrixMarket matrix coordinate integer general\n%\n{features} "), F.col("b"), F.lit(" "), F.col("n")).alias("value"))
-    head.write.mode("overwrite").text(f"{directory}/header")
+    sizes = cells.agg(F.count_distinct("barcode").alias("b"), F.count("*").alias("n")).first()
+    head = f"{MATRIX_HEAD}{features} {sizes['b']} {sizes['n']}"
+    spark.createDataFrame([(head,)], "value string").write.mode("overwrite").text(f"{directory}/header")
+    merged(spark, "", f"{directory}/barcodes", f"{directory}/barcodes.{suffix}")
+    merged(spark, f"{head}\n", f"{directory}/matrix", f"{directory}/matrix.mtx")  # last: a folder that holds it is whole
 
 
-def write_features(features: DataFrame, directory: str) -> None:
-    features.orderBy("feature_index").select("name").write.mode("overwrite").text(f"{directory}/features")
+def write_features(features: DataFrame, directory: str, name: str = "name", index: str = "feature_index", suffix: str = "txt") -> None:
+    write_lines(features.select(F.col(name).alias("value"), index), f"{directory}/features.{suffix}", index)
 
 
 def write_stats(stats: DataFrame, directory: str) -> None:
@@ -35,6 +105,49 @@ def write_stats(stats: DataFrame, directory: str) -> None:
     stats.select(pairs.alias("value")).write.mode("overwrite").text(f"{directory}/stats")
 
 
+def write_run_stats(stats: DataFrame, cells: DataFrame, excluded: int, path: str) -> None:
+    """The eight lines of stats.txt from qc.run_stats() and the written cells."""
+    s, barcodes = stats.first(), cells.select("barcode").distinct().count()
+    lines = [
+        ("Total feature counts", s["raw_counts"]), ("Total deduped feature counts", s["deduped_counts"]), ("Total barcodes", barcodes),
+        ("Total excluded barcodes", excluded), ("Total unique barcode UMIs", s["unique_barcode_umis"]), ("Total whitelisted barcodes", s["whitelisted_barcodes"]),
+        ("Total_unmatched_reads", s["unmatched_reads"]), ("Percentage reads assigned to barcode", f"{s['percent_assigned'] or 0:.4f}"),
+    ]
+    put_text(stats.sparkSession, "".join(f"{k} {v}\n" for k, v in lines), path)
+
+
+def write_feature_sequences(sequences: DataFrame, features: DataFrame, path: str) -> None:
+    """Matched sequences of match.feature_sequences(), differences from the feature in lower case; by feature, distance, count (falling), sequence."""
+    named = sequences.join(small(features.select("feature_index", "name", "sequence")), "feature_index")
+    marked = dna.mark_differences(F.col("sequence"), F.col("matched_sequence"))
+    line = F.format_string(SEQUENCES_LINE, F.col("feature_index").cast("int"), marked, F.col("hamming").cast("int"), F.col("n"), F.col("match_position").cast("int"), F.col("name"))
+    write_lines(named.select(line.alias("value"), "feature_index", "hamming", (-F.col("n")).alias("fall"), "matched_sequence"), path, "feature_index", "hamming", "fall", "matched_sequence", head=SEQUENCES_HEAD)
+
+
+def write_feature_per_cell(per_cell: DataFrame, path: str) -> None:
+    columns = ["barcode", "num_features", "top_feature_index", "total_deduped_umi"]
+    write_lines(per_cell.select(F.concat_ws(",", *columns).alias("value"), "barcode"), path, "barcode", head=",".join(columns) + "\n")
+
+
+def write_histograms(histogram: DataFrame, features: DataFrame, path: str) -> None:
+    """Name, deduplicated count and frequency, by feature and count, of qc.count_histogram()."""
+    named = histogram.where("feature_index > 0 and frequency > 0").join(small(features.select("feature_index", "name")), "feature_index")
+    write_lines(named.select(F.concat_ws("\t", "name", "umis", "frequency").alias("value"), "feature_index", "umis"), path, "feature_index", "umis", head=HISTOGRAM_HEAD)
+
+
+def write_read_map(last: DataFrame, path: str) -> None:
+    """qname, cb, ub, gene of demux.last_per_name(), by qname."""
+    write_lines(last.select(F.concat_ws("\t", "qname", "cb", "ub", "gene").alias("value"), "qname"), path, "qname")
+
+
+def write_probe_stats(stats: DataFrame, counts: DataFrame, probes: DataFrame, path: str) -> None:
+    """Total and countable records, then the reads of each probe, those without any included."""
+    s = stats.first()
+    sums = counts.groupBy("probe_index").agg(F.sum("n").alias("n"))
+    rows = small(probes.groupBy("probe_index").agg(F.min("probe_name").alias("name"))).join(sums, "probe_index", "left").select("probe_index", F.concat_ws("\t", "name", F.coalesce("n", F.lit(0))).alias("value"))
+    write_lines(rows, path, "probe_index", head=f"Total_records\t{s['total_reads']}\nUsable_records\t{s['countable_reads']}\nBC_ID\tTotal_reads\n")
+
+
 def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").csv(path, header=True, sep=sep)
 
@@ -63,10 +176,10 @@ def write_sidecar(hits: DataFrame, probes: int, path: str) -> None:
 
     parts = ranged.mapInPandas(pack, "first long, data binary").orderBy("first")
     total = hits.count()
-    with open(path, "wb") as out:
-        out.write((total + 9).to_bytes(8, "little") + bytes([probes]))
+    with stream(hits.sparkSession, path) as out:
+        out.write(bytearray((total + 9).to_bytes(8, "little") + bytes([probes])))
         for r in parts.toLocalIterator():
-            out.write(r["data"])
+            out.write(bytearray(r["data"]))
 
 
 def heatmap_json(cells: DataFrame, names: dict[int, str], path: str) -> None:
@@ -76,23 +189,48 @@ def heatmap_json(cells: DataFrame, names: dict[int, str], path: str) -> None:
     at = {(r["feature_index"], r["richness"]): r["barcodes"] for r in rows}
     matrix = [[at.get((f, c), 0) for c in columns] for f in labels]
     sums = [sum(col) // c for c, col in zip(columns, zip(*matrix, strict=True), strict=True)]
-    with open(path, "w") as out:
-        json.dump({"labels": [names.get(f, str(f)) for f in labels], "columns": columns, "matrix": matrix, "column_sums": sums}, out)
+    put_text(cells.sparkSession, json.dumps({"labels": [names.get(f, str(f)) for f in labels], "columns": columns, "matrix": matrix, "column_sums": sums}), path)
+
+
+def write_heatmap(cells: DataFrame, features: DataFrame, kept: DataFrame, path: str, title: str, kind: str) -> bool:
+    """<path>.json and <path>.html of ``cells(feature_index, column, barcodes)`` for the features in ``kept``; False, and nothing written, if there are none.
+
+    Columns run from 1 to the largest. ``kind`` coexpression: columns are numbers of features, whose sums count a barcode once for each,
+    so they are divided by it; deduped_counts: columns are UMI counts. The report's size is features times columns, whatever the reads.
+    """
+    spark = cells.sparkSession
+    names = {r["feature_index"]: r["name"] for r in features.select("feature_index", "name").collect()}
+    chosen = {r["feature_index"] for r in kept.select("feature_index").collect()}
+    at = {(r["feature_index"], r["column"]): r["barcodes"] for r in cells.join(small(kept.select("feature_index")), "feature_index", "left_semi").collect()}
+    if not at:
+        return False
+    labels, columns = sorted(chosen), list(range(1, max(c for _, c in at) + 1))
+    matrix = [[at.get((f, c), 0) for c in columns] for f in labels]
+    sums = [sum(col) // (c if kind == "coexpression" else 1) for c, col in zip(columns, zip(*matrix, strict=True), strict=True)]
+    report = {"title": title, "feature_labels": [names[f] for f in labels], "column_labels": columns, "column_sums": sums, "matrix": matrix, "type": kind, "num_features": len(names), "num_filtered_features": len(labels), "num_columns": len(columns)}
+    put_text(spark, json.dumps(report), f"{path}.json")
+    traces = [
+        {"type": "bar", "x": columns, "y": sums, "yaxis": "y2"},
+        {"type": "heatmap", "z": matrix, "x": columns, "y": report["feature_labels"], "zmin": 0, "zmax": max(map(max, matrix))},
+    ]
+    put_text(spark, page(traces, title, {"yaxis": {"domain": [0, 0.75]}, "yaxis2": {"domain": [0.8, 1]}}), f"{path}.html")
+    return True
 
 
-def plot_html(data: dict, path: str, title: str, layout: dict | None = None) -> None:
-    """A page that draws ``data`` (a Plotly trace) with ``layout`` when it is opened."""
-    page = "<!doctype html><title>{t}</title><div id=p></div><script src=https://cdn.plot.ly/plotly-2.35.2.min.js></script><script>Plotly.newPlot('p',[{d}],{l})</script>"
-    with open(path, "w") as out:
-        out.write(page.format(t=title, d=json.dumps(data), l=json.dumps({"title": {"text": title}} | (layout or {}))))
+def page(traces: list[dict], title: str, layout: dict | None = None) -> str:
+    """A page that draws Plotly traces when it is opened; what stands in titles and names cannot end the script."""
+    safe = lambda x: json.dumps(x).replace("<", "\\u003c")
+    heading = title.replace("&", "&amp;").replace("<", "&lt;")
+    return f"<!doctype html><title>{heading}</title><div id=p></div><script src=https://cdn.plot.ly/plotly-2.35.2.min.js></script><script>Plotly.newPlot('p',{safe(traces)},{safe({'title': {'text': title}} | (layout or {}))})</script>"
 
 
 def histogram_html(histogram: DataFrame, path: str, title: str) -> None:
     """Histogram of (value, frequency); the axis is rounded up to a multiple of five."""
     rows = histogram.orderBy("value").collect()
     top = -(-max((r["value"] for r in rows), default=0) // 5) * 5
-    plot_html({"type": "bar", "x": [r["value"] for r in rows], "y": [r["frequency"] for r in rows]}, path, title, {"xaxis": {"range": [0, top]}})
+    put_text(histogram.sparkSession, page([{"type": "bar", "x": [r["value"] for r in rows], "y": [r["frequency"] for r in rows]}], title, {"xaxis": {"range": [0, top]}}), path)
 
 
 def ready(directory: str) -> bool:
-    return os.path.exists(f"{directory}/matrix/_SUCCESS")
+    """Whether a folder holds a whole matrix, for runs that keep finished samples."""
+    return exists(SparkSession.active(), f"{directory}/matrix.mtx")

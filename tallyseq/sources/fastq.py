@@ -1,11 +1,18 @@
 """Paired FASTQ as DataFrames, through Spark's own text reader, so any store and codec that Spark reads will do.
 
 Line numbers come from the reader's splits: rows of a split are in order, and the splits' line counts, summed
-up in file order, say where each begins. So plain files may be split; gzip files are one split each.
+up in file order, say where each begins. So plain files may be split; gzip files are one split each. Where files cannot be split anyway,
+read_sets() reads the files of a set side by side in one task, without a shuffle.
 """
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+from itertools import chain, islice, zip_longest
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +29,12 @@ def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return raw.join(splits, ["path", "block"]).select("path", (F.col("at") + F.col("shift")).alias("line"), "value")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The whole path, with its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def read_fastq(spark: SparkSession, file_sets: list[dict], strict: bool = False, max_reads: int = 0) -> DataFrame:
     """sample, lane, read_id (from 0 in its file set), r1, r2, r3 (struct of header, seq, plus, qual; null for absent files).
 
@@ -29,10 +42,10 @@ def read_fastq(spark: SparkSession, file_sets: list[dict], strict: bool = False,
     one of the files lacks, or holds in part, ends the set: it is dropped, with all after it; ``strict`` makes it an error. ``max_reads``: the first so
     many of each file set, 0 for all.
     """
-    rows = [(s["sample"], s["lane"], i, s[f"r{i}"]) for s in file_sets for i in (1, 2, 3) if s.get(f"r{i}")]
-    sets = spark.createDataFrame(rows, "sample string, lane string, mate int, given string")
-    lines = numbered_lines(spark, [r[3] for r in rows]).withColumn("name", F.regexp_extract("path", "[^/]+(/[^/]+)?$", 0))
-    keyed = sets.withColumn("name", F.regexp_extract("given", "[^/]+(/[^/]+)?$", 0))
+    rows = [(s["sample"], s["lane"], i, qualified(spark, s[f"r{i}"])) for s in file_sets for i in (1, 2, 3) if s.get(f"r{i}")]
+    keyed = spark.createDataFrame(rows, "sample string, lane string, mate int, name string")
+    decoded = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    lines = numbered_lines(spark, [r[3] for r in rows]).withColumn("name", F.regexp_replace(decoded, "^file:/+", "file:/"))
     mates = keyed.groupBy("sample", "lane").agg(F.count("*").alias("files"))
     parts = lines.join(F.broadcast(keyed), "name").withColumn("read_id", F.floor(F.col("line") / 4)).withColumn("part", (F.col("line") % 4).cast("int"))
     if max_reads:
@@ -48,3 +61,57 @@ def read_fastq(spark: SparkSession, file_sets: list[dict], strict: bool = False,
 def reads(records: DataFrame) -> DataFrame:
     """Sequences and qualities only: sample, lane, read_id, r1_seq, r1_qual, r2_seq, r2_qual, r3_seq, r3_qual."""
     return records.select("sample", "lane", "read_id", *[F.col(f"r{m}.{f}").alias(f"r{m}_{f}") for m in (1, 2, 3) for f in ("seq", "qual")])
+
+
+MATE = pa.struct([(f, pa.string()) for f in FIELDS])
+RECORDS = pa.schema([("sample", pa.string()), ("lane", pa.string()), ("read_id", pa.int64()), ("r1", MATE), ("r2", MATE), ("r3", MATE)])
+
+
+def records_of(path: str) -> Iterator[tuple | None]:
+    """Records of a file, gzip or plain; None for one that is cut off."""
+    fs, at = pa.fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        at = "/" + path[len("file:") :].lstrip("/")
+    elif "://" in path:
+        fs, at = pa.fs.FileSystem.from_uri(path)
+    with fs.open_input_stream(at) as given, io.TextIOWrapper(io.BufferedReader(given, 1 << 20)) as text:
+        lines = (line.rstrip("\r\n") for line in text)
+        while head := next(lines, None):
+            record = (head, *islice(lines, 3))
+            yield record if len(record) == 4 else None
+
+
+def read_sets(spark: SparkSession, file_sets: list[dict], strict: bool = False, max_reads: int = 0, batch: int = 10_000) -> DataFrame:
+    """What read_fastq() gives, without a shuffle: one task for each file set reads its files side by side, in batches.
+
+    For gzip files, which are one split each in any case; read_fastq() spreads a large plain file over many tasks. Paths are local, or those
+    of a store that Arrow's file systems open.
+    """
+    rows = [(s["sample"], s["lane"], *[qualified(spark, s[f"r{i}"]) if s.get(f"r{i}") else None for i in (1, 2, 3)]) for s in file_sets]
+    sets = spark.createDataFrame(rows, "sample string, lane string, r1 string, r2 string, r3 string").repartition(max(1, len(rows)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in chain.from_iterable(b.to_pylist() for b in batches):
+            mates = [k for k in ("r1", "r2", "r3") if s[k]]
+            side_by_side = enumerate(zip_longest(*[records_of(s[k]) for k in mates]))
+            side_by_side = islice(side_by_side, max_reads) if max_reads else side_by_side
+            out: list[dict] = []
+            for n, found in side_by_side:
+                if None in found:
+                    if strict:
+                        raise ValueError("files of a set differ in length, or a record is cut off")
+                    break
+                out.append({"sample": s["sample"], "lane": s["lane"], "read_id": n} | {k: dict(zip(FIELDS, r, strict=True)) for k, r in zip(mates, found, strict=True)})
+                if len(out) == batch:
+                    yield pa.RecordBatch.from_pylist(out, RECORDS)
+                    out = []
+            yield pa.RecordBatch.from_pylist(out, RECORDS)
+
+    mate = "struct<header string, seq string, plus string, qual string>"
+    return sets.mapInArrow(read, f"sample string, lane string, read_id long, r1 {mate}, r2 {mate}, r3 {mate}")
+
+
+def read_any(spark: SparkSession, file_sets: list[dict], strict: bool = False, max_reads: int = 0) -> DataFrame:
+    """read_sets() where every file is gzip, read_fastq() otherwise."""
+    whole = all(p.endswith(".gz") for s in file_sets for p in (s.get("r1"), s.get("r2"), s.get("r3")) if p)
+    return (read_sets if whole else read_fastq)(spark, file_sets, strict, max_reads)

@@ -60,6 +60,7 @@ def largest_first(sets: list[dict]) -> list[dict]:
     return sorted(sets, key=lambda s: (-size[s["sample"]], s["sample"], s["lane"]))
 
 
-def done(directory: str) -> bool:
-    """Whether a sample's matrix is there already, for runs that keep finished samples."""
-    return os.path.exists(os.path.join(directory, "matrix.mtx"))
+def library_of(path: str) -> str | None:
+    """SC and digits in a file's name, None if there is none."""
+    found = re.search("SC[0-9]+", os.path.basename(path))
+    return found[0] if found else None

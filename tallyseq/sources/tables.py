@@ -14,7 +14,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
     These files are dictionaries; each is read as one split, so the row number of the split is the line.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")).select((F.col("line_no") + 1).cast("long").alias("line_no"), "value")
 
 
