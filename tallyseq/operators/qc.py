@@ -43,7 +43,7 @@ def column_sums(cells: DataFrame) -> DataFrame:
 
 
 def feature_count_matrix(dedup: DataFrame, largest: int) -> DataFrame:
-    """feature_index and columns c1 ... c<largest>: barcodes with that many UMIs; the last holds all larger ones."""
+    """feature_index and columns c1 ... c<largest>: barcodes with that many UMIs; the last holds all larger ones, which count_histogram() tells apart."""
     capped = dedup.withColumn("c", F.least("umis", F.lit(largest)))
     wide = capped.groupBy("feature_index").pivot("c", list(range(1, largest + 1))).count().na.fill(0)
     return wide.select("feature_index", *[F.col(str(i)).alias(f"c{i}") for i in range(1, largest + 1)])
