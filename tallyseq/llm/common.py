@@ -80,6 +80,11 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of plans that nothing refers to any more; its cleaner acts on what the driver's collector finds."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow function: the (u, v) of one partition as edges (u, smallest id that the partition links it to)."""
     parent: dict[int, int] = {}

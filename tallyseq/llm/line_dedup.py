@@ -225,44 +225,40 @@ def described(k: int):
     return run
 
 
-def thinned(schema: pa.Schema):
+def thinned(bodies: pa.Table, answers: pa.Table) -> pa.Table:
     """cogroup function: the rows of a block without the lines that it doesn't own or that lost against a near line."""
-
-    def run(bodies: pa.Table, answers: pa.Table) -> pa.Table:
-        lost = set(answers.column("lost").drop_null().to_pylist())
-        which = numbers([x.as_py() for x in answers.column("data").drop_null()])
-        out = [schema.empty_table()]
-        for body in bodies.column("data"):  # several only if blocks are equal: the first keeps its lines
-            rows = opened(body.as_py())
-            own = Lines(rows)
-            if own.lines and not answers.num_rows:
-                raise RuntimeError("a block lacks the owners of its lines")
-            stay = set(own.at[which].tolist()) - lost
-            texts, removed, counts = rows.column("text").to_pylist(), [0] * rows.num_rows, [0] * rows.num_rows
-            gone: dict[int, set[int]] = {}
-            for at, (r, n, _) in enumerate(lines_of(rows)):
-                counts[r] += 1
-                if at not in stay:
-                    gone.setdefault(r, set()).add(n)
-            for r, those in gone.items():
-                texts[r] = "\n".join(x for n, x in enumerate(texts[r].split("\n")) if n not in those)
-                removed[r] = len(those)
-            new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
-            out.append(pa.table([new[f.name] if f.name in new else rows.column(f.name) for f in schema], schema=schema))
-            which = which[:0]
-        return pa.concat_tables(out)
-
-    return run
-
-
-def without_repeated_lines(docs: DataFrame, percent: int = 80, bands: int = 26, rows: int = 4, miss: float = 1e-6) -> DataFrame:
+    lost = set(answers.column("lost").drop_null().to_pylist())
+    which = numbers([x.as_py() for x in answers.column("data").drop_null()])
+    out = []
+    for body in bodies.column("data"):  # several only if blocks are equal: the first keeps its lines
+        rows = opened(body.as_py())
+        own = Lines(rows)
+        if own.lines and not answers.num_rows:
+            raise RuntimeError("a block lacks the owners of its lines")
+        stay = set(own.at[which].tolist()) - lost
+        texts, removed, counts = rows.column("text").to_pylist(), [0] * rows.num_rows, [0] * rows.num_rows
+        gone: dict[int, set[int]] = {}
+        for at, (r, n, _) in enumerate(lines_of(rows)):
+            counts[r] += 1
+            if at not in stay:
+                gone.setdefault(r, set()).add(n)
+        for r, those in gone.items():
+            texts[r] = "\n".join(x for n, x in enumerate(texts[r].split("\n")) if n not in those)
+            removed[r] = len(those)
+        rows = rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        out.append(rows.append_column("n_lines", pa.array(counts, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64())))
+        which = which[:0]
+    return pa.concat_tables(out)  # every answer is of a block, so there is one
+
+
+def without_repeated_lines(docs: DataFrame, percent: int = 80, bands: int = 26, rows: int = 4, miss: float | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)`` with near-repeated lines taken out of text, and n_lines, n_removed; all rows stay.
 
     Lines are cut at \\n. Two lines are linked when 100 * intersection >= percent * union of their distinct runs of WIDTH
     characters (A-Z lower-cased, ends stripped; a shorter line is one run). Of each component of linked lines, over all
     documents, only the line of the smallest (doc_id, line number) stays. ``bands`` of ``rows`` minima propose the
-    pairs; a pair at the threshold is missed with probability (1 - (percent / 100) ** rows) ** bands, 1e-6 at 80 %, one
-    that is proposed with ``miss`` by its signatures. Lines are told apart by 64 bits of hash throughout.
+    pairs; a pair at the threshold is missed with probability (1 - (percent / 100) ** rows) ** bands, 1e-6 at 80 %. All
+    proposed pairs go to the exact check, unless ``miss`` is given: then signatures are compared before, which misses a pair with that probability. Lines are told apart by 64 bits of hash throughout.
 
     The table is cut into blocks once and kept so (checkpoint()); a block owns the lines whose first place it holds,
     asks the shards of their band keys for company, and only lines that have some leave it.
@@ -271,7 +267,6 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80, bands: int = 26,
     lines nor make others lose them. Of repeated rows one keeps its lines. Other columns are passed on, but for n_lines and n_removed, which
     are replaced. n_chars, where present, is not changed. Empty table: no rows.
     """
-    spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_removed").withColumn("doc_id", F.col("doc_id").cast("long"))
     shards = blocks.shards_for(docs, 16_000_000)  # a line has a key for each band
     bodies = cut(docs.mapInArrow(bodies_of, blocks.ROWS))
@@ -287,5 +282,4 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80, bands: int = 26,
     lost = linked.join(first, "component").where("id <> first").select("block", F.lit(None).cast("binary").alias("data"), F.col("at").alias("lost"))
     answers = own.select("block", "data", F.lit(None).cast("int").alias("lost")).unionByName(lost)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema
-    fields = spark.createDataFrame([], schema).toArrow().schema
-    return bodies.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(thinned(fields), schema)
+    return bodies.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(thinned, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyseq.llm.common import components, cut, mix64
+from tallyseq.llm.common import components, cut, mix64, release
 
 
 RARE = 8
@@ -127,50 +127,55 @@ def sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int, rows: int, decode: Callable = stored, miss: float = 1e-9, batch: int = 16) -> DataFrame:
+def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int, rows: int, decode: Callable = stored, miss: float | None = 1e-9, batch: int = 16) -> DataFrame:
     """Components (id, component) of the classes that have a link.
 
     ``sets_of(ids)`` gives (id, shingles binary) for the ids that share a bucket, or for more; ``decode`` makes sorted
-    distinct uint64 of a list of them. Empty input, or no bucket of two, gives no rows.
+    distinct uint64 of a list of them. ``miss`` None leaves out the signatures' comparison: every pair goes to the exact check, which suits
+    sets that are shorter than their signatures. Empty input, or no bucket of two, gives no rows.
     """
     banded = classes.select("id", "n", "sig").mapInArrow(band_keys(bands, rows), "key long, id long, n long")
     many = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(banded.join(many, "key"))
     ids = members.groupBy("id").agg(F.sum("size").alias("company"))
     sets = sets_of(ids.select("id"))
-    sigs = cut(classes.select("id", "sig").join(ids, "id", "left_semi"))
+    sigs = None if miss is None else cut(classes.select("id", "sig").join(ids, "id", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(sigs.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-        pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(survivors(percent / 100, miss, batch), "a long, b long")
+        if sigs is not None:
+            for side in ("a", "b"):
+                pairs = pairs.join(sigs.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+            pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(survivors(percent / 100, miss, batch), "a long, b long")
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
         return pairs.select("a", "b", "set_a", "set_b").mapInArrow(linked(percent, decode), "a long, b long")
 
-    def opened(labels: DataFrame) -> DataFrame:
-        labelled = members.join(sent(labels), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    def opened(rows_: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of ``rows_`` in buckets that span components; components only merge, so a closed bucket stays closed."""
+        labelled = rows_.select("key", "id", "n", "size").join(sent(labels), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         active = cut(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
         return cut(labelled.join(sent(active), "key"))
 
     def grown(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        release(classes.sparkSession)
         known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
         return components(known.unionByName(verified(pairs)))
 
+    release(classes.sparkSession)
     middle = F.max_by(F.struct(F.col("id").alias("x"), F.col("n").alias("n_x")), F.struct("company", F.xxhash64("key", "id")))
     first = members.join(ids, "id").groupBy("key").agg(middle.alias("pivot")).select("key", "pivot.*")
     near = f"100 * least(n, n_x) >= {percent} * greatest(n, n_x)"
     labels = components(verified(members.join(first, "key").where("id <> x").where(near).select("x", F.col("id").alias("y"))))
 
     # small buckets: every pair of different components
-    open_ = opened(labels)
+    open_ = opened(members, labels)
     other = open_.where(F.col("size") <= SMALL).select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
     pairs = cut(open_.where(F.col("size") <= SMALL).join(other, "key").where("id < x and label <> label_x").where(near).select("x", F.col("id").alias("y")).distinct())
+    open_ = open_.where(F.col("size") > SMALL)
     if pairs.take(1):
         labels = grown(labels, pairs)
-        open_ = opened(labels)
-    open_ = open_.where(F.col("size") > SMALL)
+        open_ = opened(open_, labels)
     if not open_.take(1):
         return labels
 
@@ -192,16 +197,17 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
 
     fits = f"100 * least(shared, shared_x) >= {percent} * (n + n_x - least(shared, shared_x))"
     pivots = SMALL
-    open_ = opened(labels).where(F.col("size") > SMALL)
+    open_ = opened(open_, labels)
     while True:
         rows_ = open_.join(common, "id").withColumn("shared", F.col("n") - F.col("rare"))
         chance = (F.xxhash64("key", "id", F.lit(1)).bitwiseAND((1 << 30) - 1) / (1 << 30)) * F.col("size")
         picked = rows_.where(chance < pivots).where(chance >= (pivots // 8 if pivots > SMALL else 0))
         picked = picked.select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("shared").alias("shared_x"), F.col("label").alias("label_x"))
         pairs = cut(rows_.join(picked, "key").where("label <> label_x").where(fits).select("x", F.col("id").alias("y")))
+        open_ = open_.where(F.col("size") > pivots)  # in the others every member has been a pivot
         if pairs.take(1):
             labels = grown(labels, pairs)
-            open_ = opened(labels).where(F.col("size") > SMALL)
-        if not open_.where(F.col("size") > pivots).take(1):
+            open_ = opened(open_, labels)
+        if not open_.take(1):
             return labels
         pivots *= 8
