@@ -1,6 +1,7 @@
 """Plain Python answers for small tables."""
 
 import hashlib
+import heapq
 import math
 import re
 import zlib
@@ -132,3 +133,94 @@ def least_padding(lengths, buckets):
             ends = [*inner, distinct[-1]]
             best = min(best, sum(next(e for e in ends if e >= x) - x for x in lengths))
     return best
+
+
+def merkle_tree(leaves):
+    """Levels of a tree from its leaves up."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + 8])) for i in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def merkle(rows, lower):
+    """(doc_id, leaf, subroot, root, proof_sha256, verified) of (doc_id, source, lang, n_chars, text) rows; ``lower``: whose text is tampered with."""
+    leaf = lambda r: sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[2], []).append((r[0] is not None, r[0] or 0, leaf(r), r))
+    keys = sorted(groups, key=lambda k: (k is not None, (k or "").encode()))
+    trees = {k: merkle_tree([x[2] for x in sorted(groups[k], key=lambda x: x[:3])]) for k in keys}
+    top, out = merkle_tree([trees[k][-1][0] for k in keys]), []
+    for t, k in enumerate(keys):
+        for i, (_, _, h, r) in enumerate(sorted(groups[k], key=lambda x: x[:3])):
+            others = []
+            for levels, at in ((trees[k], i), (top, t)):
+                for level in levels[:-1]:
+                    run = at // 8 * 8
+                    others += level[run:at] + level[at + 1 : run + 8]
+                    at //= 8
+            same = not lower(r[0]) or r[4] is None or not any("A" <= c <= "Z" for c in r[4])
+            out.append((r[0], h, trees[k][-1][0], top[-1][0], sha("".join(others)), same))
+    return out
+
+
+def cheapest_edits(rows):
+    """(cost, audit) of (initial, fault) rows by the cheapest path over strings of initials; faults: 0 none, 1 blank, 2 duplicate, 3 truncated."""
+    heap, seen = [(0, "", 0, "")], set()
+    while heap:
+        cost, audit, i, roles = heapq.heappop(heap)
+        if i == len(rows) and re.fullmatch("(s?(ua)+)?", roles):
+            return cost, audit
+        if (i, roles) in seen or not re.fullmatch("s?(ua)*u?", roles):
+            continue
+        seen.add((i, roles))
+        for x in "ua":
+            heapq.heappush(heap, (cost + 3, audit + "I", i, roles + x))
+        if i < len(rows):
+            role, fault = rows[i]
+            heapq.heappush(heap, (cost + 4, audit + "D", i + 1, roles))
+            if fault in (0, 3):
+                heapq.heappush(heap, (cost + fault, audit + "K", i + 1, roles + role))
+                for x in "ua":
+                    heapq.heappush(heap, (cost + 3 + fault, audit + "R", i + 1, roles + x))
+
+
+def repaired_conversations(rows):
+    """{conv_id: (gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256)} of (conv_id, turn, role, text) rows, by the rules one after another."""
+    out, given = {}, {}
+    for conv, turn, role, text in rows:
+        kept = given.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        kept += [(turn is not None, turn or 0, "user" if kind == 4 else role, text)] * {0: 0, 3: 2}.get(kind, 1)
+    for conv, found in given.items():
+        found.sort()
+        seen, faults = set(), []
+        for _, _, role, text in found:
+            last = re.sub(r"[\x20\x09-\x0D]", "", text)[-1:]
+            faults.append(1 if not last else 2 if (role, text) in seen else 0 if last in ".!?" else 3)
+            seen.add((role, text))
+        initials = [r[2][:1] if r[2][:1] in ("s", "u", "a") else "x" for r in found]
+        cost, audit = cheapest_edits(list(zip(initials, faults)))
+        left, roles, at = [], "", 0
+        for e in audit:
+            wanted = "assistant" if roles.endswith("u") else "user"
+            if e != "I":
+                _, _, role, text = found[at]
+                at += 1
+            if e == "D":
+                continue
+            role, text = (role, text) if e == "K" else (wanted, text if e == "R" else "")
+            roles += role[0]
+            left.append(f"{role}:{text}")
+        turns = {r[1] for r in found if r[0]}
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        out[conv] = (gaps, faults.count(1), faults.count(2), faults.count(3), illegal, cost, audit, sha("\n".join(left)))
+    return out
