@@ -1,22 +1,27 @@
-"""Paired FASTQ as DataFrames, through Spark's own text reader, so any store and codec that Spark reads will do.
+"""Paired FASTQ as DataFrames.
 
-Line numbers come from the reader's splits: rows of a split are in order, and the splits' line counts, summed
-up in file order, say where each begins. So plain files may be split; gzip files are one split each. Where files cannot be split anyway,
-read_sets() reads the files of a set side by side in one task, without a shuffle.
+read_sets() reads the files of a set side by side, without a shuffle: an index of line counts by byte range says where each record lies, and each
+partition holds the same records of all mates. Gzip files cannot be split, so a set with one is one partition. read_fastq() goes
+through Spark's own text reader, for stores that only Spark opens: line numbers come from the reader's splits, and lines meet by record in a shuffle.
 """
 
 from __future__ import annotations
 
 import io
+import json
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, islice, zip_longest
+from itertools import islice
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.window import Window
 
+from tallyseq.sources import stores
+from tallyseq.sources.stores import qualified
+
 FIELDS = ("header", "seq", "plus", "qual")
 
 
@@ -29,10 +34,10 @@ def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return raw.join(splits, ["path", "block"]).select("path", (F.col("at") + F.col("shift")).alias("line"), "value")
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The whole path, with its file system."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+def unique(file_sets: list[dict]) -> None:
+    """An error where a sample has a lane twice: reads of the two could not be told apart."""
+    if twice := [k for k, n in Counter((s["sample"], s["lane"]) for s in file_sets).items() if n > 1]:
+        raise ValueError(f"sample and lane stand for several file sets: {twice[0]}")
 
 
 def read_fastq(spark: SparkSession, file_sets: list[dict], strict: bool = False, max_reads: int = 0) -> DataFrame:
@@ -42,6 +47,7 @@ def read_fastq(spark: SparkSession, file_sets: list[dict], strict: bool = False,
     one of the files lacks, or holds in part, ends the set: it is dropped, with all after it; ``strict`` makes it an error. ``max_reads``: the first so
     many of each file set, 0 for all.
     """
+    unique(file_sets)
     rows = [(s["sample"], s["lane"], i, qualified(spark, s[f"r{i}"])) for s in file_sets for i in (1, 2, 3) if s.get(f"r{i}")]
     keyed = spark.createDataFrame(rows, "sample string, lane string, mate int, name string")
     decoded = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
@@ -67,51 +73,107 @@ MATE = pa.struct([(f, pa.string()) for f in FIELDS])
 RECORDS = pa.schema([("sample", pa.string()), ("lane", pa.string()), ("read_id", pa.int64()), ("r1", MATE), ("r2", MATE), ("r3", MATE)])
 
 
-def records_of(path: str) -> Iterator[tuple | None]:
-    """Records of a file, gzip or plain; None for one that is cut off."""
-    fs, at = pa.fs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        at = "/" + path[len("file:") :].lstrip("/")
-    elif "://" in path:
-        fs, at = pa.fs.FileSystem.from_uri(path)
-    with fs.open_input_stream(at) as given, io.TextIOWrapper(io.BufferedReader(given, 1 << 20)) as text:
-        lines = (line.rstrip("\r\n") for line in text)
-        while head := next(lines, None):
-            record = (head, *islice(lines, 3))
-            yield record if len(record) == 4 else None
+def gzipped(path: str) -> bool:
+    with stores.opened(path) as f:
+        return f.read(2) == b"\x1f\x8b"
+
+
+def lines_from(path: str, byte: int, skip: int) -> Iterator[str]:
+    """Lines of a file, gzip or plain, from the line that begins ``skip`` lines after a byte."""
+    with stores.opened(path) as raw:
+        packed = raw.read(2) == b"\x1f\x8b"
+        raw.seek(byte)
+        with io.TextIOWrapper(io.BufferedReader(pa.CompressedInputStream(raw, "gzip") if packed else raw, 1 << 20), newline="\n") as text:
+            for _ in range(skip):
+                text.readline()
+            for line in text:
+                yield line.rstrip("\r\n")
+
+
+class FastqSource(DataSource):
+    """Format tally_fastq: partitions of read_sets(), each with the same range of records of all mates. Option plan: see planned()."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tally_fastq"
+
+    def schema(self) -> str:
+        mate = "struct<header string, seq string, plus string, qual string>"
+        return f"sample string, lane string, read_id long, r1 {mate}, r2 {mate}, r3 {mate}"
+
+    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
+        return FastqReader(self.options)
+
 
+class FastqReader(DataSourceReader):
+    def __init__(self, options) -> None:  # noqa: ANN001
+        self.plan, self.strict, self.slim, self.batch = options["plan"], options["strict"] == "true", options["slim"] == "true", int(options.get("batch", 10_000))
 
-def read_sets(spark: SparkSession, file_sets: list[dict], strict: bool = False, max_reads: int = 0, batch: int = 10_000) -> DataFrame:
-    """What read_fastq() gives, without a shuffle: one task for each file set reads its files side by side, in batches.
+    def partitions(self) -> list[stores.Part]:
+        return [stores.Part(p) for p in json.loads(self.plan)]
 
-    For gzip files, which are one split each in any case; read_fastq() spreads a large plain file over many tasks. Paths are local, or those
-    of a store that Arrow's file systems open.
+    def read(self, partition: stores.Part) -> Iterator[pa.RecordBatch]:
+        p = partition.value
+        sources = {k: lines_from(*at) for k, at in p["mates"].items()}
+        first, left, whole = p["first"], p["n"], True
+        while whole and (left is None or left > 0):
+            want = self.batch if left is None else min(self.batch, left)
+            lines = {k: list(islice(source, 4 * want)) for k, source in sources.items()}
+            have = min(len(x) for x in lines.values()) // 4
+            whole = have == want
+            if not whole and self.strict and any(len(x) != 4 * have for x in lines.values()):
+                raise ValueError("files of a set differ in length, or a record is cut off")
+            if have:
+                yield self.records(p, first, have, lines)
+            first, left = first + have, None if left is None else left - have
+
+    def records(self, p: dict, first: int, n: int, lines: dict[str, list[str]]) -> pa.RecordBatch:
+        def mate(k: str) -> pa.Array:
+            if k not in lines:
+                return pa.nulls(n, MATE)
+            return pa.StructArray.from_arrays([pa.nulls(n, pa.string()) if self.slim and i % 2 == 0 else pa.array(lines[k][i : 4 * n : 4], pa.string()) for i in range(4)], fields=list(MATE))
+
+        return pa.RecordBatch.from_arrays([pa.array([p["sample"]] * n), pa.array([p["lane"]] * n), pa.array(range(first, first + n), pa.int64()), *map(mate, ("r1", "r2", "r3"))], schema=RECORDS)
+
+
+def planned(spark: SparkSession, file_sets: list[dict], strict: bool, max_reads: int, split: int) -> list[dict]:
+    """Partitions: sample, lane, first record, number of records (None: to the end) and for each mate path, byte and lines to pass from there.
+
+    Plain files are counted once, by byte range. A set's records are those that all mates hold whole; ``strict`` makes others an error.
+    """
+    unique(file_sets)
+    mates = [{f"r{i}": qualified(spark, s[f"r{i}"]) for i in (1, 2, 3) if s.get(f"r{i}")} for s in file_sets]
+    plain = [not any(map(gzipped, m.values())) for m in mates]
+    index = stores.line_index(spark, [p for m, ok in zip(mates, plain, strict=True) if ok for p in m.values()], split) if any(plain) else {}
+    out = []
+    for s, m, ok in zip(file_sets, mates, plain, strict=True):
+        head = {"sample": s["sample"], "lane": s["lane"]}
+        if not ok:
+            out.append(head | {"first": 0, "n": max_reads or None, "mates": {k: [p, 0, 0] for k, p in m.items()}})
+            continue
+        held = [index[p][-1][1] for p in m.values()]
+        if strict and not max_reads and (len(set(held)) > 1 or held[0] % 4):
+            raise ValueError("files of a set differ in length, or a record is cut off")
+        n = min(held) // 4
+        n = min(n, max_reads) if max_reads else n
+        edges = sorted({min(-(-lines // 4), n) for _, lines in index[next(iter(m.values()))]} | {n})
+        out += [head | {"first": a, "n": b - a, "mates": {k: [p, *stores.place_of_line(index[p], 4 * a)] for k, p in m.items()}} for a, b in zip(edges, edges[1:], strict=False)]
+    return out
+
+
+def read_sets(spark: SparkSession, file_sets: list[dict], strict: bool = False, max_reads: int = 0, batch: int = 10_000, split: int = stores.SPLIT, slim: bool = False) -> DataFrame:
+    """What read_fastq() gives, without a shuffle: each partition reads about ``split`` bytes of the first mate and the same records of the others.
+
+    A set with a gzip file is one partition. Paths are local, or those of a store that Arrow's file systems open. ``slim`` leaves header and plus null.
     """
-    rows = [(s["sample"], s["lane"], *[qualified(spark, s[f"r{i}"]) if s.get(f"r{i}") else None for i in (1, 2, 3)]) for s in file_sets]
-    sets = spark.createDataFrame(rows, "sample string, lane string, r1 string, r2 string, r3 string").repartition(max(1, len(rows)))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in chain.from_iterable(b.to_pylist() for b in batches):
-            mates = [k for k in ("r1", "r2", "r3") if s[k]]
-            side_by_side = enumerate(zip_longest(*[records_of(s[k]) for k in mates]))
-            side_by_side = islice(side_by_side, max_reads) if max_reads else side_by_side
-            out: list[dict] = []
-            for n, found in side_by_side:
-                if None in found:
-                    if strict:
-                        raise ValueError("files of a set differ in length, or a record is cut off")
-                    break
-                out.append({"sample": s["sample"], "lane": s["lane"], "read_id": n} | {k: dict(zip(FIELDS, r, strict=True)) for k, r in zip(mates, found, strict=True)})
-                if len(out) == batch:
-                    yield pa.RecordBatch.from_pylist(out, RECORDS)
-                    out = []
-            yield pa.RecordBatch.from_pylist(out, RECORDS)
-
-    mate = "struct<header string, seq string, plus string, qual string>"
-    return sets.mapInArrow(read, f"sample string, lane string, read_id long, r1 {mate}, r2 {mate}, r3 {mate}")
-
-
-def read_any(spark: SparkSession, file_sets: list[dict], strict: bool = False, max_reads: int = 0) -> DataFrame:
-    """read_sets() where every file is gzip, read_fastq() otherwise."""
-    whole = all(p.endswith(".gz") for s in file_sets for p in (s.get("r1"), s.get("r2"), s.get("r3")) if p)
-    return (read_sets if whole else read_fastq)(spark, file_sets, strict, max_reads)
+    spark.dataSource.register(FastqSource)
+    plan = planned(spark, file_sets, strict, max_reads, split)
+    return spark.read.format("tally_fastq").options(plan=json.dumps(plan), strict=str(strict).lower(), slim=str(slim).lower(), batch=batch).load()
+
+
+def read_any(spark: SparkSession, file_sets: list[dict], strict: bool = False, max_reads: int = 0, slim: bool = False) -> DataFrame:
+    """read_sets() where the store of all files can be opened on executors, read_fastq() where only Spark reads it; names and endings do not matter."""
+    paths = [qualified(spark, p) for s in file_sets for p in (s.get("r1"), s.get("r2"), s.get("r3")) if p]
+    if all(map(stores.opens, paths)):
+        return read_sets(spark, file_sets, strict, max_reads, slim=slim)
+    return read_fastq(spark, file_sets, strict, max_reads)
