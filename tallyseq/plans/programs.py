@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyseq.functions import dna
 from tallyseq.operators import demux, match, qc
-from tallyseq.operators.common import cut
+from tallyseq.operators.common import cut, shared_folder
 from tallyseq.plans import assign
 from tallyseq.sinks import files as sinks
 from tallyseq.sources import alignments, fastq, files, tables
@@ -68,7 +68,7 @@ def assign_barcodes(
         folder = f"{out}/{sample}"
         if keep_existing and sinks.exists(spark, f"{folder}/matrix.mtx"):
             continue
-        rows = fastq.reads(fastq.read_any(spark, list(run), max_reads=max_reads))
+        rows = fastq.reads(fastq.read_any(spark, list(run), max_reads=max_reads, slim=True))
         part = lambda c, first, n: F.when(F.length("r1_seq") >= barcode_start + barcode_length + umi_length, F.substring(c, barcode_start + first + 1, n))
         reads = cut(rows.select((F.col("lane").cast("long") * LANE_STEP + F.col("read_id")).alias("read_id"), part("r1_seq", 0, barcode_length).alias("barcode"), part("r1_seq", barcode_length, umi_length).alias("umi"), part("r1_qual", 0, barcode_length).alias("barcode_qual"), "r2_seq", "r3_seq"))
         hits = cut(searched(reads, dictionary, at, m, max_n_feature, reach))
@@ -97,8 +97,15 @@ def write_assignment(dedup: DataFrame, stats: DataFrame, hits: DataFrame, featur
     sinks.write_matrix(dedup, features.count(), folder)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A frame as a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def demux_fastq(spark: SparkSession, probes: str, sample_map: str, out: str, directory: str | None = None, r1: str = "", r2: str = "", r3: str = "", patterns: tuple[str, str, str] = PATTERNS, offset: int = 68, probe_mate: int = 2, max_reads: int = 0) -> DataFrame:
-    """FASTQ of each sample under ``out``/samples, and stats; returns matched, unspecified, undetermined and total of each library.
+    """samples/<sample group>/R<mate>.fastq.gz under ``out``, and stats; returns matched, unspecified, undetermined and total of each library.
 
     The library stands in the name of each R1 file (SC and digits); a name without one is an error.
     """
@@ -112,6 +119,7 @@ def demux_fastq(spark: SparkSession, probes: str, sample_map: str, out: str, dir
     records = fastq.read_any(spark, sets, strict=True, max_reads=max_reads).withColumn("read_id", F.col("lane").cast("long") * LANE_STEP + F.col("read_id"))
     reads = records.withColumn("seq", F.col(f"r{probe_mate}.seq")).withColumnRenamed("sample", "library_id")
     routed = demux.route(demux.probe_of(reads, tables.probes(spark, probes), offset), tables.sample_map(spark, sample_map))
+    routed = kept(routed.select("library_id", "route", "sample_group", "read_id", "r1", "r2", "r3"))  # so that the input is read once
     sinks.write_samples(routed, f"{out}/samples")
     totals = cut(routed.groupBy("library_id").agg(*[F.count_if(F.col("route") == r).alias(r) for r in ("matched", "unspecified", "undetermined")], F.count("*").alias("total")))
     sinks.write_table(totals, f"{out}/stats", "\t")
@@ -121,34 +129,31 @@ def demux_fastq(spark: SparkSession, probes: str, sample_map: str, out: str, dir
 def demux_bam(spark: SparkSession, bam: str, probes: str, out: str, offset: int = 68, nearby: bool = False, min_mapq: int = 0, primary_only: bool = True, skip_duplicates: bool = True, gene_tag: str = "GX", count_intergenic: bool = False, count: str = "reads", cbub: str | None = None, whitelist: str | None = None, binary: bool = False, read_map: bool = False, nh_debug: bool = False, max_records: int = 0) -> DataFrame:
     """Probe counts by cell of a BAM or SAM file under ``out``; returns the counts.
 
-    ``cbub`` takes barcodes and UMIs from a tag stream and needs ``whitelist``. ``binary`` writes the sidecar in the place of the matrix.
+    ``cbub`` takes barcodes and UMIs from a tag stream and needs ``whitelist``. ``binary`` writes the sidecar in the place of the matrix: a byte for every
+    record that passes the filters of flag and quality. ``nh_debug`` writes nh_staging.jsonl (the first 1000 complete records) and nh_tap.jsonl (all counted ones).
     """
     if (cbub is None) != (whitelist is None):
         raise ValueError("a tag stream and a whitelist go together")
     if count not in ("reads", "umis"):
         raise ValueError(f"count is reads or umis, not {count}")
-    alignments.register(spark)
-    raw = alignments.read_sam(spark, bam, max_records) if bam.endswith(".sam") else spark.read.format("tally_bam").option("max_records", max_records).load(bam)
+    sam = bam.endswith(".sam")
+    raw = alignments.read_sam(spark, bam, max_records) if sam else alignments.read_bam(spark, bam, max_records, cbub=cbub)
+    if cbub and sam:
+        raw = demux.with_stream(raw, alignments.read_cbub(spark, cbub), max_records)
     table = cut(tables.probes(spark, probes, grouped=True))
     usable = demux.usable(raw, min_mapq, primary_only, skip_duplicates)
-    if cbub:
-        stream = spark.read.format("tally_cbub").load(cbub)
-        cells = demux.with_cbub(raw.select("rec_no"), stream, tables.whitelist(spark, whitelist)).select("rec_no", "cb", "ub")
-        joined = usable.join(cells, "rec_no").where("cb is not null")
-        usable = joined.withColumn("tags", F.map_concat(F.map_filter("tags", lambda k, _: ~k.isin("CB", "UB")), F.create_map(F.lit("CB"), "cb", F.lit("UB"), "ub"))).drop("cb", "ub")
-    rows = cut(demux.tagged(usable, gene_tag, count_intergenic))
-    counts = cut(demux.probe_counts(rows, table, offset, nearby, count))
+    records = cut(demux.described(usable, table, offset, nearby, gene_tag, count_intergenic, tables.whitelist(spark, whitelist) if cbub else None))
+    counts = cut(demux.counted(records, count))
     names = table.groupBy("probe_index").agg(F.min("probe_name").alias("name"))
     if binary:
-        oriented = demux.probe_of(rows.withColumn("seq", dna.read_orientation(F.col("seq"), F.col("flag"))), table, offset, nearby=nearby)
-        marks = usable.select("rec_no").join(oriented.where("countable").select("rec_no", "probe_index"), "rec_no", "left")
-        sinks.write_sidecar(marks, names.count(), f"{out}/probes.bin")
+        sinks.write_sidecar(records.select("rec_no", "probe_index"), names.count(), f"{out}/probes.bin")
     else:
         sinks.write_features(names, out, index="probe_index", suffix="tsv")
-        sinks.write_probe_stats(demux.alignment_stats(rows, counts), counts, table, f"{out}/stats.txt")
+        sinks.write_probe_stats(demux.record_stats(records), counts, table, f"{out}/stats.txt")
         sinks.write_matrix(counts.select(F.col("cb").alias("barcode"), F.col("probe_index").alias("feature_index"), F.col("n").alias("umis")), names.count(), out, "tsv")
     if read_map:
-        sinks.write_read_map(demux.last_per_name(rows), f"{out}/read_to_cb_umi_gene.txt")
+        sinks.write_read_map(demux.last_counted(records), f"{out}/read_to_cb_umi_gene.txt")
     if nh_debug:
-        sinks.write_lines(demux.nh_debug(rows), f"{out}/nh_debug.jsonl")
+        sinks.write_lines(demux.nh_staging(records), f"{out}/nh_staging.jsonl", "place")
+        sinks.write_lines(demux.nh_tap(records), f"{out}/nh_tap.jsonl", "rec_no")
     return counts

@@ -430,6 +430,7 @@ def tags_of(a: DataFrame) -> DataFrame:
 
 
 USABLE = "usable as (select *, cb <> '-' and ub <> '-' and not starts_with(gene, '-') as countable, case when (flag & 16) <> 0 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as oriented from v_alignments where (flag & 2304) = 0 and (flag & 1024) = 0 and mapq >= 5 and gene is not null)"
+DESCRIBED = "passing as (select *, case when (flag & 16) <> 0 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as oriented from v_alignments where (flag & 2304) = 0 and (flag & 1024) = 0 and mapq >= 5), described as (select a.*, a.gene is not null as complete, case when a.gene is not null then p.probe_index end as probe, a.gene is not null and p.probe_index is not null and cb <> '-' and ub <> '-' and not starts_with(gene, '-') as counted from passing a left join v_probes p on p.variant = substr(a.oriented, 3, 8))"
 AT2 = "hit as (select u.*, p.probe_index from usable u join v_probes p on p.variant = substr(u.oriented, 3, 8) where countable)"
 NEAR = "hit as (select u.*, coalesce(a.probe_index, b.probe_index, c.probe_index, d.probe_index, e.probe_index) as probe_index from usable u left join v_probes a on a.variant = substr(u.oriented, 3, 8) left join v_probes b on b.variant = substr(u.oriented, 4, 8) left join v_probes c on c.variant = substr(u.oriented, 5, 8) left join v_probes d on d.variant = substr(u.oriented, 2, 8) left join v_probes e on e.variant = substr(u.oriented, 1, 8) where countable)"
 
@@ -468,9 +469,14 @@ def aln_stats(a: DataFrame, p: DataFrame) -> DataFrame:
     return demux.alignment_stats(usable(a), demux.probe_counts(usable(a), p, 2))
 
 
-@query("aln_last_per_qname", f"with {USABLE} select qname, arg_max(cb, rec_no) as cb, arg_max(ub, rec_no) as ub, arg_max(gene, rec_no) as gene from usable where countable group by qname", "alignments")
-def aln_last_per_qname(a: DataFrame) -> DataFrame:
-    return demux.last_per_name(usable(a))
+@query("aln_last_per_qname", f"with {DESCRIBED} select qname, arg_max(cb, rec_no) as cb, arg_max(ub, rec_no) as ub, arg_max(gene, rec_no) as gene from described where counted group by qname", "alignments", "probes")
+def aln_last_per_qname(a: DataFrame, p: DataFrame) -> DataFrame:
+    return demux.last_counted(demux.described(demux.usable(tags_of(a), 5), p, 2))
+
+
+@query("aln_described", f"with {DESCRIBED} select rec_no, complete, cast(coalesce(probe, 0) as int) as probe, counted from described", "alignments", "probes")
+def aln_described(a: DataFrame, p: DataFrame) -> DataFrame:
+    return demux.described(demux.usable(tags_of(a), 5), p, 2).select("rec_no", "complete", F.coalesce("probe_index", F.lit(0)).cast("int").alias("probe"), "counted")
 
 
 @query("aln_cbub_join", "select a.rec_no, w.barcode as cb, substr(a.seq, 1, 6) as ub, w.barcode is not null as in_range from v_alignments a left join v_whitelist w on w.wl_idx = a.rec_no % 2003 + 1 where a.mapq % 4 <> 0", "alignments", "whitelist")

@@ -5,17 +5,21 @@ Each writes the whole view. Files of sources are written by Spark in the order o
 
 from __future__ import annotations
 
+import struct
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyseq.operators import demux, match, qc
 from tallyseq.operators.common import cut, shared_folder
 from tallyseq.plans import programs
-from tallyseq.plans.registry import ALLOWED, AT2, ROUTED, SPELLED, USABLE, anchored, best_of, dedup, on_dedup, query, typed, usable
+from tallyseq.plans.registry import ALLOWED, DESCRIBED, ROUTED, SPELLED, anchored, best_of, dedup, on_dedup, query, typed
 from tallyseq.sinks import files as sinks
-from tallyseq.sources import alignments, fastq, tables
+from tallyseq.sources import alignments, fastq, files, tables
 
 Col = F.col
 
@@ -141,11 +145,92 @@ def library_of_files(s: DataFrame) -> DataFrame:
 
 @query("sam_file", "select row_number() over (order by rec_no) - 1 as rec_no, qname, flag, mapq, seq, cb, ub, gene, nh from v_alignments", "alignments")
 def sam_file(a: DataFrame) -> DataFrame:
+    of = lambda t: F.try_element_at("tags", F.lit(t))
+    return alignments.read_sam(a.sparkSession, sam_of(a)).select("rec_no", "qname", "flag", "mapq", "seq", of("CB").alias("cb"), of("UB").alias("ub"), of("GX").alias("gene"), "nh")
+
+
+@query("sam_filtered", "select row_number() over (order by rec_no) - 1 as rec_no, qname, flag, mapq from v_alignments qualify flag & 3328 = 0 and mapq >= 5", "alignments")
+def sam_filtered(a: DataFrame) -> DataFrame:
+    """A filter on flag and quality meets the header lines, whose second field is no number."""
+    return demux.usable(alignments.read_sam(a.sparkSession, sam_of(a)), 5).select("rec_no", "qname", "flag", "mapq")
+
+
+def sam_of(a: DataFrame) -> str:
     tag = lambda t, c: F.concat(F.lit(f"{t}:Z:"), c)
     line = F.concat_ws("\t", "qname", "flag", F.lit("c1"), F.lit(1), "mapq", F.lit("*"), F.lit("*"), F.lit(0), F.lit(0), "seq", F.lit("*"), tag("CB", "cb"), tag("UB", "ub"), tag("GX", "gene"), F.concat(F.lit("NH:i:"), "nh"))
-    path = stored(a, line, "rec_no", name="rows.sam", head="@HD\tVN:1.6\n@SQ\tSN:c1\tLN:9\n")
+    return stored(a, line, "rec_no", name="rows.sam", head="@HD\tVN:1.6\n@SQ\tSN:c1\tLN:9\n")
+
+
+def block(data: bytes) -> bytes:
+    """A gzip member that tells its size."""
+    z = zlib.compressobj(wbits=-15)
+    body = z.compress(data) + z.flush()
+    return b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<HBBHH", 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def alignment_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: rows of the alignments view as blocks of alignment records."""
+    base = {c: i for i, c in enumerate(alignments.LETTERS)}
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            codes = [base[c] for c in r["seq"]] + [0] * (len(r["seq"]) % 2)
+            packed = bytes(x << 4 | y for x, y in zip(codes[::2], codes[1::2], strict=True))
+            aux = b"".join(t.encode() + b"Z" + r[c].encode() + b"\0" for t, c in (("CB", "cb"), ("UB", "ub"), ("GX", "gene")) if r[c] is not None) + b"NHi" + struct.pack("<i", r["nh"])
+            body = struct.pack("<iiBBHHHiiii", 0, 0, len(r["qname"]) + 1, r["mapq"], 0, 1, r["flag"], len(r["seq"]), -1, -1, 0) + r["qname"].encode() + b"\0" + struct.pack("<I", len(r["seq"]) << 4) + packed + b"\xff" * len(r["seq"]) + aux
+            out.append(struct.pack("<i", len(body)) + body)
+        data = b"".join(out)
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(block(data[at : at + 60_000]) for at in range(0, len(data), 60_000))], pa.binary())], names=["data"])
+
+
+def tag_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (has_tags, cb_idx, umi of six bases) as records of a tag stream with 16 bits of index."""
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            umi = 0
+            for c in r["umi"]:
+                umi = umi << 2 | "ACGT".index(c)
+            out.append((int(r["has_tags"]) | r["cb_idx"] << 1 | umi << 17).to_bytes(4, "little"))
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["data"])
+
+
+def bam_of(a: DataFrame) -> str:
+    """Path of a BAM file of the alignments view."""
+    path = f"{folder(a)}/rows.bam"
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 3) + b"c1\0" + struct.pack("<i", 9)
+    rows = cut(a.repartitionByRange("rec_no").sortWithinPartitions("rec_no"))
+    sinks.write_bytes(rows.mapInArrow(alignment_blocks, "data binary"), path, head=block(head))
+    return path
+
+
+def stream_of(a: DataFrame) -> str:
+    """Path of a tag stream beside bam_of(): no tags where the quality is a multiple of 4, an index of 1 to 1500, six bases of the read."""
+    path, rows = f"{folder(a)}/tags", cut(a.repartitionByRange("rec_no").sortWithinPartitions("rec_no"))
+    tags = rows.select((Col("mapq") % 4 != 0).alias("has_tags"), (Col("rec_no") % 1500 + 1).alias("cb_idx"), F.substring("seq", 1, 6).alias("umi"))
+    sinks.write_bytes(tags.mapInArrow(tag_records, "data binary"), path, head=struct.pack("<4Q", 1, 16, 12, rows.count()))
+    return path
+
+
+ALIGNED = 'select row_number() over (order by rec_no) - 1 as rec_no, qname, flag, mapq, seq, cb, ub, gene, nh'
+
+
+@query("bam_file", f"{ALIGNED} from v_alignments", "alignments")
+def bam_file(a: DataFrame) -> DataFrame:
+    """A BAM file by ranges of 256 KB."""
     of = lambda t: F.try_element_at("tags", F.lit(t))
-    return alignments.read_sam(a.sparkSession, path).select("rec_no", "qname", "flag", "mapq", "seq", of("CB").alias("cb"), of("UB").alias("ub"), of("GX").alias("gene"), "nh")
+    return alignments.read_bam(a.sparkSession, bam_of(a), split=1 << 18).select("rec_no", "qname", "flag", "mapq", "seq", of("CB").alias("cb"), of("UB").alias("ub"), of("GX").alias("gene"), "nh")
+
+
+@query("bam_beside_tags", "select row_number() over (order by rec_no) - 1 as rec_no, qname, mapq % 4 <> 0 as has_tags, rec_no % 1500 + 1 as cb_idx, substr(seq, 1, 6) as umi from v_alignments", "alignments")
+def bam_beside_tags(a: DataFrame) -> DataFrame:
+    """A BAM file and a tag stream, record by record and without a shuffle."""
+    return alignments.read_bam(a.sparkSession, bam_of(a), split=1 << 18, cbub=stream_of(a)).select("rec_no", "qname", "has_tags", "cb_idx", "umi")
+
+
+@query("cbub_file", "select row_number() over (order by rec_no) - 1 as rec_no, mapq % 4 <> 0 as has_tags, rec_no % 1500 + 1 as cb_idx, substr(seq, 1, 6) as umi from v_alignments", "alignments")
+def cbub_file(a: DataFrame) -> DataFrame:
+    return alignments.read_cbub(a.sparkSession, stream_of(a))
 
 
 # --- sinks ----------------------------------------------------------------------------------------------------------
@@ -226,53 +311,72 @@ def feature_sequences_file(r: DataFrame, f: DataFrame) -> DataFrame:
     return fields(rows, " +", feature_index="int", marked="string", hamming="int", n="long", match_position="int", name="string")
 
 
-@query("sample_files", f"with {ROUTED} select replace(sample_group, ' ', '_') as sample_group, m.m as mate, count(*) as reads from routed, (values (1), (2)) m(m) group by 1, 2", "library_reads", "probes", "sample_map")
+@query("sample_files", f"with {ROUTED} select replace(sample_group, ' ', '_') as sample_group, m.m as mate, row_number() over (partition by sample_group, m.m order by routed.read_id) as place, routed.read_id, r.seq from routed join v_library_reads r on r.read_id = routed.read_id, (values (1), (2)) m(m)", "library_reads", "probes", "sample_map")
 def sample_files(r: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
-    """Reads in the FASTQ of each sample and mate."""
-    path = folder(r)
+    """Records of the FASTQ file of each sample and mate, in the order of the file."""
+    path, spark = folder(r), r.sparkSession
     routed = demux.route(demux.probe_of(r, p, 2), s.withColumn("sample", F.replace("sample", F.lit(" "), F.lit("_"))))
     mate = F.struct(F.concat(F.lit("@"), Col("read_id").cast("string")).alias("header"), "seq", F.lit("+").alias("plus"), F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
-    sinks.write_samples(routed.withColumns({"r1": mate, "r2": mate, "r3": F.when(F.lit(False), mate)}), path)
-    return r.sparkSession.read.text(path).groupBy("sample_group", Col("mate").cast("int").alias("mate")).agg((F.count("*") / 4).cast("long").alias("reads"))
+    sinks.write_samples(programs.kept(routed.withColumns({"r1": mate, "r2": mate, "r3": F.when(F.lit(False), mate)})), path)
+    found = [x for m in (1, 2) for x in files.find(path, f"R{m}.fastq.gz")]
+    sets = [{"sample": x, "lane": "0", "r1": x} for x in found]
+    rows = fastq.read_any(spark, sets)
+    name = F.regexp_extract("sample", r".*/roundtrip-[^/]+/(.*)/R([12])\.fastq\.gz", 1), F.regexp_extract("sample", r"R([12])\.fastq\.gz", 1).cast("int")
+    return rows.select(name[0].alias("sample_group"), name[1].alias("mate"), (Col("read_id") + 1).alias("place"), F.substring("r1.header", 2, 30).cast("long").alias("read_id"), "r1.seq")
+
+
+def demux_bam(a: DataFrame, p: DataFrame, file: str, **options) -> str:
+    """Folder that the alignment program has written."""
+    path = folder(a)
+    programs.demux_bam(a.sparkSession, file, stored(p, F.concat_ws("\t", "variant", "variant", "probe_name"), "variant"), path, offset=2, min_mapq=5, **options)
+    return path
 
 
-@query("alignment_files", f"""with {USABLE}, {AT2}, counts as (select cb, probe_index, count(*) as n from hit group by cb, probe_index)
-select 'matrix' as file, cast(probe_index as varchar(40)) as a, cast(dense_rank() over (order by cb) as varchar(40)) as b, cast(n as varchar(40)) as c from counts
+FILES = """select 'matrix' as file, cast(probe as varchar(40)) as a, cast(dense_rank() over (order by cb) as varchar(40)) as b, cast(n as varchar(40)) as c from counts
 union all select 'barcodes', cb, '', '' from (select distinct cb from counts) x
-union all select 'stats', p.probe_name, cast(coalesce(sum(c.n), 0) as varchar(40)), '' from (select distinct probe_index, probe_name from v_probes) p left join counts c on c.probe_index = p.probe_index group by p.probe_index, p.probe_name
-union all select 'stats', 'Usable_records', cast(count(*) filter (countable) as varchar(40)), '' from usable""", "alignments", "probes")
+union all select 'stats', p.probe_name, cast(coalesce(sum(c.n), 0) as varchar(40)), '' from (select distinct probe_index, probe_name from v_probes) p left join counts c on c.probe = p.probe_index group by p.probe_index, p.probe_name
+union all select 'stats', 'Total_records', cast(count(*) filter (complete) as varchar(40)), '' from described
+union all select 'stats', 'Usable_records', cast(count(*) filter (counted) as varchar(40)), '' from described"""
+
+
+def written(a: DataFrame, path: str) -> DataFrame:
+    """Entries of the matrix, barcodes and statistics of the alignment program."""
+    part = lambda name, keep, sep: fields(lines_of(a.sparkSession, f"{path}/{name}").where(keep), sep, a="string", b="string", c="string").na.fill("").select(F.lit(name.split(".")[0]).alias("file"), "a", "b", "c")
+    return part("matrix.mtx", "line_no > 3", " ").unionByName(part("barcodes.tsv", "true", "\t")).unionByName(part("stats.txt", "line_no <> 3", "\t"))
+
+
+@query("alignment_files", f"with {DESCRIBED}, counts as (select cb, probe, count(*) as n from described where counted group by cb, probe) {FILES}", "alignments", "probes")
 def alignment_files(a: DataFrame, p: DataFrame) -> DataFrame:
-    """Matrix entries, barcodes and statistics of the alignment program."""
-    path, spark = folder(a), a.sparkSession
-    rows = cut(usable(a))
-    counts = cut(demux.probe_counts(rows, p, 2))
-    sinks.write_probe_stats(demux.alignment_stats(rows, counts), counts, p, f"{path}/stats.txt")
-    sinks.write_matrix(counts.select(Col("cb").alias("barcode"), Col("probe_index").alias("feature_index"), Col("n").alias("umis")), 16, path, "tsv")
-    part = lambda name, keep, sep: fields(lines_of(spark, f"{path}/{name}").where(keep), sep, a="string", b="string", c="string").na.fill("").select(F.lit(name.split(".")[0]).alias("file"), "a", "b", "c")
-    return part("matrix.mtx", "line_no > 3", " ").unionByName(part("barcodes.tsv", "true", "\t")).unionByName(part("stats.txt", "line_no > 3 or startswith(value, 'Usable')", "\t"))
+    """The program over a BAM file."""
+    return written(a, demux_bam(a, p, bam_of(a)))
+
+
+@query("alignment_files_by_tags", f"""with {DESCRIBED.replace("v_alignments", "(select a.* exclude (cb, ub), coalesce(w.barcode, '-') as cb, 'x' as ub, mapq % 4 <> 0 as tags_there from v_alignments a left join v_whitelist w on w.wl_idx = a.rec_no % 1500 + 1)").replace("a.gene is not null", "(a.gene is not null and tags_there)")}, counts as (select cb, probe, count(*) as n from described where counted group by cb, probe) {FILES}""", "alignments", "probes", "whitelist")
+def alignment_files_by_tags(a: DataFrame, p: DataFrame, w: DataFrame) -> DataFrame:
+    """The same with barcodes and UMIs from a tag stream, whose indexes go beyond the whitelist."""
+    return written(a, demux_bam(a, p, bam_of(a), cbub=stream_of(a), whitelist=stored(w, Col("barcode"), "wl_idx")))
 
 
-@query("read_map_file", f"with {USABLE} select qname, arg_max(cb, rec_no) as cb, arg_max(ub, rec_no) as ub, arg_max(gene, rec_no) as gene from usable where countable group by qname", "alignments")
-def read_map_file(a: DataFrame) -> DataFrame:
-    path = f"{folder(a)}/read_to_cb_umi_gene.txt"
-    sinks.write_read_map(demux.last_per_name(usable(a)), path)
-    return fields(lines_of(a.sparkSession, path), "\t", qname="string", cb="string", ub="string", gene="string")
+@query("read_map_file", f"with {DESCRIBED} select qname, arg_max(cb, rec_no) as cb, arg_max(ub, rec_no) as ub, arg_max(gene, rec_no) as gene from described where counted group by qname", "alignments", "probes")
+def read_map_file(a: DataFrame, p: DataFrame) -> DataFrame:
+    path = demux_bam(a, p, sam_of(a), read_map=True)
+    return fields(lines_of(a.sparkSession, f"{path}/read_to_cb_umi_gene.txt"), "\t", qname="string", cb="string", ub="string", gene="string")
 
 
-@query("nh_debug_file", f"with {USABLE} select qname, cast(nh as int) as nh, cb, ub, gene from usable where nh > 1 order by rec_no limit 1000", "alignments")
-def nh_debug_file(a: DataFrame) -> DataFrame:
-    """The first 1000 records with several hits: a report with a limit."""
-    path = f"{folder(a)}/nh_debug.jsonl"
-    sinks.write_lines(demux.nh_debug(usable(a)), path)
-    return a.sparkSession.read.schema("qname string, nh int, cb string, ub string, gene string").json(path)
+@query("nh_debug_file", f"""with {DESCRIBED} select * from (select 'nh_staging' as event, row_number() over (order by rec_no) - 1 as "index", qname, cast(nh as int) as nh, cast(coalesce(probe, 0) as int) as "sampleIdx", cast(0 as bigint) as "cbIdxPlus1" from described where complete) where "index" < 1000
+union all select 'nh_tap', row_number() over (order by rec_no) - 1, qname, cast(nh as int), cast(probe as int), 0 from described where counted""", "alignments", "probes")
+def nh_debug_file(a: DataFrame, p: DataFrame) -> DataFrame:
+    """The first 1000 complete records (a log with a limit) and all counted ones."""
+    path = demux_bam(a, p, bam_of(a), nh_debug=True)
+    staged = a.sparkSession.read.schema("event string, index long, qname string, meta_nh int, sampleIdx int, cbIdxPlus1 long").json(f"{path}/nh_staging.jsonl").withColumnRenamed("meta_nh", "nh")
+    tap = tables.lines(a.sparkSession, f"{path}/nh_tap.jsonl").where("value <> ''").select(F.from_json("value", "event string, qname string, nh int, sampleIdx int, cbIdxPlus1 long").alias("j"), (Col("line_no") - 1).alias("index"))
+    return staged.unionByName(tap.select("j.event", "index", "j.qname", "j.nh", "j.sampleIdx", "j.cbIdxPlus1"))
 
 
-@query("sidecar_file", f"with {USABLE} select row_number() over (order by u.rec_no) as place, cast(coalesce(p.probe_index, 0) as int) as probe from usable u left join v_probes p on p.variant = substr(u.oriented, 3, 8)", "alignments", "probes")
+@query("sidecar_file", f"with {DESCRIBED} select row_number() over (order by rec_no) as place, cast(coalesce(probe, 0) as int) as probe from described", "alignments", "probes")
 def sidecar_file(a: DataFrame, p: DataFrame) -> DataFrame:
-    path = f"{folder(a)}/probes.bin"
-    rows = usable(a)
-    oriented = rows.withColumn("seq", F.when(Col("flag").bitwiseAND(16) != 0, F.reverse(F.translate("seq", "ACGT", "TGCA"))).otherwise(Col("seq")))
-    sinks.write_sidecar(demux.probe_of(oriented, p, 2), 16, path)
+    """A byte for each record that passes the filters of flag and quality, in the order of the BAM file."""
+    path = f"{demux_bam(a, p, bam_of(a), binary=True)}/probes.bin"
     held = a.sparkSession.read.format("binaryFile").load(path).select(F.hex("content").alias("h"))
     bytes_ = F.posexplode(F.regexp_extract_all(F.substring("h", 19, 1 << 30), F.lit("(..)"), F.lit(1))).alias("place", "x")
     return held.select(bytes_).select((Col("place") + 1).cast("long").alias("place"), F.conv("x", 16, 10).cast("int").alias("probe"))

@@ -6,15 +6,22 @@ Paths are those of Spark's file systems, so a store that Spark writes will do.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import accumulate
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from tallyseq.functions import dna
 from tallyseq.operators import qc
 from tallyseq.operators.barcode import small
+from tallyseq.operators.common import cut
+from tallyseq.sources import stores
 
 MATRIX_HEAD = "%%MatrixMarket matrix coordinate integer general\n%\n"
 # Heads and line of the sequence and histogram tables.
@@ -56,20 +63,129 @@ def part_files(spark: SparkSession, directory: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-"))
 
 
-def merged(spark: SparkSession, head: str, directory: str, path: str) -> None:
-    """One file of ``head`` and the part files of a directory, for tools that read single files.
+def assembled(spark: SparkSession, targets: dict[str, tuple[bytes, list[str]]]) -> None:
+    """Files of a head and part files in order, for tools that read single files. Bytes go from file to file on executors; the parts stay.
 
-    Bytes are copied from stream to stream; nothing is held. The parts stay, as what Spark reads back.
+    On a local or mounted file system each part is a task, which writes at the place that the sizes of the parts before it give; stores without writes at a place get
+    one task a file. Stores that only Spark opens are written as streams, one after another. A file appears under its name when it is whole.
     """
-    with stream(spark, path) as out:
-        out.write(bytearray(head.encode()))
-        for part in part_files(spark, directory):
-            fs, where = _path(spark, part)
-            given = fs.open(where)
-            try:
-                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, 1 << 20, False)
-            finally:
-                given.close()
+    plan = []
+    for path, (head, parts) in targets.items():
+        where = stores.qualified(spark, path)
+        fs, at = _path(spark, where)
+        if not stores.opens(where):
+            with stream(spark, f"{where}.tmp") as out:
+                out.write(bytearray(head))
+                for part in parts:
+                    held, place = _path(spark, part)
+                    given = held.open(place)
+                    try:
+                        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, 1 << 20, False)
+                    finally:
+                        given.close()
+            continue
+        fs.mkdirs(at.getParent())
+        arrow, place = stores.placed(f"{where}.tmp")
+        if where.startswith("file:"):
+            with arrow.open_output_stream(place) as out:
+                out.write(head)
+            sizes = [len(head), *(stores.size_of(p) for p in parts)]
+            plan += [(f"{where}.tmp", start, [p], b"") for p, start in zip(parts, accumulate(sizes), strict=False)]
+        else:
+            plan.append((f"{where}.tmp", -1, parts, head))
+    if plan:
+        stores.on_executors(spark, plan, "path string, start long, parts array<string>, head binary", copied, "path string, start long, written long")
+    for path in targets:
+        where = stores.qualified(spark, path)
+        fs, at = _path(spark, where)
+        fs.delete(at, False)
+        if stores.opens(where):
+            stores.placed(where)[0].move(stores.placed(f"{where}.tmp")[1], stores.placed(where)[1])
+        else:
+            fs.rename(_path(spark, f"{where}.tmp")[1], at)
+
+
+def copied(row: tuple) -> tuple[str, int, int]:
+    """Copies part files to a place in a file that is there, or (-1) to a new file after a head."""
+    path, start, parts, head = row
+    fs, at = stores.placed(path)
+    written = 0
+    if start < 0:
+        with fs.open_output_stream(at) as out:
+            out.write(head)
+            for part in parts:
+                with stores.opened(part) as given:
+                    while data := given.read(1 << 20):
+                        written += out.write(data)
+        return path, start, written
+    file = os.open(at, os.O_WRONLY)
+    try:
+        for part in parts:
+            with stores.opened(part) as given:
+                while data := given.read(1 << 20):
+                    written += os.pwrite(file, data, start + written)
+    finally:
+        os.close(file)
+    return path, start, written
+
+
+def merged(spark: SparkSession, head: str, directory: str, path: str) -> None:
+    """One file of ``head`` and the part files of a directory."""
+    assembled(spark, {path: (head.encode(), part_files(spark, directory))})
+
+
+class BytesSink(DataSource):
+    """Format tally_bytes: the values of the one column data, partition by partition, as part files of a directory."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tally_bytes"
+
+    def schema(self) -> str:
+        return "data binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:  # noqa: ANN001
+        return BytesWriter(self.options["path"])
+
+
+class BytesWriter(DataSourceArrowWriter):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        context = TaskContext.get()
+        name, final = f"try-{context.taskAttemptId()}", f"part-{context.partitionId():06d}"
+        fs, at = stores.placed(self.path)
+        fs.create_dir(at, recursive=True)
+        with fs.open_output_stream(f"{at}/{name}") as out:
+            for b in iterator:
+                for x in b.column("data"):
+                    out.write(x.as_py())
+        message = WriterCommitMessage()
+        message.names = name, final
+        return message
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, at = stores.placed(self.path)
+        for m in messages:
+            fs.move(f"{at}/{m.names[0]}", f"{at}/{m.names[1]}")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, at = stores.placed(self.path)
+        for m in messages:
+            if m is not None:
+                fs.delete_file(f"{at}/{m.names[0]}")
+
+
+def write_bytes(rows: DataFrame, path: str, *order: str, head: bytes = b"") -> None:
+    """``rows(data, ...)`` by ``order`` as one binary file, from sorted parts in <path>.parts, which are written anew."""
+    spark = rows.sparkSession
+    spark.dataSource.register(BytesSink)
+    fs, where = _path(spark, f"{path}.parts")
+    fs.delete(where, True)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    ranged.select("data").write.format("tally_bytes").mode("append").save(stores.qualified(spark, f"{path}.parts"))
+    assembled(spark, {path: (head, part_files(spark, f"{path}.parts") if fs.exists(where) else [])})
 
 
 def write_lines(lines: DataFrame, path: str, *order: str, head: str = "") -> None:
@@ -141,11 +257,11 @@ def write_read_map(last: DataFrame, path: str) -> None:
 
 
 def write_probe_stats(stats: DataFrame, counts: DataFrame, probes: DataFrame, path: str) -> None:
-    """Total and countable records, then the reads of each probe, those without any included."""
+    """Total and counted records, then the reads of each probe, those without any included."""
     s = stats.first()
     sums = counts.groupBy("probe_index").agg(F.sum("n").alias("n"))
     rows = small(probes.groupBy("probe_index").agg(F.min("probe_name").alias("name"))).join(sums, "probe_index", "left").select("probe_index", F.concat_ws("\t", "name", F.coalesce("n", F.lit(0))).alias("value"))
-    write_lines(rows, path, "probe_index", head=f"Total_records\t{s['total_reads']}\nUsable_records\t{s['countable_reads']}\nBC_ID\tTotal_reads\n")
+    write_lines(rows, path, "probe_index", head=f"Total_records\t{s['total_reads']}\nUsable_records\t{s['counted']}\nBC_ID\tTotal_reads\n")
 
 
 def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
@@ -153,43 +269,43 @@ def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def write_samples(routed: DataFrame, path: str) -> None:
-    """Gzip FASTQ of each sample group and mate, written side by side by Spark."""
-    mates = [routed.where(f"r{m} is not null").select("sample_group", F.lit(m).alias("mate"), "read_id", F.concat_ws("\n", f"r{m}.header", f"r{m}.seq", f"r{m}.plus", f"r{m}.qual").alias("value")) for m in (1, 2, 3)]
-    every = mates[0].unionByName(mates[1]).unionByName(mates[2])
-    every.sortWithinPartitions("sample_group", "mate", "read_id").select("sample_group", "mate", "value").write.mode("overwrite").partitionBy("sample_group", "mate").option("compression", "gzip").text(path)
+    """One gzip FASTQ file <sample group>/R<mate>.fastq.gz for each sample group and mate, R1, R2 and R3 in the same order.
+
+    Rows are dealt by range of group, mate and read, so a large sample spreads over many tasks and a small one is in few; the parts of
+    a file, which stay in <path>.parts, are gzip members one after another. ``routed`` is met twice, once for the ranges' bounds: give it stored.
+    """
+    spark = routed.sparkSession
+    record = lambda m: F.struct(F.lit(m).alias("mate"), F.when(F.col(f"r{m}").isNotNull(), F.concat_ws("\n", f"r{m}.header", f"r{m}.seq", f"r{m}.plus", f"r{m}.qual")).alias("value"))
+    rows = routed.select("sample_group", "read_id", F.explode(F.array(*map(record, (1, 2, 3)))).alias("x")).select("sample_group", "x.mate", "read_id", "x.value").where("value is not null")
+    ordered = rows.repartitionByRange("sample_group", "mate", "read_id").sortWithinPartitions("sample_group", "mate", "read_id")
+    ordered.select("sample_group", "mate", "value").write.mode("overwrite").partitionBy("sample_group", "mate").option("compression", "gzip").text(f"{path}.parts")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}.parts").select("sample_group", "mate", "path").distinct().collect() if part_folders(spark, f"{path}.parts") else []
+    files: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: r["path"]):
+        files.setdefault(f"{path}/{r['sample_group']}/R{r['mate']}.fastq.gz", []).append(r["path"])
+    assembled(spark, {target: (b"", parts) for target, parts in files.items()})
+
+
+def part_folders(spark: SparkSession, path: str) -> bool:
+    """Whether a directory that was written by key has any key."""
+    fs, where = _path(spark, path)
+    return any(s.isDirectory() for s in fs.listStatus(where))
 
 
 def write_sidecar(hits: DataFrame, probes: int, path: str) -> None:
     """Binary sidecar: u64 total bytes, u8 probe count, then a byte for each record in order: its probe index, 0 for none.
 
-    Bytes are made by partitions of rec_no and put together in order, one partition at a time.
+    Each task of a range of rec_no makes its bytes as one part; see write_bytes().
     """
     if probes > 255:
         raise ValueError("the sidecar holds 255 probes at most")
-    ranged = hits.select("rec_no", F.coalesce("probe_index", F.lit(0)).alias("p")).repartitionByRange("rec_no").sortWithinPartitions("rec_no")
-
-    def pack(frames):  # noqa: ANN001, ANN202
-        import pandas as pd
+    marks = cut(hits.select("rec_no", F.coalesce("probe_index", F.lit(0)).cast("int").alias("p")).repartitionByRange("rec_no").sortWithinPartitions("rec_no"))
 
-        for f in frames:
-            yield pd.DataFrame({"first": [int(f["rec_no"].iloc[0])] if len(f) else [], "data": [f["p"].astype("uint8").to_numpy().tobytes()] if len(f) else []})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column("p").to_numpy().astype("uint8").tobytes()], pa.binary())], names=["data"])
 
-    parts = ranged.mapInPandas(pack, "first long, data binary").orderBy("first")
-    total = hits.count()
-    with stream(hits.sparkSession, path) as out:
-        out.write(bytearray((total + 9).to_bytes(8, "little") + bytes([probes])))
-        for r in parts.toLocalIterator():
-            out.write(bytearray(r["data"]))
-
-
-def heatmap_json(cells: DataFrame, names: dict[int, str], path: str) -> None:
-    """Feature by richness report: labels, columns, matrix, column sums; its size is bounded by the features."""
-    rows = cells.orderBy("feature_index", "richness").collect()
-    columns, labels = sorted({r["richness"] for r in rows}), sorted({r["feature_index"] for r in rows})
-    at = {(r["feature_index"], r["richness"]): r["barcodes"] for r in rows}
-    matrix = [[at.get((f, c), 0) for c in columns] for f in labels]
-    sums = [sum(col) // c for c, col in zip(columns, zip(*matrix, strict=True), strict=True)]
-    put_text(cells.sparkSession, json.dumps({"labels": [names.get(f, str(f)) for f in labels], "columns": columns, "matrix": matrix, "column_sums": sums}), path)
+    write_bytes(marks.mapInArrow(pack, "data binary"), path, head=(marks.count() + 9).to_bytes(8, "little") + bytes([probes]))
 
 
 def write_heatmap(cells: DataFrame, features: DataFrame, kept: DataFrame, path: str, title: str, kind: str) -> bool:

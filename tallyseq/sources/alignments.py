@@ -424,3 +424,9 @@ def register(spark: SparkSession) -> None:
     """Makes both formats known to the session."""
     spark.dataSource.register(BamSource)
     spark.dataSource.register(CbubSource)
+
+
+def read_cbub(spark: SparkSession, path: str) -> DataFrame:
+    """The whole tag stream."""
+    register(spark)
+    return spark.read.format("tally_cbub").load(stores.qualified(spark, path))

@@ -113,7 +113,10 @@ class FastqReader(DataSourceReader):
         return [stores.Part(p) for p in json.loads(self.plan)]
 
     def read(self, partition: stores.Part) -> Iterator[pa.RecordBatch]:
-        p = partition.value
+        for p in partition.value:
+            yield from self.read_range(p)
+
+    def read_range(self, p: dict) -> Iterator[pa.RecordBatch]:
         sources = {k: lines_from(*at) for k, at in p["mates"].items()}
         first, left, whole = p["first"], p["n"], True
         while whole and (left is None or left > 0):
@@ -136,8 +139,21 @@ class FastqReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([p["sample"]] * n), pa.array([p["lane"]] * n), pa.array(range(first, first + n), pa.int64()), *map(mate, ("r1", "r2", "r3"))], schema=RECORDS)
 
 
+def packed(ranges: list[dict], split: int) -> list[list[dict]]:
+    """Ranges by partition: small ones share one of about ``split`` bytes."""
+    out: list[list[dict]] = []
+    size = split
+    for r in ranges:
+        if size + r["bytes"] > split:
+            out.append([])
+            size = 0
+        out[-1].append(r)
+        size += r["bytes"]
+    return out
+
+
 def planned(spark: SparkSession, file_sets: list[dict], strict: bool, max_reads: int, split: int) -> list[dict]:
-    """Partitions: sample, lane, first record, number of records (None: to the end) and for each mate path, byte and lines to pass from there.
+    """Ranges of records: sample, lane, first record, number of records (None: to the end), bytes of the first mate and for each mate path, byte and lines to pass from there.
 
     Plain files are counted once, by byte range. A set's records are those that all mates hold whole; ``strict`` makes others an error.
     """
@@ -149,25 +165,27 @@ def planned(spark: SparkSession, file_sets: list[dict], strict: bool, max_reads:
     for s, m, ok in zip(file_sets, mates, plain, strict=True):
         head = {"sample": s["sample"], "lane": s["lane"]}
         if not ok:
-            out.append(head | {"first": 0, "n": max_reads or None, "mates": {k: [p, 0, 0] for k, p in m.items()}})
+            out.append(head | {"first": 0, "n": max_reads or None, "bytes": stores.size_of(next(iter(m.values()))), "mates": {k: [p, 0, 0] for k, p in m.items()}})
             continue
         held = [index[p][-1][1] for p in m.values()]
         if strict and not max_reads and (len(set(held)) > 1 or held[0] % 4):
             raise ValueError("files of a set differ in length, or a record is cut off")
         n = min(held) // 4
         n = min(n, max_reads) if max_reads else n
-        edges = sorted({min(-(-lines // 4), n) for _, lines in index[next(iter(m.values()))]} | {n})
-        out += [head | {"first": a, "n": b - a, "mates": {k: [p, *stores.place_of_line(index[p], 4 * a)] for k, p in m.items()}} for a, b in zip(edges, edges[1:], strict=False)]
+        marks = index[next(iter(m.values()))]
+        edges = sorted({min(-(-lines // 4), n) for _, lines in marks} | {n})
+        size = marks[-1][0] // max(1, len(edges) - 1)
+        out += [head | {"first": a, "n": b - a, "bytes": size, "mates": {k: [p, *stores.place_of_line(index[p], 4 * a)] for k, p in m.items()}} for a, b in zip(edges, edges[1:], strict=False)]
     return out
 
 
 def read_sets(spark: SparkSession, file_sets: list[dict], strict: bool = False, max_reads: int = 0, batch: int = 10_000, split: int = stores.SPLIT, slim: bool = False) -> DataFrame:
     """What read_fastq() gives, without a shuffle: each partition reads about ``split`` bytes of the first mate and the same records of the others.
 
-    A set with a gzip file is one partition. Paths are local, or those of a store that Arrow's file systems open. ``slim`` leaves header and plus null.
+    A set with a gzip file is read by one task; small sets share partitions. Paths are local, or those of a store that Arrow's file systems open. ``slim`` leaves header and plus null.
     """
     spark.dataSource.register(FastqSource)
-    plan = planned(spark, file_sets, strict, max_reads, split)
+    plan = packed(planned(spark, file_sets, strict, max_reads, split), split)
     return spark.read.format("tally_fastq").options(plan=json.dumps(plan), strict=str(strict).lower(), slim=str(slim).lower(), batch=batch).load()
 
 

@@ -56,14 +56,14 @@ def ranges(size: int, split: int) -> list[tuple[int, int]]:
 
 
 def on_executors(spark: SparkSession, rows: list[tuple], schema: str, work: Callable[[tuple], tuple], answer: str) -> list[tuple]:
-    """``work`` of each row, a task for each; rows and answers are plans of byte ranges, one for each range of the input."""
+    """``work`` of each row, spread over tasks; rows and answers are plans of byte ranges, one for each range of the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in work(row)], names=[c.split()[0] for c in answer.split(", ")])
 
-    given = spark.createDataFrame(rows, schema).repartition(max(1, len(rows)))
+    given = spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 8 * spark.sparkContext.defaultParallelism)))
     return sorted(tuple(r) for r in given.mapInArrow(run, answer).collect())
 
 

@@ -2,11 +2,13 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallyseq.operators import match
+from tallyseq.operators import demux, match
 from tallyseq.plans import programs
 from tallyseq.sinks import files as sinks
 from tallyseq.sources import fastq, tables
+from tests.test_ranges import bam_bytes, tag_stream
 from tests.test_sources_sinks import RECORDS, bam, write_fastq
 
 CELLS = ("ACGTACGTACGTACGT", "TTTTCCCCAAAAGGGG")
@@ -72,15 +74,63 @@ def test_demux_programs(spark, tmp_path):
     r1, r2 = write_fastq(tmp_path / "SC7_R1_.fastq.gz", seqs), write_fastq(tmp_path / "SC7_R2_.fastq.gz", seqs)
     totals = programs.demux_fastq(spark, f"{tmp_path}/probes", f"{tmp_path}/map", f"{tmp_path}/out", r1=r1, r2=r2, offset=2)
     assert totals.first().asDict() == {"library_id": "SC7", "matched": 4, "unspecified": 4, "undetermined": 4, "total": 12}
-    assert spark.read.text(f"{tmp_path}/out/samples").where("sample_group = 'liver' and mate = 1").count() == 16
+    ends = [gzip.decompress((tmp_path / f"out/samples/liver/R{m}.fastq.gz").read_bytes()).decode().splitlines() for m in (1, 2)]
+    assert ends[0] == ends[1] and [x for x in ends[0] if x.startswith("@")] == ["@r0", "@r3", "@r6", "@r9"] and len(ends[0]) == 16
     bam(tmp_path / "x.bam", RECORDS)
     programs.demux_bam(spark, f"{tmp_path}/x.bam", f"{tmp_path}/probes", f"{tmp_path}/bam", offset=2, read_map=True)
     assert (tmp_path / "bam/matrix.mtx").read_text().splitlines()[2:] == ["2 1 1", "1 1 2"]
     assert (tmp_path / "bam/features.tsv").read_text().split() == ["BC001", "BC002"] and (tmp_path / "bam/barcodes.tsv").read_text().split() == ["c1"]
-    assert (tmp_path / "bam/stats.txt").read_text().splitlines() == ["Total_records\t4", "Usable_records\t3", "BC_ID\tTotal_reads", "BC001\t2", "BC002\t0"]
-    assert (tmp_path / "bam/read_to_cb_umi_gene.txt").read_text().splitlines() == ["q1\tc1\tAC\tg2", "q5\tc2\tAA\tg1"]
+    assert (tmp_path / "bam/stats.txt").read_text().splitlines() == ["Total_records\t4", "Usable_records\t2", "BC_ID\tTotal_reads", "BC001\t2", "BC002\t0"]
+    assert (tmp_path / "bam/read_to_cb_umi_gene.txt").read_text().splitlines() == ["q1\tc1\tAC\tg2"]  # q5 has no probe
     programs.demux_bam(spark, f"{tmp_path}/x.bam", f"{tmp_path}/probes", f"{tmp_path}/bin", offset=2, binary=True)
-    assert (tmp_path / "bin/probes.bin").read_bytes() == (14).to_bytes(8, "little") + bytes([2, 1, 1, 0, 0, 0])
+    assert (tmp_path / "bin/probes.bin").read_bytes() == (14).to_bytes(8, "little") + bytes([2, 1, 1, 1, 0, 0])
+
+
+def test_demux_bam_with_a_tag_stream(spark, tmp_path):
+    """A byte for every record that passes the filters; no tags: no part of the totals; an index beyond the whitelist: in the totals, not counted."""
+    (tmp_path / "probes").write_text("ACGTACGT ACGTACGT BC001\nAAAACCCC AAAACCCC BC002\n")
+    (tmp_path / "cells").write_text("GGGG\nCCCC\n")
+    records = [(f"q{i}", flag, 30, f"GG{p}T", {"GX": g, "NH": 1 + i}) for i, (flag, p, g) in enumerate([(0, "ACGTACGT", "g"), (0, "AAAACCCC", "g"), (1024, "ACGTACGT", "g"), (0, "AAAACCCC", "g"), (0, "ACGTACGT", "-g"), (0, "TTTTTTTT", "g")])]
+    tags = [(True, 1, "ACA"), (False, 0, "AAA"), (True, 1, "AAA"), (True, 9, "AAA"), (True, 2, "AAA"), (True, 2, "AAC")]
+    (tmp_path / "x.bam").write_bytes(bam_bytes(records, 60))
+    (tmp_path / "tags").write_bytes(tag_stream(tags))
+    sam = "@HD\tVN:1.6\n" + "".join(f"{n}\t{f}\tc1\t1\t{m}\t*\t*\t0\t0\t{s}\t*\tGX:Z:{t['GX']}\tNH:i:{t['NH']}\n" for n, f, m, s, t in records)
+    (tmp_path / "x.sam").write_text(sam)
+    for kind in ("bam", "sam"):
+        run = lambda out, **more: programs.demux_bam(spark, f"{tmp_path}/x.{kind}", f"{tmp_path}/probes", f"{tmp_path}/{kind}{out}", offset=2, cbub=f"{tmp_path}/tags", whitelist=f"{tmp_path}/cells", **more)  # noqa: B023, E731
+        assert [tuple(r) for r in run("m", read_map=True, nh_debug=True).collect()] == [("GGGG", 1, 1)]
+        assert (tmp_path / f"{kind}m/stats.txt").read_text().splitlines() == ["Total_records\t4", "Usable_records\t1", "BC_ID\tTotal_reads", "BC001\t1", "BC002\t0"]
+        assert (tmp_path / f"{kind}m/read_to_cb_umi_gene.txt").read_text() == "q0\tGGGG\tACA\tg\n"
+        staged = [json.loads(x) for x in (tmp_path / f"{kind}m/nh_staging.jsonl").read_text().splitlines()]
+        assert [(x["event"], x["index"], x["qname"], x["meta_nh"], x["sampleIdx"], x["cbIdxPlus1"]) for x in staged] == [("nh_staging", i, *x) for i, x in enumerate([("q0", 1, 1, 1), ("q3", 4, 2, 0), ("q4", 5, 1, 2), ("q5", 6, 0, 2)])]
+        assert [json.loads(x) for x in (tmp_path / f"{kind}m/nh_tap.jsonl").read_text().splitlines()] == [{"event": "nh_tap", "qname": "q0", "nh": 1, "sampleIdx": 1, "cbIdxPlus1": 1}]
+        run("b", binary=True)
+        assert (tmp_path / f"{kind}b/probes.bin").read_bytes() == (14).to_bytes(8, "little") + bytes([2, 1, 0, 2, 1, 0])
+        for n, said in ((5, "ends before"), (7, "left over")):
+            (tmp_path / "other").write_bytes(tag_stream((tags * 2)[:n]))
+            with pytest.raises(ValueError, match=said):
+                programs.demux_bam(spark, f"{tmp_path}/x.{kind}", f"{tmp_path}/probes", f"{tmp_path}/e", cbub=f"{tmp_path}/other", whitelist=f"{tmp_path}/cells")
+
+
+def test_probes_by_map_and_by_join(spark, monkeypatch):
+    probes = spark.createDataFrame([("ACGTACGT", "b", 2), ("ACGTACGT", "a", 1), ("CGTACGTT", "c", 3), (None, "n", 4)], "variant string, probe_name string, probe_index int")
+    reads = spark.createDataFrame([(1, "GGACGTACGTT"), (2, "GACGTACGTTT"), (3, "TTTTTTTTTTTTT"), (4, None), (5, "GGNCGTACGTTT")], "read_id long, seq string")
+    answers = []
+    for most in (512, 0):
+        monkeypatch.setattr(demux, "MAPPED", most)
+        answers.append([[(r["read_id"], r["probe_name"], r["probe_index"]) for r in demux.probe_of(reads, probes, 2, nearby=near).orderBy("read_id").collect()] for near in (False, True)])
+    assert answers[0] == answers[1] == [[(1, "a", 1), (2, "c", 3), (3, None, None), (4, None, None), (5, None, None)], [(1, "a", 1), (2, "c", 3), (3, None, None), (4, None, None), (5, "c", 3)]]
+    assert demux.probe_of(reads, probes.limit(0), 2).where("probe_index is null").count() == 5
+
+
+def test_files_are_put_together_on_executors(spark, tmp_path):
+    """Text and bytes, over a file that was there before; no parts at all."""
+    for n in (3000, 5, 0):
+        sinks.write_lines(spark.range(n).select(F.col("id").cast("string").alias("value"), "id").repartition(7), f"{tmp_path}/lines", "id", head="head\n")
+        assert (tmp_path / "lines").read_text().splitlines() == ["head", *map(str, range(n))]
+        assert [r["value"] for r in spark.read.text(f"{tmp_path}/lines").collect()] == ["head", *map(str, range(n))]
+        sinks.write_bytes(spark.range(n).select(F.col("id").cast("string").cast("binary").alias("data"), "id").repartition(5), f"{tmp_path}/bytes", "id", head=b">")
+        assert (tmp_path / "bytes").read_bytes() == b">" + b"".join(str(i).encode() for i in range(n))
 
 
 def test_line_numbers_of_dictionaries(spark, tmp_path):
