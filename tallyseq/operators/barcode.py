@@ -9,12 +9,18 @@ from pyspark.sql.window import Window
 from tallyseq.functions import dna
 from tallyseq.operators.common import cut
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a dimension of at most ``rows`` rows; a larger one keeps the planner's choice."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a table of at most ``most`` bytes, a bound from its rows and the length of its texts; a larger one keeps the planner's choice.
+
+    Counting stops at the number of rows that alone would be too many. The table is made for it once, so give what is stored or cheap.
+    """
+    width = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) + 24 if t == "string" else F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c)))), F.lit(0)) + 24 if t.startswith(("struct", "array", "map")) else F.lit(16) for c, t in df.dtypes), F.lit(16))
+    seen = df.select(width.cast("long").alias("bytes")).limit(most // 16 + 1)
+    held = seen.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= most else df
 
 
 def split_read(reads: DataFrame, barcode_length: int = 16, umi_length: int = 12, start: int = 0) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyseq.operators.common import cut
+
 
 def feature_per_cell(dedup: DataFrame) -> DataFrame:
     """barcode, num_features, top_feature_index (0 on a tie), total_deduped_umi."""
@@ -58,8 +60,9 @@ def heatmap_rows(dedup: DataFrame, min_total: int = -1) -> DataFrame:
 def matrix_coo(dedup: DataFrame) -> DataFrame:
     """feature_index, column (1-based rank of the barcode), umis.
 
-    Ranks come from a numbered list of the distinct barcodes, which is far smaller than the matrix.
+    Ranks come from a numbered list of the distinct barcodes, which is far smaller than the matrix. The counts are met three times, so they are made once.
     """
+    dedup = cut(dedup)
     return dedup.join(numbered(dedup.select("barcode").distinct(), "barcode", "column"), "barcode").select("feature_index", "column", "umis")
 
 

@@ -37,9 +37,9 @@ def checked(stringency: int, min_counts: int, m: int, min_posterior: float, max_
             raise ValueError(f"{name} is out of range: {value}")
 
 
-def searched(records: DataFrame, features: DataFrame, offset: int, m: int, max_n: int, reach: int) -> DataFrame:
+def searched(records: DataFrame, features: DataFrame, offset: int | str | None, m: int, max_n: int, reach: int) -> DataFrame:
     """Hits of all mates but the first, (read_id, feature_index, ...); where R2 and R3 are there, the closer of the two (see match.combine())."""
-    of = lambda k: match.cascade(records.where(f"r{k}_seq is not null").select("read_id", F.col(f"r{k}_seq").alias("seq")), features, offset, m, max_n, reach if offset else -1)
+    of = lambda k: match.cascade(records.where(f"r{k}_seq is not null").select("read_id", F.col(f"r{k}_seq").alias("seq")), features, offset, m, max_n, reach)
     mates = [k for k in (2, 3) if records.where(f"r{k}_seq is not null").take(1)]
     if len(mates) == 2:
         return match.combine(of(2).withColumn("source", F.lit(0)).unionByName(of(3).withColumn("source", F.lit(1))))

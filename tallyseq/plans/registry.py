@@ -195,20 +195,32 @@ def feature_exhaustive(r: DataFrame, f: DataFrame) -> DataFrame:
     return typed(match.exhaustive(r, f, 1))
 
 
-CASCADE = f"""{SPELLED}, {anchored('h0', '4', 0)}, e0 as ({best_of('h0')}),
-{anchored('h1', '5', 0, 'v_reads')}, e1 as ({best_of('h1 where read_id not in (select read_id from e0)')}),
-{anchored('h2', '3', 0, 'v_reads')}, e2 as ({best_of('h2 where read_id not in (select read_id from e0) and read_id not in (select read_id from e1)')}),
+def cascade_sql(at: Callable[[str, int, int], str]) -> str:
+    """``at(name, shift, m)``: hits at the anchor and a shift."""
+    return f"""{SPELLED}, {at('h0', 0, 0)}, e0 as ({best_of('h0')}),
+{at('h1', -1, 0)}, e1 as ({best_of('h1 where read_id not in (select read_id from e0)')}),
+{at('h2', 1, 0)}, e2 as ({best_of('h2 where read_id not in (select read_id from e0) and read_id not in (select read_id from e1)')}),
 first as (select * from e0 union all select * from e1 union all select * from e2),
-{anchored('a1', '4', 1)}, near as ({best_of('a1 where read_id not in (select read_id from first)')}), {EXHAUSTIVE},
+{at('a1', 0, 1)}, near as ({best_of('a1 where read_id not in (select read_id from first)')}), {EXHAUSTIVE},
 rest as (select *, 0 as rank from near union all select *, 1 as rank from wide where read_id not in (select read_id from first)),
 found as (select read_id, feature_index, hamming, match_position, matched_sequence from first union all select read_id, feature_index, hamming, match_position, matched_sequence from (select *, row_number() over (partition by read_id order by hamming, rank) as k from rest) where k = 1)"""
 
 
+CASCADE = cascade_sql(lambda name, shift, m: anchored(name, str(4 + shift), m))
+OWN = cascade_sql(lambda name, shift, m: anchored(name, f"(f.pattern_offset + {shift})", m))
+
+
 @query("feature_cascade", f"with {CASCADE} select {OUT} from found", "reads", "features")
 def feature_cascade(r: DataFrame, f: DataFrame) -> DataFrame:
     return typed(match.cascade(r, f, 4, 1))
 
 
+@query("feature_own_anchors", f"with {OWN} select {OUT} from found", "reads", "features")
+def feature_own_anchors(r: DataFrame, f: DataFrame) -> DataFrame:
+    """Each feature at the anchor of its pattern, two of them in this list."""
+    return typed(match.cascade(r, f, match.OWN, 1))
+
+
 @query("multi_read_combine", f"""with {SPELLED}, {anchored('a', '4', 1)}, {anchored('b', '5', 1)}, x as ({best_of('a')}), y as ({best_of('b')}),
 hit as (select read_id, feature_index, hamming as h, match_position as pos, 0 as prio, matched_sequence as w from x union all select read_id, feature_index, hamming, match_position, 1, matched_sequence from y) select {OUT} from ({best_of('hit')})""", "reads", "features")
 def multi_read_combine(r: DataFrame, f: DataFrame) -> DataFrame:

@@ -9,13 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# Eight guides of 20 bases for the views.
-GUIDES = (
-    "ACGTTGCAATCGGATCCTAG", "TTGACCATGGCTAACGTCAA", "GGATCTTACCAGTTGACGCT", "CATGGTACGTTACGGATTCC",
-    "AAGCTCGGATATCCGTAGTG", "CCTAAGGTTCGACATGCATT", "GTCAGATCCATGCTTAGGAC", "TGCGCATTAGGCATACCTGA",
-)
-
-
 def enc(code: str, n: int) -> str:
     """SQL for the ``n`` bases of a packed code."""
     return "concat(" + ", ".join(f"substr('ACGT', cast((({code}) >> {2 * (n - 1 - k)}) & 3 as int) + 1, 1)" for k in range(n)) + ")"
@@ -26,7 +19,8 @@ def mutated(s: str, p: str) -> str:
     return f"concat(substr({s}, 1, cast({p} as int)), translate(substr({s}, cast({p} as int) + 1, 1), 'ACGT', 'CGTA'), substr({s}, cast({p} as int) + 2))"
 
 
-FEATURES = "select * from (values " + ", ".join(f"({i + 1}, 'guide{i + 1}', '{g}', '{'N' * (4 + i // 7)}(BC)', {4 + i // 7})" for i, g in enumerate(GUIDES)) + ") as f(feature_index, name, sequence, pattern, pattern_offset)"
+# A guide of 20 bases for each nation, at least 12 bases apart; the last three have another anchor.
+FEATURES = f"select feature_index, concat('guide', cast(feature_index as varchar(3))) as name, sequence, concat(repeat('N', pattern_offset), '(BC)') as pattern, pattern_offset from (select cast(n_nationkey + 1 as int) as feature_index, {enc('(cast(n_nationkey + 1 as bigint) * 136778135883 + 95943707480) & 1099511627775', 20)} as sequence, cast(case when n_nationkey < 22 then 4 else 5 end as int) as pattern_offset from {{nation}}) f"
 
 WHITELIST = f"select cast(row_number() over (order by code) as bigint) as wl_idx, {enc('code', 8)} as barcode, code from (select distinct (c_custkey * 2654435) & 65535 as code from {{customer}}) w"
 
@@ -35,7 +29,7 @@ select event_id, user_id, event_type, lane, feature_no, code,
   {enc('case when event_id % 7 = 0 then (code | x) - (code & x) else code end', 8)} as whole,
   {enc('cast(round(value * 100) as bigint) & 1023', 5)} as umi0,
   {enc('event_id & 255', 4)} as head, {enc('(event_id * 13) & 4095', 6)} as tail, {enc('(event_id * 2654435761) & 1099511627775', 20)} as noise
-from (select *, ((user_id + 1) * 2654435) & 65535 as code, (event_id % 3 + 1) << cast(2 * (event_id % 8) as int) as x, (event_id + user_id) % 9 + 1 as feature_no, event_id % 4 as lane from {{events}}) e
+from (select *, ((user_id + 1) * 2654435) & 65535 as code, (event_id % 3 + 1) << cast(2 * (event_id % 8) as int) as x, (event_id + user_id) % 26 + 1 as feature_no, event_id % 4 as lane from {{events}}) e
 """
 
 READS = f"""

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.window import Window
@@ -25,9 +25,10 @@ from tallyseq.sources.stores import qualified
 FIELDS = ("header", "seq", "plus", "qual")
 
 
-def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, line (from 0), value."""
-    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+def numbered_lines(spark: SparkSession, paths: list[str], kept: Column | None = None) -> DataFrame:
+    """path, line (from 0), value; with ``kept`` only lines for which it holds, numbered among themselves."""
+    text = spark.read.text(paths)
+    raw = (text if kept is None else text.where(kept)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     splits = raw.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("held"))
     before = F.sum("held").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("path", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyseq.functions import dna
+from tallyseq.sources.fastq import numbered_lines
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -23,10 +24,10 @@ def _fields(df: DataFrame) -> DataFrame:
 
 
 def whitelist(spark: SparkSession, path: str, reverse: bool = False) -> DataFrame:
-    """wl_idx (1-based among the non-empty lines), barcode, code; duplicates keep the first line. Other than ACGT, or mixed lengths: an error."""
-    rows = lines(spark, path).where(F.btrim("value") != "").select("line_no", F.btrim("value").alias("barcode"))
-    rows = rows.withColumn("wl_idx", F.row_number().over(Window.orderBy("line_no")).cast("long"))
-    same = F.length("barcode") == F.first(F.length("barcode")).over(Window.orderBy("line_no"))
+    """wl_idx (1-based among the non-empty lines, however many splits the file has), barcode, code; duplicates keep the first line. Other than ACGT, or mixed lengths: an error."""
+    rows = numbered_lines(spark, [path], F.btrim("value") != "").select((F.col("line") + 1).alias("wl_idx"), F.btrim("value").alias("barcode"))
+    any_line = rows.select(F.length("barcode")).first()
+    same = F.length("barcode") == (any_line[0] if any_line else 0)
     checked = F.when(dna.is_dna(F.col("barcode")) & same, F.col("barcode")).otherwise(F.raise_error(F.concat(F.lit("bad whitelist line: "), "barcode")))
     rows = rows.select("wl_idx", (dna.reverse_complement(checked) if reverse else checked).alias("barcode"))
     return rows.groupBy("barcode").agg(F.min("wl_idx").alias("wl_idx")).select("wl_idx", "barcode", dna.encode(F.col("barcode")).alias("code"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyseq.operators import molecules
+from tallyseq.operators import match, molecules
 from tallyseq.operators.barcode import small
 
 
@@ -15,10 +15,14 @@ def read_stream(spark: SparkSession, path: str, schema: str, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def assigned(reads: DataFrame, whitelist: DataFrame, features: DataFrame, offset: int, length: int) -> DataFrame:
-    """Stream of (barcode, umi, feature_index, read_id): whitelisted barcodes and features equal to the read at ``offset``; no state."""
-    table = small(features.where(F.length("sequence") == length).select("feature_index", F.col("sequence").alias("window")))
-    return reads.withColumn("window", F.substring("seq", offset + 1, length)).join(table, "window").join(small(whitelist.select("barcode")), "barcode", "left_semi").select("barcode", "umi", "feature_index", "read_id")
+def assigned(reads: DataFrame, whitelist: DataFrame, features: DataFrame, offset: int | str | None, m: int = 0, max_n: int = 1, reach: int = -1) -> DataFrame:
+    """Stream of (barcode, umi, feature_index, read_id): whitelisted barcodes and the features that match.cascade() finds; no state.
+
+    The search is an expression of each read, so any distance, N and anchors go; the features must fit search.MOST_FEATURES.
+    """
+    cells = small(whitelist.select("barcode"))
+    kept = reads.join(cells, "barcode", "left_semi")
+    return match.found_in(kept, features, offset, m, max_n, reach).select("barcode", "umi", "feature_index", "read_id")
 
 
 def running_counts(stream: DataFrame) -> DataFrame:

@@ -121,8 +121,8 @@ def test_streams_agree_with_batches(spark, tmp_path):
         spark.createDataFrame(rows[k::3], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     whitelist = spark.createDataFrame([("AAAA",), ("CCCC",)], "barcode string")
     features = spark.createDataFrame([(1, "ACGT"), (2, "GGCC")], "feature_index int, sequence string")
-    stream = matching.assigned(matching.read_stream(spark, f"{tmp_path}/in/*", schema, 1), whitelist, features, 2, 4)
+    stream = matching.assigned(matching.read_stream(spark, f"{tmp_path}/in/*", schema, 1), whitelist, features, 2)
     matching.collect_molecules(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    batch = molecules.molecule_counts(matching.assigned(spark.createDataFrame(rows, schema), whitelist, features, 2, 4))
+    batch = molecules.molecule_counts(matching.assigned(spark.createDataFrame(rows, schema), whitelist, features, 2))
     key = lambda df: sorted(tuple(r) for r in df.select("barcode", "umi", "feature_index", "reads").collect())
     assert key(matching.settled(spark, f"{tmp_path}/out")) == key(batch)

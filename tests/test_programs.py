@@ -63,8 +63,8 @@ def test_options_that_exclude_each_other(spark, tmp_path):
         match.constant_offset(features(1), 3, True)
     with pytest.raises(ValueError, match="several offsets"):
         match.constant_offset(features(*[4] * 19, 5))
-    assert match.constant_offset(features(*[4] * 20, 5)) == 4 and match.constant_offset(features(-1)) == 0
-    assert match.constant_offset(features(4, 5), 5) == 5 and match.constant_offset(features(4, 5), individual=True) == 0
+    assert match.constant_offset(features(*[4] * 20, 5)) == 4 and match.constant_offset(features(-1)) is None
+    assert match.constant_offset(features(4, 5), 5) == 5 and match.constant_offset(features(4, 5), individual=True) == match.OWN
 
 
 def test_demux_programs(spark, tmp_path):
