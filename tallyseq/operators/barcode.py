@@ -103,18 +103,21 @@ def rescue(pending: DataFrame, totals: DataFrame, min_posterior: float = 0.975)
     return evidence(pending, totals).where(F.col("posterior") > min_posterior)
 
 
-def correct(reads: DataFrame, whitelist: DataFrame, length: int, max_candidates: int = 3, max_n: int = 1, min_posterior: float = 0.975) -> DataFrame:
+def correct(reads: DataFrame, whitelist: DataFrame, length: int, max_candidates: int = 3, max_n: int = 1, min_posterior: float = 0.975, by: tuple[str, ...] = ()) -> DataFrame:
     """classify(), then rescue of pending reads by posterior: status rescued, or rejected.
 
     The posterior is that of evidence(). Counts are joined to the candidates of the distinct pending barcodes; a read then weighs its few
-    candidates by itself, so reads are joined by barcode only, with tables that are broadcast where they are small.
+    candidates by itself, so reads are joined by barcode only, with tables that are broadcast where they are small. ``by``: columns, such as a
+    sample, within which reads are counted, each for itself.
     """
     table = corrections(reads, whitelist, length, max_n)
     classed = classify(reads, whitelist, length, max_candidates, max_n, table)
-    totals = classed.where("corrected is not null").groupBy(F.col("corrected").alias("candidate")).agg(F.count("*").alias("raw"))
+    totals = classed.where("corrected is not null").groupBy(*by, F.col("corrected").alias("candidate")).agg(F.count("*").alias("raw"))
     several = table.where(F.size("near").between(2, max_candidates) & F.col("from_n").isNull()).select("barcode", F.explode("near").alias("c")).select("barcode", "c.*")
-    weighed = several.join(totals, "candidate", "left").groupBy("barcode").agg(F.array_sort(F.collect_list(F.struct("candidate", "pos", F.coalesce("raw", F.lit(0)).alias("raw")))).alias("weighed"))
-    out = classed.join(small(cut(weighed)), "barcode", "left")
+    if by:
+        several = several.join(classed.where("status = 'pending'").select(*by, "barcode").distinct(), "barcode")
+    weighed = several.join(totals, [*by, "candidate"], "left").groupBy(*by, "barcode").agg(F.array_sort(F.collect_list(F.struct("candidate", "pos", F.coalesce("raw", F.lit(0)).alias("raw")))).alias("weighed"))
+    out = classed.join(small(cut(weighed)), [*by, "barcode"], "left")
     chance = lambda c: (1 + c["raw"]) * dna.error_probability(F.substring(F.col("barcode_qual"), c["pos"] + 1, F.lit(1)))
     whole = F.aggregate("weighed", F.lit(0.0), lambda a, c: a + chance(c))
     out = out.withColumn("whole", F.when(F.col("status") == "pending", whole))

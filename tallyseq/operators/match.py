@@ -216,10 +216,10 @@ def combine(hits: DataFrame) -> DataFrame:
     return _unique_best(hits.withColumnsRenamed({"match_position": "position", "matched_sequence": "window", "source": "priority"}))
 
 
-def feature_sequences(hits: DataFrame) -> DataFrame:
-    """Matched sequences with their count, and feature, distance and position of the first read; by feature, distance, count (falling), sequence."""
-    grouped = hits.groupBy("matched_sequence").agg(F.count("*").alias("n"), F.min_by(F.struct("feature_index", "hamming", "match_position"), "read_id").alias("m"))
-    return grouped.select("matched_sequence", "n", "m.*").orderBy("feature_index", "hamming", F.desc("n"), "matched_sequence")
+def feature_sequences(hits: DataFrame, *by: str) -> DataFrame:
+    """Matched sequences with their count, and feature, distance and position of the first read; by feature, distance, count (falling), sequence. ``by``: columns, such as a sample, within which they are counted."""
+    grouped = hits.groupBy(*by, "matched_sequence").agg(F.count("*").alias("n"), F.min_by(F.struct("feature_index", "hamming", "match_position"), "read_id").alias("m"))
+    return grouped.select(*by, "matched_sequence", "n", "m.*").orderBy(*by, "feature_index", "hamming", F.desc("n"), "matched_sequence")
 
 
 def offset_sweep(reads: DataFrame, probes: DataFrame, centre: int, reach: int, k: int = 8) -> DataFrame:

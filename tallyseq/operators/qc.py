@@ -94,16 +94,20 @@ def status_counts(reads: DataFrame) -> DataFrame:
     return reads.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def run_stats(reads: DataFrame, raw: DataFrame, dedup: DataFrame, molecules: DataFrame) -> DataFrame:
-    """One row of run counters from reads(status, feature_index): the numbers of stats.txt and the share of all reads that were assigned."""
-    counts = reads.agg(F.count("*").alias("total_reads"), F.count_if(F.expr("feature_index is null")).alias("unmatched_reads"), F.count_if(F.expr("status in ('valid', 'corrected', 'n_corrected', 'rescued')")).alias("assigned_reads"), F.count_if(F.expr("status = 'rescued'")).alias("pending_recovered"))
-    parts = [raw.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("raw_counts")), dedup.agg(F.coalesce(F.sum("umis"), F.lit(0)).alias("deduped_counts")), molecules.agg(F.count_distinct("barcode", "umi").alias("unique_barcode_umis")), raw.agg(F.count_distinct("barcode").alias("whitelisted_barcodes"))]
-    key = F.lit(1).alias("one")
-    out = counts.select("*", key)
+def run_stats(reads: DataFrame, raw: DataFrame, dedup: DataFrame, molecules: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Run counters from reads(status, feature_index): the numbers of stats.txt and the share of all reads that were assigned; one row, or one for each value of ``by``."""
+    key = list(by) or ["one"]
+    of = lambda df: df if by else df.withColumn("one", F.lit(1))
+    out = of(reads).groupBy(*key).agg(F.count("*").alias("total_reads"), F.count_if(F.expr("feature_index is null")).alias("unmatched_reads"), F.count_if(F.expr("status in ('valid', 'corrected', 'n_corrected', 'rescued')")).alias("assigned_reads"), F.count_if(F.expr("status = 'rescued'")).alias("pending_recovered"))
+    names = ("raw_counts", "whitelisted_barcodes", "deduped_counts", "unique_barcode_umis")
+    parts = [of(raw).groupBy(*key).agg(F.sum("n").alias(names[0]), F.count_distinct("barcode").alias(names[1])), of(dedup).groupBy(*key).agg(F.sum("umis").alias(names[2])), of(molecules).groupBy(*key).agg(F.count_distinct("barcode", "umi").alias(names[3]))]
+    if not by:
+        out = reads.sparkSession.range(1).select(F.lit(1).alias("one")).join(out, "one", "left").na.fill(0)
     for p in parts:
-        out = out.join(p.select("*", key), "one")
+        out = out.join(p, key, "left")
+    out = out.na.fill(0, list(names))
     share = F.try_divide(F.col("raw_counts") * 100.0, F.col("raw_counts") + F.col("unmatched_reads"))
-    return out.drop("one").withColumn("percent_assigned", share).withColumn("percent_of_all", F.try_divide(F.col("assigned_reads") * 100.0, F.col("total_reads")))
+    return (out if by else out.drop("one")).withColumn("percent_assigned", share).withColumn("percent_of_all", F.try_divide(F.col("assigned_reads") * 100.0, F.col("total_reads")))
 
 
 def signal_ratio(values: DataFrame, wanted: list[str]) -> DataFrame:

@@ -10,27 +10,27 @@ from tallyseq.operators import barcode, demux, match, molecules, qc
 from tallyseq.operators.common import cut
 
 
-def classed(reads: DataFrame, whitelist: DataFrame, features: DataFrame, barcode_length: int, offset: int | None = None, m: int = 1, max_n_feature: int = 3, max_n_barcode: int = 1, max_candidates: int = 3, min_posterior: float = 0.975, reach: int = -1, anchored_only: bool = False, translate_nxt: bool = False, hits: DataFrame | None = None) -> DataFrame:
+def classed(reads: DataFrame, whitelist: DataFrame, features: DataFrame, barcode_length: int, offset: int | None = None, m: int = 1, max_n_feature: int = 3, max_n_barcode: int = 1, max_candidates: int = 3, min_posterior: float = 0.975, reach: int = -1, anchored_only: bool = False, translate_nxt: bool = False, hits: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Reads with feature_index (null: unmatched) and, for the matched, status and corrected barcode.
 
     Features are searched first, unless ``hits(read_id, feature_index)`` are at hand; only matched reads go on to barcode correction.
     """
-    matched = settled(reads, whitelist, features, barcode_length, offset, m, max_n_feature, max_n_barcode, max_candidates, min_posterior, reach, anchored_only, translate_nxt, hits)
-    return reads.select("read_id", "umi").join(matched.drop("umi"), "read_id", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
+    matched = settled(reads, whitelist, features, barcode_length, offset, m, max_n_feature, max_n_barcode, max_candidates, min_posterior, reach, anchored_only, translate_nxt, hits, by)
+    return reads.select("read_id", "umi", *by).join(matched.drop("umi", *by), "read_id", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
 
 
-def settled(reads: DataFrame, whitelist: DataFrame, features: DataFrame, barcode_length: int, offset: int | None = None, m: int = 1, max_n_feature: int = 3, max_n_barcode: int = 1, max_candidates: int = 3, min_posterior: float = 0.975, reach: int = -1, anchored_only: bool = False, translate_nxt: bool = False, hits: DataFrame | None = None) -> DataFrame:
-    """(read_id, umi, feature_index, status, corrected) of the reads with a feature."""
+def settled(reads: DataFrame, whitelist: DataFrame, features: DataFrame, barcode_length: int, offset: int | None = None, m: int = 1, max_n_feature: int = 3, max_n_barcode: int = 1, max_candidates: int = 3, min_posterior: float = 0.975, reach: int = -1, anchored_only: bool = False, translate_nxt: bool = False, hits: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(read_id, umi, feature_index, status, corrected) of the reads with a feature; with ``by``, columns within which barcodes are rescued, these too."""
     if hits is not None:
         hits = reads.join(hits.select("read_id", "feature_index"), "read_id")
     elif anchored_only:
         hits = match.annotated(reads, features, offset, m, max_n_feature)
     else:
         hits = reads.join(match.cascade(reads, features, offset, m, max_n_feature, reach).select("read_id", "feature_index"), "read_id")
-    hits = cut(hits.select("read_id", "barcode", "umi", "barcode_qual", "feature_index"))  # met four times from here on
-    matched = barcode.correct(hits, whitelist, barcode_length, max_candidates, max_n_barcode, min_posterior)
+    hits = cut(hits.select("read_id", "barcode", "umi", "barcode_qual", "feature_index", *by))  # met four times from here on
+    matched = barcode.correct(hits, whitelist, barcode_length, max_candidates, max_n_barcode, min_posterior, by)
     corrected = dna.translate_nxt(F.col("corrected")) if translate_nxt else F.col("corrected")
-    return matched.select("read_id", "umi", "feature_index", "status", corrected.alias("corrected"))
+    return matched.select("read_id", "umi", "feature_index", "status", corrected.alias("corrected"), *by)
 
 
 def assigned(reads: DataFrame, whitelist: DataFrame, features: DataFrame, barcode_length: int, **options) -> DataFrame:

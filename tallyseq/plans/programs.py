@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyseq.operators import demux, match, qc
+from tallyseq.operators import demux, match, molecules, qc
 from tallyseq.operators.common import cut, shared_folder
 from tallyseq.plans import assign
 from tallyseq.sinks import files as sinks
 from tallyseq.sources import alignments, fastq, files, tables
 
 PATTERNS = ("_R1_", "_R2_", "_R3_")
-LANE_STEP = 1 << 44  # reads of a lane
+LANE_BITS = 44
+LANE_STEP = 1 << LANE_BITS  # reads of a lane
 
 
 def file_sets(directory: str | None = None, r1: str = "", r2: str = "", r3: str = "", patterns: tuple[str, str, str] = PATTERNS, merge_all: bool = False) -> list[dict]:
@@ -56,45 +56,93 @@ def assign_barcodes(
 
     R1 holds barcode and UMI from ``barcode_start``; R2 and R3 are searched for features. ``filtered``: a list of barcodes for a second
     output in the folder filtered. ``keep_existing`` leaves samples alone whose matrix is there. Options of other names go to assign.classed().
+    All samples go through the same jobs, the sample being a part of each key; what Spark writes for them together stays in the folder parts.
     """
     checked(stringency, min_counts, m, min_posterior, max_reads)
     sets = file_sets(directory, r1, r2, r3, patterns, merge_all)
+    if keep_existing:
+        ready = {s for s in {x["sample"] for x in sets} if sinks.exists(spark, f"{out}/{s}/matrix.mtx")}
+        sets = [s for s in sets if s["sample"] not in ready]
+    samples = list(dict.fromkeys(s["sample"] for s in sets))
     dictionary = cut(tables.features(spark, features))
     at = match.constant_offset(dictionary, offset, individual_offsets)
+    if not sets:
+        return []
     cells = tables.whitelist(spark, whitelist, reverse_whitelist)
-    allowed = tables.barcodes(spark, filtered) if filtered else None
-    written = []
-    for sample, run in groupby(sets, lambda s: s["sample"]):
-        folder = f"{out}/{sample}"
-        if keep_existing and sinks.exists(spark, f"{folder}/matrix.mtx"):
-            continue
-        rows = fastq.reads(fastq.read_any(spark, list(run), max_reads=max_reads, slim=True))
-        part = lambda c, first, n: F.when(F.length("r1_seq") >= barcode_start + barcode_length + umi_length, F.substring(c, barcode_start + first + 1, n))
-        reads = cut(rows.select((F.col("lane").cast("long") * LANE_STEP + F.col("read_id")).alias("read_id"), part("r1_seq", 0, barcode_length).alias("barcode"), part("r1_seq", barcode_length, umi_length).alias("umi"), part("r1_qual", 0, barcode_length).alias("barcode_qual"), "r2_seq", "r3_seq"))
-        hits = cut(searched(reads, dictionary, at, m, max_n_feature, reach))
-        found = assign.assign_barcodes(reads, cells, dictionary, barcode_length, umi_length, stringency, min_counts, strict, hits=hits, min_posterior=min_posterior, **options)
-        dedup = cut(found["dedup"])
-        write_assignment(dedup, found["stats"], hits, dictionary, folder, 0, min_heatmap)
-        if allowed is not None:
-            write_assignment(cut(qc.semi(dedup, allowed)), found["stats"], hits, dictionary, f"{folder}/filtered", qc.excluded(dedup, allowed).first()["barcodes"], min_heatmap)
-        written.append(folder)
-    return written
-
-
-def write_assignment(dedup: DataFrame, stats: DataFrame, hits: DataFrame, features: DataFrame, folder: str, excluded: int = 0, min_heatmap: int = -1) -> None:
-    """All files of a sample: counts, lists, statistics, tables and reports; the matrix comes last."""
-    sinks.write_features(features, folder)
-    sinks.write_run_stats(stats, dedup, excluded, f"{folder}/stats.txt")
-    sinks.write_feature_per_cell(qc.feature_per_cell(dedup), f"{folder}/feature_per_cell.csv")
-    sinks.write_feature_sequences(match.feature_sequences(hits), features, f"{folder}/feature_sequences.txt")
-    histogram = cut(qc.count_histogram(dedup))
-    sinks.write_histograms(histogram, features, f"{folder}/deduped_counts_histograms.txt")
-    sinks.histogram_html(histogram.where("feature_index = 0").select(F.col("umis").alias("value"), "frequency"), f"{folder}/umi_counts_histogram.html", "UMI counts")
-    richness = qc.feature_richness(dedup).withColumnRenamed("richness", "column")
-    sinks.write_heatmap(richness, features, dedup.select("feature_index").distinct(), f"{folder}/Feature_coexpression_heatmap", "Feature Coexpression Heatmap", "coexpression")
-    counts = histogram.where("feature_index > 0").select("feature_index", F.col("umis").alias("column"), F.col("frequency").alias("barcodes"))
-    sinks.write_heatmap(counts, features, qc.heatmap_rows(dedup, min_heatmap), f"{folder}/Feature_counts_heatmap", "Feature Counts (Deduplicated) Heatmap", "deduped_counts")
-    sinks.write_matrix(dedup, features.count(), folder)
+    allowed = cut(tables.barcodes(spark, filtered)) if filtered else None
+    rows = fastq.reads(fastq.read_any(spark, [s | {"lane": str(i)} for i, s in enumerate(sets)], max_reads=max_reads, slim=True))
+    part = lambda c, first, n: F.when(F.length("r1_seq") >= barcode_start + barcode_length + umi_length, F.substring(c, barcode_start + first + 1, n))
+    reads = cut(rows.select("sample", (F.col("lane").cast("long") * LANE_STEP + F.col("read_id")).alias("read_id"), part("r1_seq", 0, barcode_length).alias("barcode"), part("r1_seq", barcode_length, umi_length).alias("umi"), part("r1_qual", 0, barcode_length).alias("barcode_qual"), "r2_seq", "r3_seq"))
+    hits = cut(searched(reads, dictionary, at, m, max_n_feature, reach))
+    by = ("sample",)
+    settled = cut(assign.classed(reads, cells, dictionary, barcode_length, hits=hits, min_posterior=min_posterior, by=by, **options))
+    # a cell is a barcode of a sample
+    cell = F.concat("sample", F.lit("\t"), "corrected").alias("barcode")
+    molecule = cut(molecules.molecule_counts(settled.where("corrected is not null").select("read_id", cell, "umi", "feature_index")))
+    dedup = cut(molecules.dedup_counts(molecule, umi_length, stringency, min_counts, strict))
+    raw = molecule.groupBy("barcode", "feature_index").agg(F.sum("reads").alias("n"))
+    stats = cut(qc.run_stats(settled, of_sample(raw), of_sample(dedup), of_sample(molecule), by))
+    lanes = spark.createDataFrame([(i, s["sample"]) for i, s in enumerate(sets)], "lane long, sample string")
+    placed = hits.withColumn("lane", F.shiftright("read_id", LANE_BITS)).join(F.broadcast(lanes), "lane")  # a row for each file set
+    sequences = cut(match.feature_sequences(placed, *by))
+    write_samples(dedup, stats, sequences, dictionary, out, samples, "", {}, min_heatmap)
+    if allowed is not None:
+        left = of_sample(dedup).join(allowed.withColumnRenamed("barcode", "plain"), "plain", "left_anti").groupBy("sample").agg(F.count_distinct("plain").alias("n"))
+        excluded = {r["sample"]: r["n"] for r in left.collect()}
+        inside = cut(of_sample(dedup).join(allowed.withColumnRenamed("barcode", "plain"), "plain", "left_semi").select("barcode", "feature_index", "umis"))
+        write_samples(inside, stats, sequences, dictionary, out, samples, "/filtered", excluded, min_heatmap)
+    return [f"{out}/{s}" for s in samples]
+
+
+def of_sample(df: DataFrame) -> DataFrame:
+    """Adds sample and plain, the barcode without it."""
+    return df.withColumns({"sample": F.substring_index("barcode", "\t", 1), "plain": F.substring_index("barcode", "\t", -1)})
+
+
+def write_samples(dedup: DataFrame, stats: DataFrame, sequences: DataFrame, features: DataFrame, out: str, samples: list[str], inner: str, excluded: dict[str, int], min_heatmap: int = -1) -> None:
+    """All files of all samples, in <out>/<sample><inner>: counts, lists, statistics, tables and reports; the matrices come last.
+
+    Tables are written once for all samples and taken apart by sample; reports, whose size the features bound, pass the driver in one go.
+    """
+    spark = dedup.sparkSession
+    folders = [f"{s}{inner}" for s in samples]
+    tell = lambda lines: lines.withColumn("sample", F.concat("sample", F.lit(inner)))
+    cells = of_sample(dedup)
+    names = {r["feature_index"]: r["name"] for r in features.select("feature_index", "name").collect()}
+    sinks.write_lines(features.select(F.col("name").alias("value"), "feature_index"), f"{out}/parts/features{inner}.txt", "feature_index")
+    sinks.assembled(spark, {f"{out}/{f}/features.txt": (b"", [f"{out}/parts/features{inner}.txt"]) for f in folders})
+    per_cell = of_sample(qc.feature_per_cell(dedup)).select("sample", F.concat_ws(",", "plain", "num_features", "top_feature_index", "total_deduped_umi").alias("value"), "plain")
+    sinks.write_by_sample(tell(per_cell), out, "feature_per_cell.csv", folders, "plain", heads="barcode,num_features,top_feature_index,total_deduped_umi\n")
+    sinks.write_by_sample(tell(sinks.sequence_lines(sequences, features, "sample")), out, "feature_sequences.txt", folders, *sinks.SEQUENCES_ORDER, heads=sinks.SEQUENCES_HEAD)
+    histogram = cut(cells.groupingSets([["sample", "feature_index", "umis"], ["sample", "umis"]], "sample", "feature_index", "umis").agg(F.count("*").alias("frequency")).select("sample", F.coalesce("feature_index", F.lit(0)).alias("feature_index"), "umis", "frequency"))
+    named = histogram.where("feature_index > 0").join(F.broadcast(features.select("feature_index", "name")), "feature_index").select("sample", F.concat_ws("\t", "name", "umis", "frequency").alias("value"), "feature_index", "umis")
+    sinks.write_by_sample(tell(named), out, "deduped_counts_histograms.txt", folders, "feature_index", "umis", heads=sinks.HISTOGRAM_HEAD)
+    richness = cells.groupBy("barcode", "sample").agg(F.count("*").alias("column"), F.collect_list("feature_index").alias("fs")).select("sample", "column", F.explode("fs").alias("feature_index")).groupBy("sample", "feature_index", "column").agg(F.count("*").alias("barcodes")).collect()
+    counted = histogram.collect()
+    found = {r["sample"]: r.asDict() for r in stats.collect()}
+    sizes = {r["sample"]: (r["b"], r["n"]) for r in cells.groupBy("sample").agg(F.count_distinct("plain").alias("b"), F.count("*").alias("n")).collect()}
+    none = dict.fromkeys(("raw_counts", "deduped_counts", "unique_barcode_umis", "whitelisted_barcodes", "unmatched_reads", "percent_assigned"), 0)
+    for s in samples:
+        folder = f"{out}/{s}{inner}"
+        sinks.put_text(spark, sinks.stats_text(found.get(s, none), sizes.get(s, (0, 0))[0], excluded.get(s, 0)), f"{folder}/stats.txt")
+        mine = [r for r in counted if r["sample"] == s]
+        sinks.put_histogram(spark, [(r["umis"], r["frequency"]) for r in mine if r["feature_index"] == 0], f"{folder}/umi_counts_histogram.html", "UMI counts")
+        together = {(r["feature_index"], r["column"]): r["barcodes"] for r in richness if r["sample"] == s}
+        sinks.put_heatmap(spark, together, names, {f for f, _ in together}, f"{folder}/Feature_coexpression_heatmap", "Feature Coexpression Heatmap", "coexpression")
+        totals: dict[int, int] = {}
+        for r in mine:
+            if r["feature_index"]:
+                totals[r["feature_index"]] = totals.get(r["feature_index"], 0) + r["umis"] * r["frequency"]
+        chosen = {f for f, n in totals.items() if n > max(min_heatmap, 1)}
+        chosen = chosen if len(chosen) >= 2 else set()
+        sinks.put_heatmap(spark, {(r["feature_index"], r["umis"]): r["frequency"] for r in mine if r["feature_index"] in chosen}, names, chosen, f"{folder}/Feature_counts_heatmap", "Feature Counts (Deduplicated) Heatmap", "deduped_counts")
+    columns = of_sample(qc.numbered(dedup.select("barcode").distinct(), "barcode", "rank"))
+    first = columns.groupBy("sample").agg(F.min("rank").alias("first"))
+    columns = cut(columns.join(F.broadcast(first), "sample").withColumn("column", F.col("rank") - F.col("first") + 1).select("barcode", "sample", "plain", "column"))
+    sinks.write_by_sample(tell(columns.select("sample", F.col("plain").alias("value"), "column")), out, "barcodes.txt", folders, "column")
+    entries = dedup.join(columns, "barcode").select("sample", F.concat_ws(" ", "feature_index", "column", "umis").alias("value"), "column", "feature_index")
+    heads = {f"{s}{inner}": f"{sinks.MATRIX_HEAD}{len(names)} {sizes.get(s, (0, 0))[0]} {sizes.get(s, (0, 0))[1]}\n" for s in samples}
+    sinks.write_by_sample(tell(entries), out, "matrix.mtx", folders, "column", "feature_index", heads=heads)  # last: a folder that holds it is whole
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -398,10 +398,16 @@ def conservation(r: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
     return qc.conservation(r, demux.route(demux.probe_of(r, p, 2), s), "library_id")
 
 
-RUN = f"""{NEIGHBOURS.replace("from v_reads r left join", "from v_reads r join hits on hits.read_id = r.read_id left join").replace("unknown as (select distinct barcode from v_reads", "unknown as (select distinct barcode from v_reads semi join hits using (read_id)").strip()},
+def run_sql(neighbours: str) -> str:
+    return f"""{neighbours.replace("from v_reads r left join", "from v_reads r join hits on hits.read_id = r.read_id left join").replace("unknown as (select distinct barcode from v_reads", "unknown as (select distinct barcode from v_reads semi join hits using (read_id)").strip()},
 done as (select s.read_id, s.umi, coalesce(s.corrected, p.candidate) as barcode, h.feature_index from settled s join hits h on h.read_id = s.read_id left join (select * from post where posterior > 0.975) p on p.read_id = s.read_id)"""
 
 
+RUN = run_sql(NEIGHBOURS)
+# the same within each event type, the sample of the program's query
+RUN_BY_SAMPLE = run_sql(NEIGHBOURS.replace("select corrected as barcode, count(*) as n from settled where corrected is not null group by corrected", "select event_type, corrected as barcode, count(*) as n from settled where corrected is not null group by event_type, corrected").replace("t.barcode = e.candidate", "t.barcode = e.candidate and t.event_type = s.event_type"))
+
+
 @query("assigned_counts", f"with {SPELLED}, {anchored('hit', '4', 1)}, hits as ({best_of('hit')}), {RUN} select barcode, cast(feature_index as int) as feature_index, count(*) as n from done where barcode is not null group by barcode, feature_index", "reads", "whitelist", "features")
 def assigned_counts(r: DataFrame, w: DataFrame, f: DataFrame) -> DataFrame:
     """Feature first, barcodes only of reads with a feature, correction and rescue, counts."""

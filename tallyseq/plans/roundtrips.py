@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyseq.operators import demux, match, qc
 from tallyseq.operators.common import cut, shared_folder
 from tallyseq.plans import programs
-from tallyseq.plans.registry import ALLOWED, DESCRIBED, ROUTED, SPELLED, anchored, best_of, dedup, on_dedup, query, typed
+from tallyseq.plans.registry import ALLOWED, DESCRIBED, ROUTED, RUN_BY_SAMPLE, SPELLED, TOP, anchored, best_of, clique_sql, dedup, on_dedup, query, typed
 from tallyseq.sinks import files as sinks
 from tallyseq.sources import alignments, fastq, files, tables
 
@@ -380,3 +380,70 @@ def sidecar_file(a: DataFrame, p: DataFrame) -> DataFrame:
     held = a.sparkSession.read.format("binaryFile").load(path).select(F.hex("content").alias("h"))
     bytes_ = F.posexplode(F.regexp_extract_all(F.substring("h", 19, 1 << 30), F.lit("(..)"), F.lit(1))).alias("place", "x")
     return held.select(bytes_).select((Col("place") + 1).cast("long").alias("place"), F.conv("x", 16, 10).cast("int").alias("probe"))
+
+
+# --- the assignment program -----------------------------------------------------------------------------------------
+
+PROGRAM = f"""with recursive {SPELLED}, {anchored('hit', '4', 1)}, hits as ({best_of('hit')}), {RUN_BY_SAMPLE},
+v_molecules as (select concat(r.event_type, '/', d.barcode) as barcode, d.umi, d.feature_index, count(*) as reads from done d join v_reads r on r.read_id = d.read_id where d.barcode is not null group by all),
+{clique_sql()}, dedup as (select split_part(barcode, '/', 1) as sample, split_part(barcode, '/', 2) as barcode, feature_index, count(*) as umis from ({TOP.format(s=1)}) group by all),
+n as (select event_type as sample, count(*) filter (h.read_id is null) as unmatched from v_reads r left join hits h on h.read_id = r.read_id group by event_type),
+m as (select split_part(barcode, '/', 1) as sample, sum(reads) as raw, count(distinct barcode || umi) as pairs, count(distinct barcode) as listed from v_molecules group by 1),
+c as (select sample, sum(umis) as umis, count(distinct barcode) as barcodes from dedup group by sample)"""
+STATS = ("Total feature counts", "raw"), ("Total deduped feature counts", "umis"), ("Total barcodes", "barcodes"), ("Total excluded barcodes", "0"), ("Total unique barcode UMIs", "pairs"), ("Total whitelisted barcodes", "listed"), ("Total_unmatched_reads", "unmatched")
+PERCENT = "select n.sample, 'stats', 'Percentage reads assigned to barcode', '', printf('%.4f', coalesce(100.0 * raw / (raw + unmatched), 0)) from n left join m on m.sample = n.sample"
+
+
+def run_program(r: DataFrame, w: DataFrame, f: DataFrame, **options) -> str:
+    """Folder that the assignment program has written from a pair of FASTQ files for each event type."""
+    root, spark = folder(r), r.sparkSession
+    record = lambda seq, qual: F.concat_ws("\n", F.concat(F.lit("@"), Col("read_id").cast("string")), seq, F.lit("+"), qual)
+    first = record(F.concat(F.coalesce("barcode", F.lit("N" * 8)), "umi"), F.concat("barcode_qual", F.repeat(F.lit("I"), F.length("umi"))))
+    rows = r.select(Col("event_type").alias("sample"), "read_id", first.alias("a"), record(Col("seq"), F.repeat(F.lit("I"), F.length("seq"))).alias("b"))
+    rows, samples = cut(rows), sorted(x[0] for x in r.select("event_type").distinct().collect())
+    for c, name in (("a", "x_R1_.fastq"), ("b", "x_R2_.fastq")):
+        sinks.write_by_sample(rows.select("sample", "read_id", Col(c).alias("value")), f"{root}/in", name, samples, "read_id")
+    names = stored(f, F.concat_ws(",", "name", "sequence", "pattern"), "feature_index", head="name,sequence,pattern\n")
+    programs.assign_barcodes(spark, stored(w, Col("barcode"), "wl_idx"), names, f"{root}/out", directory=f"{root}/in", barcode_length=8, umi_length=5, min_counts=0, max_n_barcode=2, strict=False, **options)
+    return f"{root}/out"
+
+
+def whole_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """sample, value: the text of a file of each sample."""
+    paths = [p for p in files.find(root, name) if "/parts/" not in p]
+    return spark.read.text(paths, wholetext=True).select(F.regexp_extract(Col("_metadata.file_path"), f"([^/]+)/{name}$", 1).alias("sample"), "value")
+
+
+def of_samples(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """sample, line_no, value of a file of each sample."""
+    text = whole_files(spark, root, name)
+    return text.select("sample", F.posexplode(F.split("value", "\n")).alias("line_no", "value")).withColumn("line_no", Col("line_no") + 1).where("value <> ''")
+
+
+@query("assign_program", f"""{PROGRAM} select sample, 'matrix' as file, cast(feature_index as varchar(40)) as a, barcode as b, cast(umis as varchar(40)) as c from dedup
+union all {" union all ".join(f"select n.sample, 'stats', '{label}', '', cast(cast(coalesce({c}, 0) as bigint) as varchar(40)) from n left join m on m.sample = n.sample left join c on c.sample = n.sample" for label, c in STATS)} union all {PERCENT}""", "reads", "whitelist", "features")
+def assign_program(r: DataFrame, w: DataFrame, f: DataFrame) -> DataFrame:
+    """From FASTQ files to matrix and statistics, all samples in the same jobs."""
+    root, spark = run_program(r, w, f, offset=4, reach=0), r.sparkSession
+    split = F.split("value", " ")
+    entries = of_samples(spark, root, "matrix.mtx").where("line_no > 3").select("sample", split[0].alias("a"), split[1].cast("int").alias("column"), split[2].alias("c"))
+    names = of_samples(spark, root, "barcodes.txt").select("sample", Col("line_no").alias("column"), Col("value").alias("b"))
+    matrix = entries.join(names, ["sample", "column"]).select("sample", F.lit("matrix").alias("file"), "a", "b", "c")
+    stats = of_samples(spark, root, "stats.txt").select("sample", F.lit("stats").alias("file"), F.regexp_extract("value", "^(.*) [^ ]+$", 1).alias("a"), F.lit("").alias("b"), F.regexp_extract("value", "([^ ]+)$", 1).alias("c"))
+    return matrix.unionByName(stats)
+
+
+@query("assign_program_reports", f"""{PROGRAM}, shown as (select * from dedup where feature_index > 0), kept as (select sample, feature_index from shown group by all having sum(umis) > 1), enough as (select sample from kept group by sample having count(*) > 1)
+select sample, 'umis' as report, cast(umis as bigint) as x, cast(count(*) as bigint) as y from shown group by all
+union all select sample, 'counts', cast(umis as bigint), cast(count(*) as bigint) from shown semi join kept using (sample, feature_index) semi join enough using (sample) group by all
+union all select sample, 'features', richness, count(*) from (select sample, barcode, count(*) as richness from shown group by all) group by all""", "reads", "whitelist", "features")
+def assign_program_reports(r: DataFrame, w: DataFrame, f: DataFrame) -> DataFrame:
+    """Traces of the pages: the histogram of UMI counts, and the bars above both heatmaps."""
+    root, spark = run_program(r, w, f, offset=4, reach=0), r.sparkSession
+    out = None
+    for report, page in (("umis", "umi_counts_histogram"), ("counts", "Feature_counts_heatmap"), ("features", "Feature_coexpression_heatmap")):
+        text = whole_files(spark, root, f"{page}.html").select("sample", F.regexp_extract("value", r"newPlot\('p',(\[.*?\}\]),\{", 1).alias("traces"))
+        bar = text.select("sample", F.from_json("traces", "array<struct<type:string,x:array<bigint>,y:array<string>>>")[0].alias("t"))
+        rows = bar.select("sample", F.explode(F.arrays_zip("t.x", "t.y")).alias("p")).select("sample", F.lit(report).alias("report"), "p.x", F.col("p.y").cast("long").alias("y")).where("y > 0")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -223,21 +223,32 @@ def write_stats(stats: DataFrame, directory: str) -> None:
 
 def write_run_stats(stats: DataFrame, cells: DataFrame, excluded: int, path: str) -> None:
     """The eight lines of stats.txt from qc.run_stats() and the written cells."""
-    s, barcodes = stats.first(), cells.select("barcode").distinct().count()
+    put_text(stats.sparkSession, stats_text(stats.first().asDict(), cells.select("barcode").distinct().count(), excluded), path)
+
+
+def stats_text(s: dict, barcodes: int, excluded: int) -> str:
+    # The labels of the statistics.
     lines = [
         ("Total feature counts", s["raw_counts"]), ("Total deduped feature counts", s["deduped_counts"]), ("Total barcodes", barcodes),
         ("Total excluded barcodes", excluded), ("Total unique barcode UMIs", s["unique_barcode_umis"]), ("Total whitelisted barcodes", s["whitelisted_barcodes"]),
         ("Total_unmatched_reads", s["unmatched_reads"]), ("Percentage reads assigned to barcode", f"{s['percent_assigned'] or 0:.4f}"),
     ]
-    put_text(stats.sparkSession, "".join(f"{k} {v}\n" for k, v in lines), path)
+    return "".join(f"{k} {v}\n" for k, v in lines)
 
 
 def write_feature_sequences(sequences: DataFrame, features: DataFrame, path: str) -> None:
     """Matched sequences of match.feature_sequences(), differences from the feature in lower case; by feature, distance, count (falling), sequence."""
+    write_lines(sequence_lines(sequences, features), path, *SEQUENCES_ORDER, head=SEQUENCES_HEAD)
+
+
+SEQUENCES_ORDER = ("feature_index", "hamming", "fall", "matched_sequence")
+
+
+def sequence_lines(sequences: DataFrame, features: DataFrame, *by: str) -> DataFrame:
     named = sequences.join(small(features.select("feature_index", "name", "sequence")), "feature_index")
     marked = dna.mark_differences(F.col("sequence"), F.col("matched_sequence"))
     line = F.format_string(SEQUENCES_LINE, F.col("feature_index").cast("int"), marked, F.col("hamming").cast("int"), F.col("n"), F.col("match_position").cast("int"), F.col("name"))
-    write_lines(named.select(line.alias("value"), "feature_index", "hamming", (-F.col("n")).alias("fall"), "matched_sequence"), path, "feature_index", "hamming", "fall", "matched_sequence", head=SEQUENCES_HEAD)
+    return named.select(*by, line.alias("value"), "feature_index", "hamming", (-F.col("n")).alias("fall"), "matched_sequence")
 
 
 def write_feature_per_cell(per_cell: DataFrame, path: str) -> None:
@@ -279,17 +290,31 @@ def write_samples(routed: DataFrame, path: str) -> None:
     rows = routed.select("sample_group", "read_id", F.explode(F.array(*map(record, (1, 2, 3)))).alias("x")).select("sample_group", "x.mate", "read_id", "x.value").where("value is not null")
     ordered = rows.repartitionByRange("sample_group", "mate", "read_id").sortWithinPartitions("sample_group", "mate", "read_id")
     ordered.select("sample_group", "mate", "value").write.mode("overwrite").partitionBy("sample_group", "mate").option("compression", "gzip").text(f"{path}.parts")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}.parts").select("sample_group", "mate", "path").distinct().collect() if part_folders(spark, f"{path}.parts") else []
-    files: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: r["path"]):
-        files.setdefault(f"{path}/{r['sample_group']}/R{r['mate']}.fastq.gz", []).append(r["path"])
-    assembled(spark, {target: (b"", parts) for target, parts in files.items()})
+    assembled(spark, {f"{path}/{group}/R{mate}.fastq.gz": (b"", parts) for (group, mate), parts in parts_by_key(spark, f"{path}.parts").items()})
 
 
-def part_folders(spark: SparkSession, path: str) -> bool:
-    """Whether a directory that was written by key has any key."""
-    fs, where = _path(spark, path)
-    return any(s.isDirectory() for s in fs.listStatus(where))
+def parts_by_key(spark: SparkSession, directory: str) -> dict[tuple[str, ...], list[str]]:
+    """Part files, in order, under the values of the columns by which a table was written."""
+    fs, where = _path(spark, directory)
+    out: dict[tuple[str, ...], list[str]] = {}
+    every = fs.listFiles(where, True)
+    plain = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    while every.hasNext():
+        path = every.next().getPath()
+        if path.getName().startswith("part-"):
+            folders = path.toString().removeprefix(fs.makeQualified(where).toString()).strip("/").split("/")[:-1]
+            out.setdefault(tuple(plain(f.split("=", 1)[1]) for f in folders), []).append(path.toString())
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def write_by_sample(lines: DataFrame, root: str, name: str, samples: list[str], *order: str, heads: dict[str, str] | str = "") -> None:
+    """``lines(sample, value, ...)`` by ``order`` as the file <root>/<sample>/<name> of each sample, from one range-dealt write into <root>/parts; ``heads``: the same for all, or one for each."""
+    keys = ["sample", *order]
+    ranged = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged.select("sample", "value").write.mode("overwrite").partitionBy("sample").text(f"{root}/parts/{name}")
+    parts = parts_by_key(lines.sparkSession, f"{root}/parts/{name}")
+    head = lambda s: (heads if isinstance(heads, str) else heads[s]).encode()
+    assembled(lines.sparkSession, {f"{root}/{s}/{name}": (head(s), parts.get((s,), [])) for s in samples})
 
 
 def write_sidecar(hits: DataFrame, probes: int, path: str) -> None:
@@ -309,15 +334,19 @@ def write_sidecar(hits: DataFrame, probes: int, path: str) -> None:
 
 
 def write_heatmap(cells: DataFrame, features: DataFrame, kept: DataFrame, path: str, title: str, kind: str) -> bool:
-    """<path>.json and <path>.html of ``cells(feature_index, column, barcodes)`` for the features in ``kept``; False, and nothing written, if there are none.
+    """<path>.json and <path>.html of ``cells(feature_index, column, barcodes)`` for the features in ``kept``; False, and nothing written, if there are none."""
+    names = {r["feature_index"]: r["name"] for r in features.select("feature_index", "name").collect()}
+    chosen = {r["feature_index"] for r in kept.select("feature_index").collect()}
+    rows = cells.join(small(kept.select("feature_index")), "feature_index", "left_semi").collect()
+    return put_heatmap(cells.sparkSession, {(r["feature_index"], r["column"]): r["barcodes"] for r in rows}, names, chosen, path, title, kind)
+
+
+def put_heatmap(spark: SparkSession, at: dict[tuple[int, int], int], names: dict[int, str], chosen: set[int], path: str, title: str, kind: str) -> bool:
+    """The report of the cells ``at`` (feature, column).
 
     Columns run from 1 to the largest. ``kind`` coexpression: columns are numbers of features, whose sums count a barcode once for each,
     so they are divided by it; deduped_counts: columns are UMI counts. The report's size is features times columns, whatever the reads.
     """
-    spark = cells.sparkSession
-    names = {r["feature_index"]: r["name"] for r in features.select("feature_index", "name").collect()}
-    chosen = {r["feature_index"] for r in kept.select("feature_index").collect()}
-    at = {(r["feature_index"], r["column"]): r["barcodes"] for r in cells.join(small(kept.select("feature_index")), "feature_index", "left_semi").collect()}
     if not at:
         return False
     labels, columns = sorted(chosen), list(range(1, max(c for _, c in at) + 1))
@@ -342,9 +371,12 @@ def page(traces: list[dict], title: str, layout: dict | None = None) -> str:
 
 def histogram_html(histogram: DataFrame, path: str, title: str) -> None:
     """Histogram of (value, frequency); the axis is rounded up to a multiple of five."""
-    rows = histogram.orderBy("value").collect()
-    top = -(-max((r["value"] for r in rows), default=0) // 5) * 5
-    put_text(histogram.sparkSession, page([{"type": "bar", "x": [r["value"] for r in rows], "y": [r["frequency"] for r in rows]}], title, {"xaxis": {"range": [0, top]}}), path)
+    put_histogram(histogram.sparkSession, [(r["value"], r["frequency"]) for r in histogram.collect()], path, title)
+
+
+def put_histogram(spark: SparkSession, rows: list[tuple[int, int]], path: str, title: str) -> None:
+    top = max(5, -(-max((v for v, _ in rows), default=0) // 5) * 5)
+    put_text(spark, page([{"type": "bar", "x": [v for v, _ in sorted(rows)], "y": [n for _, n in sorted(rows)]}], title, {"xaxis": {"range": [0, top]}}), path)
 
 
 def ready(directory: str) -> bool:

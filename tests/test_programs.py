@@ -47,6 +47,38 @@ def test_assign_program_writes_all_files(spark, tmp_path):
     assert run(keep_existing=True) == [] and folder.endswith("/in")
 
 
+def test_all_samples_in_the_same_jobs(spark, tmp_path):
+    """Three samples at once: the files of three single runs, in as many jobs as one; one sample has no hit at all, barcodes are rescued by the counts of their own sample."""
+    (tmp_path / "wl.txt").write_text("\n".join([*CELLS, "ACGTACGTACGTACGA"]) + "\n")
+    (tmp_path / "f.csv").write_text(f"name,sequence,pattern\nFeat1,{GUIDE},NNNN(BC)\nFeat2,{GUIDE[::-1]},NNNN(BC)\n")
+    (tmp_path / "keep.txt").write_text(CELLS[1] + "\n")
+    umis = ["".join("ACGT"[(i * 7 >> 2 * k) & 3] * 2 for k in range(6)) for i in range(8)]
+    close = "ACGTACGTACGTACGC"  # one base from two cells
+    for name, cells, guide in (("s1", (CELLS[0],) * 3 + (close,), GUIDE), ("s2", ("ACGTACGTACGTACGA",) * 3 + (close, CELLS[1]), GUIDE[::-1]), ("s3", CELLS, "T" * 20)):
+        for lane in (1, 2):
+            (tmp_path / "in" / name).mkdir(parents=True, exist_ok=True)
+            r1 = [c + u for c in cells for u in umis[lane:] for _ in range(30)]
+            write_fastq(tmp_path / "in" / name / f"x_L{lane}_R1_.fastq", r1)
+            write_fastq(tmp_path / "in" / name / f"x_L{lane}_R2_.fastq", ["TTTT" + guide + "CC"] * len(r1))
+    jobs = {}
+
+    def run(where, out):
+        spark.sparkContext.setJobGroup(out, out)
+        made = programs.assign_barcodes(spark, f"{tmp_path}/wl.txt", f"{tmp_path}/f.csv", f"{tmp_path}/{out}", directory=str(where), filtered=f"{tmp_path}/keep.txt", min_counts=0, min_posterior=0.7)
+        jobs[out] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(out))
+        return made
+
+    assert sorted(run(tmp_path / "in", "all")) == [f"{tmp_path}/all/{s}" for s in ("s1", "s2", "s3")]
+    for s in ("s1", "s2", "s3"):
+        run(tmp_path / "in" / s, f"one{s}")
+        files = sorted(p.relative_to(tmp_path / f"one{s}" / s) for p in (tmp_path / f"one{s}" / s).rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+        assert len(files) >= 14 and all((tmp_path / f"one{s}" / s / p).read_bytes() == (tmp_path / "all" / s / p).read_bytes() for p in files)
+        assert files == sorted(p.relative_to(tmp_path / "all" / s) for p in (tmp_path / "all" / s).rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+    assert jobs["all"] <= 1.1 * max(jobs["ones1"], jobs["ones2"])
+    assert (tmp_path / "all/s1/barcodes.txt").read_text().split() == [CELLS[0]] and (tmp_path / "all/s2/barcodes.txt").read_text().split() == ["ACGTACGTACGTACGA", CELLS[1]]
+    assert (tmp_path / "all/s3/matrix.mtx").read_text().splitlines()[2:] == ["2 0 0"]
+
+
 def test_options_that_exclude_each_other(spark, tmp_path):
     with pytest.raises(ValueError, match="must differ"):
         programs.file_sets("x", patterns=("_R1_", "_R1_", "_R3_"))
