@@ -98,16 +98,16 @@ def judged(ratio, bits: int, threshold: float):
                 at = grams(word_hashes(text.encode().lower()), bits)
                 llr = float(weights[at].sum() / len(at)) if len(at) else None
                 failed = len(h) < 50 or 100 * counts[3] > 50 * len(h)
-                rows.append((len(h), *counts, llr, failed, not failed and llr is not None and llr >= threshold))
+                rows.append((len(h), *counts, failed, not failed and llr is not None and llr >= threshold, llr))
             columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id")] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"])
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id")] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"])
 
     return run
 
 
 def quality(docs: DataFrame, trusted: DataFrame, threshold: float = -0.25, bits: int = 16, most: int = 20_000) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept.
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr.
 
     llr: mean over the words and word pairs (A-Z lower-cased) of the log ratio of their probabilities under trusted and
     raw text, multinomials over 2 ** ``bits`` hash buckets. kept: not base_failed (fewer than 50 words, or over
@@ -117,4 +117,4 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = -0.25, bits:
     distribution is uniform. Repeated rows each get the same answer. Empty table: no rows. Other columns are ignored.
     """
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, trusted, bits, most).astype(np.float32))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judged(ratio, bits, threshold), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, base_failed boolean, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judged(ratio, bits, threshold), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double")

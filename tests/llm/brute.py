@@ -224,3 +224,34 @@ def repaired_conversations(rows):
         illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
         out[conv] = (gaps, faults.count(1), faults.count(2), faults.count(3), illegal, cost, audit, sha("\n".join(left)))
     return out
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney over characters, straight from its definition."""
+
+    def __init__(self, words, order, edge, discount=0.75):
+        self.order, self.edge, self.discount = order, edge, discount
+        self.counts = {order: Counter()}
+        for w in words:
+            s = edge * (order - 1) + w + edge
+            self.counts[order].update(s[i : i + order] for i in range(len(s) - order + 1))
+        for n in range(order - 1, 0, -1):
+            self.counts[n] = Counter(g[1:] for g in set(self.counts[n + 1]))
+
+    def chance(self, gram):
+        """Of the last character after the others."""
+        if not gram:
+            return 1 / (len(self.counts[1]) + 1)
+        table = self.counts[len(gram)]
+        after = [c for g, c in table.items() if g[:-1] == gram[:-1]]
+        lower = self.chance(gram[1:])
+        if not after:
+            return lower
+        return max(table[gram] - self.discount, 0) / sum(after) + self.discount * len(after) / sum(after) * lower
+
+    def log_chance(self, words):
+        total = 0.0
+        for w in words:
+            s = self.edge * (self.order - 1) + w + self.edge
+            total += sum(math.log(self.chance(s[i : i + self.order])) for i in range(len(s) - self.order + 1))
+        return total

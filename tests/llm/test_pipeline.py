@@ -49,3 +49,18 @@ def test_rows_from_lines_to_packing(spark, table, corpus, tmp_path):
     for r in rows.collect():
         tokens[r["doc_id"]] += r["n_tokens"]
     assert tokens == {i: len(brute.words(clear[i])) for i in want}
+
+
+def test_run_over_a_folder(spark, table, corpus, tmp_path):
+    """The whole pipeline from a documents table, as the query runs it."""
+    docs = [(i, t) for i, t in corpus.items()] + [(500, corpus[1]), (501, None), (502, "12 34 !!!"), (None, corpus[2])]
+    table(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {"doc_id", "batch_id", "n_tokens"} <= set(rows[0].asDict())
+    ids = {r["doc_id"] for r in rows}
+    assert ids and ids <= {i for i, _ in docs} and not ids & {501, 502}
+    step = table(docs)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, step, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        step = spark.read.parquet(f"{tmp_path}/{k}")
+    assert sorted(map(str, rows)) == sorted(map(str, step.collect()))
