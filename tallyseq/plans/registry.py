@@ -419,7 +419,7 @@ def assigned_counts(r: DataFrame, w: DataFrame, f: DataFrame) -> DataFrame:
 # --- demultiplexing and alignments ----------------------------------------------------------------------------------
 
 PROBED = "probed as (select r.*, p.probe_name from v_library_reads r left join v_probes p on p.variant = substr(r.seq, 3, 8))"
-ROUTED = f"{PROBED}, routed as (select p.read_id, p.probe_name, case when p.probe_name is null then 'undetermined' when s.sample is null then 'unspecified' else 'matched' end as route, case when p.probe_name is null then concat('undetermined/', p.library_id, '_unk') when s.sample is null then concat('unspecified/', p.library_id, '_', p.probe_name) else s.sample end as sample_group from probed p left join v_sample_map s on s.library_id = p.library_id and s.probe_name = p.probe_name)"
+ROUTED = f"{PROBED}, routed as (select p.read_id, p.seq, p.probe_name, case when p.probe_name is null then 'undetermined' when s.sample is null then 'unspecified' else 'matched' end as route, case when p.probe_name is null then concat('undetermined/', p.library_id, '_unk') when s.sample is null then concat('unspecified/', p.library_id, '_', p.probe_name) else s.sample end as sample_group from probed p left join v_sample_map s on s.library_id = p.library_id and s.probe_name = p.probe_name)"
 
 
 @query("demux_probe", f"with {PROBED} select read_id, probe_name from probed", "library_reads", "probes")

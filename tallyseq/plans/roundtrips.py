@@ -311,7 +311,7 @@ def feature_sequences_file(r: DataFrame, f: DataFrame) -> DataFrame:
     return fields(rows, " +", feature_index="int", marked="string", hamming="int", n="long", match_position="int", name="string")
 
 
-@query("sample_files", f"with {ROUTED} select replace(sample_group, ' ', '_') as sample_group, m.m as mate, row_number() over (partition by sample_group, m.m order by routed.read_id) as place, routed.read_id, r.seq from routed join v_library_reads r on r.read_id = routed.read_id, (values (1), (2)) m(m)", "library_reads", "probes", "sample_map")
+@query("sample_files", f"with {ROUTED} select replace(sample_group, ' ', '_') as sample_group, m.m as mate, row_number() over (partition by sample_group, m.m order by routed.read_id) as place, routed.read_id, routed.seq from routed, (values (1), (2)) m(m)", "library_reads", "probes", "sample_map")
 def sample_files(r: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
     """Records of the FASTQ file of each sample and mate, in the order of the file."""
     path, spark = folder(r), r.sparkSession

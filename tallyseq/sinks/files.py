@@ -8,8 +8,9 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from itertools import accumulate
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,7 +22,7 @@ from tallyseq.functions import dna
 from tallyseq.operators import qc
 from tallyseq.operators.barcode import small
 from tallyseq.operators.common import cut
-from tallyseq.sources import stores
+from tallyseq.sources import files, stores
 
 MATRIX_HEAD = "%%MatrixMarket matrix coordinate integer general\n%\n"
 # Heads and line of the sequence and histogram tables.
@@ -59,6 +60,8 @@ def put_text(spark: SparkSession, text: str, path: str) -> None:
 
 def part_files(spark: SparkSession, directory: str) -> list[str]:
     """The part files that Spark wrote to a directory, in order."""
+    if plain := stores.local(stores.qualified(spark, directory)):
+        return [f"file:{plain}/{n}" for n in sorted(os.listdir(plain)) if n.startswith("part-")]
     fs, where = _path(spark, directory)
     return sorted(s.getPath().toString() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-"))
 
@@ -72,8 +75,13 @@ def assembled(spark: SparkSession, targets: dict[str, tuple[bytes, list[str]]])
     plan = []
     for path, (head, parts) in targets.items():
         where = stores.qualified(spark, path)
-        fs, at = _path(spark, where)
-        if not stores.opens(where):
+        if plain := stores.local(where):
+            os.makedirs(os.path.dirname(plain), exist_ok=True)
+            with open(f"{plain}.tmp", "wb") as made:
+                made.write(head)
+            sizes = [len(head), *(stores.size_of(p) for p in parts)]
+            plan += [(f"{where}.tmp", start, [p], b"") for p, start in zip(parts, accumulate(sizes), strict=False)]
+        elif not stores.opens(where):
             with stream(spark, f"{where}.tmp") as out:
                 out.write(bytearray(head))
                 for part in parts:
@@ -83,20 +91,17 @@ def assembled(spark: SparkSession, targets: dict[str, tuple[bytes, list[str]]])
                         spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, 1 << 20, False)
                     finally:
                         given.close()
-            continue
-        fs.mkdirs(at.getParent())
-        arrow, place = stores.placed(f"{where}.tmp")
-        if where.startswith("file:"):
-            with arrow.open_output_stream(place) as out:
-                out.write(head)
-            sizes = [len(head), *(stores.size_of(p) for p in parts)]
-            plan += [(f"{where}.tmp", start, [p], b"") for p, start in zip(parts, accumulate(sizes), strict=False)]
         else:
             plan.append((f"{where}.tmp", -1, parts, head))
     if plan:
         stores.on_executors(spark, plan, "path string, start long, parts array<string>, head binary", copied, "path string, start long, written long")
     for path in targets:
         where = stores.qualified(spark, path)
+        if plain := stores.local(where):
+            os.replace(f"{plain}.tmp", plain)
+            with suppress(FileNotFoundError):  # the sum of a file that stood there before
+                os.remove(os.path.join(os.path.dirname(plain), f".{os.path.basename(plain)}.crc"))
+            continue
         fs, at = _path(spark, where)
         fs.delete(at, False)
         if stores.opens(where):
@@ -295,15 +300,11 @@ def write_samples(routed: DataFrame, path: str) -> None:
 
 def parts_by_key(spark: SparkSession, directory: str) -> dict[tuple[str, ...], list[str]]:
     """Part files, in order, under the values of the columns by which a table was written."""
-    fs, where = _path(spark, directory)
-    out: dict[tuple[str, ...], list[str]] = {}
-    every = fs.listFiles(where, True)
-    plain = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    while every.hasNext():
-        path = every.next().getPath()
-        if path.getName().startswith("part-"):
-            folders = path.toString().removeprefix(fs.makeQualified(where).toString()).strip("/").split("/")[:-1]
-            out.setdefault(tuple(plain(f.split("=", 1)[1]) for f in folders), []).append(path.toString())
+    root, out = stores.qualified(spark, directory), {}
+    for path in files.find(root, "part-"):
+        path = stores.qualified(spark, path)
+        folders = path.removeprefix(root).strip("/").split("/")[:-1]
+        out.setdefault(tuple(unquote(f.split("=", 1)[1]) for f in folders), []).append(path)
     return {k: sorted(v) for k, v in out.items()}
 
 

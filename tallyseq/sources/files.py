@@ -8,6 +8,8 @@ from itertools import groupby
 
 from pyspark.sql import SparkSession
 
+from tallyseq.sources import stores
+
 LANE = re.compile(r"_L[0-9][^_]*$")
 
 
@@ -19,17 +21,21 @@ def _file_system(path: str):  # noqa: ANN202
 
 def find(directory: str, pattern: str) -> list[str]:
     """Files under a directory of any store that Spark reads whose names contain ``pattern``, sorted by path. Local ones are given as plain paths."""
+    if plain := stores.local(stores.qualified(SparkSession.active(), directory)):
+        return sorted(os.path.join(d, f) for d, _, names in os.walk(plain) for f in names if pattern in f and not f.endswith(".crc"))
     fs, where = _file_system(directory)
     found, every = [], fs.listFiles(where, True)
     while every.hasNext():
         path = every.next().getPath()
         if pattern in path.getName():
-            found.append(path.toUri().getPath() if path.toString().startswith("file:") else path.toString())
+            found.append(path.toString())
     return sorted(found)
 
 
 def size_of(path: str) -> int:
     """Bytes of a file, 0 where there is none."""
+    if plain := stores.local(stores.qualified(SparkSession.active(), path)):
+        return os.path.getsize(plain) if os.path.exists(plain) else 0
     fs, where = _file_system(path)
     return fs.getFileStatus(where).getLen() if fs.exists(where) else 0
 

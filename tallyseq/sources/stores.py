@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,11 +47,31 @@ def size_of(path: str) -> int:
 
 
 def qualified(spark: SparkSession, path: str) -> str:
-    """The whole path, with its file system."""
+    """The whole path, with its file system. Local ones are file:/..., without a call of the JVM for each."""
+    if path.startswith("file:/"):
+        return "file:" + os.path.normpath("/" + path[len("file:") :].lstrip("/"))
+    if path.startswith("/") and _default(spark).startswith("file:"):
+        return "file:" + os.path.normpath(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
+_defaults: dict[str, str] = {}
+
+
+def _default(spark: SparkSession) -> str:
+    """The file system of paths that name none."""
+    name = spark.sparkContext.applicationId
+    if name not in _defaults:
+        _defaults[name] = spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()).toString()
+    return _defaults[name]
+
+
+def local(path: str) -> str | None:
+    """The plain path of a qualified local one."""
+    return path[len("file:") :] if path.startswith("file:/") else None
+
+
 def ranges(size: int, split: int) -> list[tuple[int, int]]:
     return [(a, min(a + split, size)) for a in range(0, size, split)] or [(0, 0)]
 
