@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyseq.operators import demux, match, molecules, qc
+from tallyseq.operators.barcode import small
 from tallyseq.operators.common import cut, shared_folder
 from tallyseq.plans import assign
 from tallyseq.sinks import files as sinks
@@ -115,7 +116,7 @@ def write_samples(dedup: DataFrame, stats: DataFrame, sequences: DataFrame, feat
     sinks.write_by_sample(tell(per_cell), out, "feature_per_cell.csv", folders, "plain", heads="barcode,num_features,top_feature_index,total_deduped_umi\n")
     sinks.write_by_sample(tell(sinks.sequence_lines(sequences, features, "sample")), out, "feature_sequences.txt", folders, *sinks.SEQUENCES_ORDER, heads=sinks.SEQUENCES_HEAD)
     histogram = cut(cells.groupingSets([["sample", "feature_index", "umis"], ["sample", "umis"]], "sample", "feature_index", "umis").agg(F.count("*").alias("frequency")).select("sample", F.coalesce("feature_index", F.lit(0)).alias("feature_index"), "umis", "frequency"))
-    named = histogram.where("feature_index > 0").join(F.broadcast(features.select("feature_index", "name")), "feature_index").select("sample", F.concat_ws("\t", "name", "umis", "frequency").alias("value"), "feature_index", "umis")
+    named = histogram.where("feature_index > 0").join(small(features.select("feature_index", "name")), "feature_index").select("sample", F.concat_ws("\t", "name", "umis", "frequency").alias("value"), "feature_index", "umis")
     sinks.write_by_sample(tell(named), out, "deduped_counts_histograms.txt", folders, "feature_index", "umis", heads=sinks.HISTOGRAM_HEAD)
     richness = cells.groupBy("barcode", "sample").agg(F.count("*").alias("column"), F.collect_list("feature_index").alias("fs")).select("sample", "column", F.explode("fs").alias("feature_index")).groupBy("sample", "feature_index", "column").agg(F.count("*").alias("barcodes")).collect()
     counted = histogram.collect()
