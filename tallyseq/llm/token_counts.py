@@ -63,6 +63,7 @@ class Merger:
             raise ValueError("pieces that are user-defined or unused are not supported")
         self.fallback = BYTE in kinds
         self.rank = {p[1].decode(): -struct.unpack("<f", p[2])[0] if 2 in p else 0.0 for p in pieces if p.get(3, NORMAL) == NORMAL}
+        self.letters = frozenset(p for p in self.rank if len(p) == 1)
         # a cut before a space is safe where no piece has a space after another character
         cuts = not any(SPACE in p.lstrip(SPACE) for p in self.rank)
         self.parts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if cuts else "(?s:.+)").findall
@@ -70,28 +71,29 @@ class Merger:
 
     def merged(self, part: str) -> int:
         """Tokens of a part of a normalised text."""
-        rank, n = self.rank, len(part)
-        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(rank[part[i : i + 2]], i, i + 2) for i in range(n - 1) if part[i : i + 2] in rank]
+        get, n = self.rank.get, len(part)
+        heap = [(k, i, i + 2) for i in range(n - 1) if (k := get(part[i : i + 2])) is not None]
         heapify(heap)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        after = end[:]
         merges = 0
         while heap:
             _, left, stop = heappop(heap)
-            right = after[left] if end[left] else n
-            if right >= n or end[right] != stop:  # one of the two has been merged since
+            if not end[left] or (right := after[left]) >= n or end[right] != stop:  # one of the two has been merged since
                 continue
-            end[left], end[right], after[left] = stop, 0, after[right]
+            end[left], end[right] = stop, 0
+            follow = after[left] = after[right]
             merges += 1
-            if after[left] < n:
-                before[after[left]] = left
-                if (k := rank.get(part[left : end[after[left]]])) is not None:
-                    heappush(heap, (k, left, end[after[left]]))
-            if (first := before[left]) >= 0 and (k := rank.get(part[first:stop])) is not None:
+            if follow < n:
+                before[follow] = left
+                if (k := get(part[left : end[follow]])) is not None:
+                    heappush(heap, (k, left, end[follow]))
+            if (first := before[left]) >= 0 and (k := get(part[first:stop])) is not None:
                 heappush(heap, (k, first, stop))
-        unknown = [c for i, c in enumerate(part) if end[i] == i + 1 and c not in rank]
-        if self.fallback:
-            return n - merges + sum(len(c.encode()) - 1 for c in unknown)
-        return n - merges
+        total = n - merges
+        if self.fallback and not self.letters.issuperset(part):
+            total += sum(len(c.encode()) - 1 for i, c in enumerate(part) if end[i] == i + 1 and c not in self.letters)
+        return total
 
     def count(self, text: str) -> int:
         """Tokens of a whole text. Answers for short parts are kept, as words come again; what is kept is bounded."""
