@@ -186,8 +186,9 @@ def spread(reads: DataFrame) -> DataFrame:
     if reads.isStreaming:
         return reads
     cores = reads.sparkSession.sparkContext.defaultParallelism
-    estimate = int(str(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return reads.repartition(cores) if estimate < cores * SPLIT else reads
+    leaves = reads._jdf.queryExecution().optimizedPlan().collectLeaves()  # what is read; estimates above joins are products
+    held = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return reads.repartition(cores) if held < cores * SPLIT else reads
 
 
 def found(reads: DataFrame, hit: Column, kind: str = "int") -> DataFrame:
