@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyseq.llm import blocks
-from tallyseq.llm.common import cut, mix64
+from tallyseq.llm.common import ODD, cut, mix64
 from tallyseq.llm.neardup import links
 
 WIDTH = 8
@@ -26,20 +26,46 @@ def normal(line: str) -> bytes:
     return line.encode().lower().strip(SPACES)
 
 
+def chunks(lines: list[bytes]) -> Iterator[list[int]]:
+    """Indexes of the lines in runs of about CHUNK bytes, whose hashes stay in the cache; lines of ASCII alone come first."""
+    plain = [x.isascii() for x in lines]
+    for kind in (True, False):
+        run, size = [], 0
+        for i, x in enumerate(lines):
+            if plain[i] == kind:
+                run.append(i)
+                size += len(x)
+                if size >= CHUNK:
+                    yield run
+                    run, size = [], 0
+        if run:
+            yield run
+
+
 def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of WIDTH characters, line by line, and how many each line has; a shorter line is one run."""
-    texts = [x.decode() for x in lines]
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    """Hashes of all runs of WIDTH characters, line by line, and how many each line has; a shorter line is one run.
+
+    WIDTH characters of ASCII are one 64-bit word, which is what their hash is made of; other runs are hashed from their code points.
+    """
+    if all(map(bytes.isascii, lines)):
+        lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+        data = b"".join([x.ljust(WIDTH, b"\0") for x in lines])
+        h = np.ndarray((len(data) - WIDTH + 1,), "<u8", data, strides=(1,)).astype(np.uint64)
+    else:
+        texts = [x.decode() for x in lines]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes = np.frombuffer("".join([t.ljust(WIDTH, "\0") for t in texts]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        other, word, h, size = codes > np.uint64(127), codes, mix64(codes + np.uint64(1)), 1
+        while size < WIDTH:
+            other = other[:-size] | other[size:]
+            word = word[:-size] | (word[size:] << np.uint64(8 * size))
+            h = h[:-size] * np.uint64(pow(int(ODD), size, 1 << 64)) + h[size:]
+            size *= 2
+        h = np.where(other, h, word)
     wide = np.maximum(lengths, WIDTH)
-    codes = np.frombuffer("".join(t.ljust(WIDTH, "\0") for t in texts).encode("utf-32-le"), np.uint32)
-    h = mix64(codes.astype(np.uint64) + np.uint64(1))
-    size = 1
-    while size < WIDTH:
-        h = mix64(h[: len(h) - size]) + h[size:]
-        size *= 2
-    h = mix64(h)
-    many = wide - WIDTH + 1
-    return h[blocks.ragged(np.cumsum(wide) - wide, many)], many
+    ends = np.cumsum(wide)[:-1] - (WIDTH - 1)
+    across = (ends[:, None] + np.arange(WIDTH - 1)).ravel()  # runs that begin in one line and end in the next
+    return mix64(np.delete(h, across)), wide - WIDTH + 1
 
 
 def signatures(lines: list[bytes], k: int) -> np.ndarray:
@@ -47,19 +73,15 @@ def signatures(lines: list[bytes], k: int) -> np.ndarray:
     rng = np.random.default_rng(19970611)
     a, c = rng.integers(0, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, k, dtype=np.uint32)
     out = np.empty((len(lines), k), np.uint32)
-    done, size = 0, 0
-    for end in range(1, len(lines) + 1):
-        size += len(lines[end - 1])
-        if size < CHUNK and end < len(lines):
-            continue
-        h, many = shingle_hashes(lines[done:end])
+    for which in chunks(lines):
+        h, many = shingle_hashes([lines[i] for i in which])
         x, starts = (h >> np.uint64(32)).astype(np.uint32), np.cumsum(many) - many
-        t = np.empty_like(x)
+        t, least = np.empty_like(x), np.empty((k, len(which)), np.uint32)
         for j in range(k):
             np.multiply(x, a[j], out=t)
             t += c[j]
-            out[done:end, j] = np.minimum.reduceat(t, starts)
-        done, size = end, 0
+            np.minimum.reduceat(t, starts, out=least[j])
+        out[which] = least.T
     return out
 
 
@@ -209,9 +231,16 @@ def candidates(body: bytes, answers: list[bytes]) -> pa.Table:
 
 
 def sets_of(lines: list[bytes]) -> list[np.ndarray]:
-    h, many = shingle_hashes(lines)
-    ends = np.cumsum(many)
-    return [np.unique(h[e - n : e]) for e, n in zip(ends.tolist(), many.tolist(), strict=True)]
+    """Sorted distinct hashes of each line."""
+    out = [np.zeros(0, np.uint64)] * len(lines)
+    for which in chunks(lines):
+        h, many = shingle_hashes([lines[i] for i in which])
+        for i, x in zip(which, np.split(h, np.cumsum(many)[:-1]), strict=True):
+            x.sort()
+            new = np.ones(len(x), bool)
+            np.not_equal(x[1:], x[:-1], out=new[1:])
+            out[i] = x[new]
+    return out
 
 
 def described(k: int):

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
+RUN = 10_000  # equal pieces that one row stands for while positions are made
 
 def chars(column: str) -> Column:
     return F.length(column).cast("long")
@@ -53,7 +53,8 @@ def pack(docs: DataFrame, buckets: int = 16, longest: int = 2048, budget: int =
     most, whatever the data, so it goes to the driver; dynamic programming picks ``buckets`` boundaries with the
     least padding. Each piece is padded to its bucket's boundary. Inside a bucket, pieces ordered by (shard, doc_id,
     piece) fill batches of budget // bucket_len slots (one at least). Positions come from row numbers inside shards of about ``per_shard`` pieces plus the
-    shards' offsets, so no bucket is ever one task.
+    shards' offsets, so no bucket is ever one task; pieces of equal doc_id, number and length are one row with a count until they have positions, so one doc_id, or
+    null, may hold any share of the rows.
 
     Null or empty text, or no word: one piece of no tokens with bucket_len 0, batch_id and slot null. Repeated rows are
     packed each. A null doc_id is packed like any other. Empty table: no rows. Other columns are ignored.
@@ -74,12 +75,16 @@ def pack(docs: DataFrame, buckets: int = 16, longest: int = 2048, budget: int =
         length = F.when(F.col("n_tokens") <= end, F.lit(end)).otherwise(length)
     length = F.when(F.col("n_tokens") == 0, F.lit(0)).otherwise(length)
     shards = max(1, -(-int(histogram.sum()) // per_shard))
-    placed = pieces.withColumn("bucket_len", length).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    counts = placed.groupBy("bucket_len", "shard").agg(F.count("*").alias("held"))
+    # pieces of one doc_id, number and length are alike: they are counted before the shuffle, so no doc_id makes a hot shard
+    alike = pieces.groupBy("doc_id", "piece", "n_tokens").agg(F.count("*").alias("held"))
+    placed = alike.withColumn("bucket_len", length).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards)).cast("int"))
+    counts = placed.groupBy("bucket_len", "shard").agg(F.sum("held").alias("held"))
     before = F.coalesce(F.sum("held").over(Window.partitionBy("bucket_len").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("bucket_len", "shard", before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy("bucket_len", "shard").orderBy("doc_id", "piece", "n_tokens")) - 1
-    at = placed.withColumn("inside", inside).join(counts, ["bucket_len", "shard"]).withColumn("at", F.col("before") + F.col("inside"))
+    inside = F.sum("held").over(Window.partitionBy("bucket_len", "shard").orderBy("doc_id", "piece", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("held")
+    at = placed.withColumn("inside", inside).join(counts, ["bucket_len", "shard"]).withColumn("first", F.col("before") + F.col("inside"))
+    at = at.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("held") - 1, F.lit(RUN).cast("long"))))
+    at = at.withColumn("at", F.explode(F.sequence(F.col("first") + F.col("run"), F.col("first") + F.least(F.col("held"), F.col("run") + RUN) - 1)))
     slots = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_len", F.lit(1)))).cast("long")
     real = F.col("bucket_len") > 0
     return at.withColumn("slots", slots).select(
