@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyseq.llm.common import cut
+
 RUN = 10_000  # equal pieces that one row stands for while positions are made
 
 def chars(column: str) -> Column:
@@ -66,17 +68,17 @@ def pack(docs: DataFrame, buckets: int = 16, longest: int = 2048, budget: int =
     sized = docs.select("doc_id", words.alias("n"))
     pieces = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / longest).cast("int") - 1))).alias("piece"))
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).alias("n_tokens"))
+    # pieces of one doc_id, number and length are alike: they are counted before the shuffle, so no doc_id makes a hot shard; texts are read once
+    alike = cut(pieces.groupBy("doc_id", "piece", "n_tokens").agg(F.count("*").alias("held")))
     histogram = np.zeros(longest + 1, np.int64)
-    for r in pieces.groupBy("n_tokens").count().collect():
-        histogram[r["n_tokens"]] = r["count"]
+    for r in alike.groupBy("n_tokens").agg(F.sum("held").alias("held")).collect():
+        histogram[r["n_tokens"]] = r["held"]
     ends = boundaries(histogram, buckets)
     length = F.lit(0)
     for end in reversed(ends):
         length = F.when(F.col("n_tokens") <= end, F.lit(end)).otherwise(length)
     length = F.when(F.col("n_tokens") == 0, F.lit(0)).otherwise(length)
     shards = max(1, -(-int(histogram.sum()) // per_shard))
-    # pieces of one doc_id, number and length are alike: they are counted before the shuffle, so no doc_id makes a hot shard
-    alike = pieces.groupBy("doc_id", "piece", "n_tokens").agg(F.count("*").alias("held"))
     placed = alike.withColumn("bucket_len", length).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards)).cast("int"))
     counts = placed.groupBy("bucket_len", "shard").agg(F.sum("held").alias("held"))
     before = F.coalesce(F.sum("held").over(Window.partitionBy("bucket_len").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
