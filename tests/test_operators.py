@@ -126,3 +126,17 @@ def test_streams_agree_with_batches(spark, tmp_path):
     batch = molecules.molecule_counts(matching.assigned(spark.createDataFrame(rows, schema), whitelist, features, 2))
     key = lambda df: sorted(tuple(r) for r in df.select("barcode", "umi", "feature_index", "reads").collect())
     assert key(matching.settled(spark, f"{tmp_path}/out")) == key(batch)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_cliques_of_odd_umis_and_without_neighbour_rows(spark, strict):
+    """UMIs with N, of other lengths and null: the same cliques by barcode and by joins; no row for each neighbour."""
+    rng = np.random.default_rng(2)
+    umis = ["".join(rng.choice(list("ACGTN"), rng.integers(3, 6), p=[0.3, 0.3, 0.2, 0.1, 0.1])) for _ in range(150)]
+    rows = [(f"b{i % 3}" if i % 50 else None, u if i % 40 else None, int(i % 2), 1) for i, u in enumerate([*umis, *umis[:40]])]
+    df = spark.createDataFrame(rows, "barcode string, umi string, feature_index int, reads long")
+    df = df.groupBy("barcode", "umi", "feature_index").agg(F.sum("reads").alias("reads"))
+    near = molecules.cliques(df, 4, strict)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(near.collect(), key=key) == sorted(molecules.cliques(df, 4, strict, pandas_limit=0).collect(), key=key)
+    assert "Generate" not in near._jdf.queryExecution().executedPlan().toString()
