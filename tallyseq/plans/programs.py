@@ -191,7 +191,7 @@ def demux_bam(spark: SparkSession, bam: str, probes: str, out: str, offset: int
         raw = demux.with_stream(raw, alignments.read_cbub(spark, cbub), max_records)
     table = cut(tables.probes(spark, probes, grouped=True))
     usable = demux.usable(raw, min_mapq, primary_only, skip_duplicates)
-    records = cut(demux.described(usable, table, offset, nearby, gene_tag, count_intergenic, tables.whitelist(spark, whitelist) if cbub else None))
+    records = kept(demux.described(usable, table, offset, nearby, gene_tag, count_intergenic, tables.whitelist(spark, whitelist) if cbub else None))
     counts = cut(demux.counted(records, count))
     names = table.groupBy("probe_index").agg(F.min("probe_name").alias("name"))
     if binary:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyseq.operators import demux
 from tallyseq.plans import assign
 from tallyseq.sinks import files as sinks
+from tallyseq.plans import roundtrips
 from tallyseq.sources import alignments, fastq, files, tables
 
 
@@ -150,3 +151,22 @@ def test_demux_program_keeps_every_read(spark, tmp_path):
     assert list(back.values()) == [[f"@r{i + 3 * k}" for k in range(4)] for i in (0, 0, 1, 1, 2, 2)]
     sinks.write_samples(routed.limit(0), f"{tmp_path}/none")
     assert spark.range(1).select(demux.library_id(F.lit("/x/SCA/lib_SC12_R1.fastq"))).first()[0] == "SC12"
+
+
+def test_lines_go_to_their_record_unsorted(spark, tmp_path):
+    """read_fastq(): shuffle partitions follow the files' bytes, and no split is sorted before its lines are dealt."""
+    path = tmp_path / "a.fastq"
+    path.write_text("".join(f"@{i}\nACGT\n+\nIIII\n" for i in range(5000)))
+    assert fastq.shares(spark, [str(path)], 1000) == -(-path.stat().st_size // 1000) and fastq.shares(spark, [str(path)]) == 4
+    df = fastq.read_fastq(spark, [{"sample": "s", "lane": "0", "r1": str(path)}], strict=True)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Sort" not in plan[plan.index("REPARTITION_BY_NUM") :].split("Window")[0]
+    assert [(r["read_id"], r["r1"]["header"]) for r in df.orderBy("read_id").collect()] == [(i, f"@{i}") for i in range(5000)]
+
+
+def test_sidecar_by_ranges(spark, tmp_path):
+    """marks_of(): places and probes of byte ranges, the head of 9 bytes left out."""
+    (tmp_path / "p.bin").write_bytes(bytes(9) + bytes(range(40)))
+    spans = spark.createDataFrame([(a, min(a + 7, 49)) for a in range(0, 49, 7)], "first long, end long")
+    rows = spans.mapInArrow(roundtrips.marks_of(str(tmp_path / "p.bin")), "place long, probe int").collect()
+    assert sorted(map(tuple, rows)) == [(i + 1, i) for i in range(40)]
