@@ -25,6 +25,8 @@ from tallyseq.llm.common import components, cut, mix64, release
 
 RARE = 8
 SMALL = 16
+CELLS = 1024
+WORDS = [f"bits{k}" for k in range(CELLS // 64)]
 DECODED = 32_000_000  # bytes of sets that a task remembers
 BROADCAST_ROWS = 400_000  # of labels or keys, some 16 bytes each
 
@@ -122,6 +124,20 @@ def values(decode: Callable) -> Callable:
     return run
 
 
+def cells(decode: Callable) -> Callable:
+    """mapInArrow function: (id, shingles) to the id and a bit for each of CELLS parts of the hashes, set where the set has a hash there, as longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            there = np.zeros((b.num_rows, CELLS), np.uint8)
+            for i, x in enumerate(decode(b.column("shingles").to_pylist())):
+                there[i, (x % np.uint64(CELLS)).astype(np.int64)] = 1
+            words = np.packbits(there, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(words[:, k].copy()) for k in range(CELLS // 64)]], ["id", *WORDS])
+
+    return run
+
+
 def sent(df: DataFrame) -> DataFrame:
     """Broadcast hint for a materialised table of labels or keys of at most BROADCAST_ROWS rows; a larger one is shuffled."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -180,7 +196,7 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
         return labels
 
     # large ones: sets that share a rare shingle meet through it; of the others an intersection holds no rare shingle
-    loose = cut(open_.select("id", "label").distinct())
+    loose = cut(open_.select("id", "n", "label").distinct())
     # sets may give an id in several rows: equal ones count once; an id of different sets counts as without rare shingles, and what it holds
     # twice as held by more, which only loosens bounds
     mine = sets.join(loose, "id", "left_semi").dropDuplicates(["id", "shingles"])
@@ -188,21 +204,29 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     held = mine.mapInArrow(values(decode), "value long, id long")
     few = held.groupBy("value").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
     rare = cut(held.join(few, "value"))
-    common = cut(loose.join(rare.groupBy("id").agg(F.count("*").alias("rare")).join(several, "id", "left_anti"), "id", "left").select("id", F.coalesce("rare", F.lit(0)).alias("rare")))
-    together = rare.where("holders > 1").groupBy("value").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
-    pairs = together.select("ids", F.explode("ids").alias("x")).select("x", F.explode("ids").alias("y")).where("x < y").distinct()
-    for side in ("x", "y"):
-        pairs = pairs.join(loose.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}")), side)
-    labels = grown(labels, pairs.where("label_x <> label_y"))
-
-    fits = f"100 * least(shared, shared_x) >= {percent} * (n + n_x - least(shared, shared_x))"
+    common = cut(loose.join(rare.groupBy("id").agg(F.count("*").alias("rare")).join(several, "id", "left_anti"), "id", "left").select("id", "n", "label", F.coalesce("rare", F.lit(0)).alias("rare")))
+    bits = cut(mine.mapInArrow(cells(decode), f"id long, {', '.join(f'{w} long' for w in WORDS)}").join(several, "id", "left_anti"))
+    # what two sets share is the rare shingles counted here and at most all others of the smaller part, so few pairs need their sets
+    fits = f"100 * (least(shared, shared_x) + together) >= {percent} * (n + n_x - least(shared, shared_x) - together)"
+    member = F.struct("label", "id", "n", (F.col("n") - F.col("rare")).alias("shared"))
+    holders = rare.where("holders > 1").select("value", "id").join(sent(common), "id").groupBy("value").agg(F.sort_array(F.collect_set(member)).alias("those"))
+    groups = holders.where("those[0].label < element_at(those, -1).label").groupBy("those").agg(F.count("*").alias("times"))
+    pairs = groups.select("those", "times", F.explode("those").alias("x")).select("x", "times", F.explode(F.expr(f"filter(those, m -> m.label > x.label and 100 * least(m.n, x.n) >= {percent} * greatest(m.n, x.n))")).alias("y"))
+    pairs = pairs.groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.n").alias("n_x"), F.col("y.n").alias("n"), F.col("x.shared").alias("shared_x"), F.col("y.shared").alias("shared")).agg(F.sum("times").alias("together"))
+    labels = grown(labels, pairs.where(fits).select("x", "y"))
+
+    pivots = SMALL
+    # no rare shingle in common, and a cell that only one of two sets fills holds a shingle that the other lacks
+    apart = " + ".join(f"bit_count({w} ^ {w}_x)" for w in WORDS)
+    fits = f"100 * least(shared, shared_x) >= {percent} * (n + n_x - least(shared, shared_x)) and (not (known and known_x) or {100 + percent} * (n + n_x - ({apart})) >= {2 * percent} * (n + n_x))"
     pivots = SMALL
     open_ = opened(open_, labels)
     while True:
-        rows_ = open_.join(common, "id").withColumn("shared", F.col("n") - F.col("rare"))
+        rows_ = open_.join(common.select("id", "rare"), "id").join(bits, "id", "left").withColumn("shared", F.col("n") - F.col("rare"))
+        rows_ = rows_.withColumn("known", F.col(WORDS[0]).isNotNull()).withColumns({w: F.coalesce(w, F.lit(0)) for w in WORDS})
         chance = (F.xxhash64("key", "id", F.lit(1)).bitwiseAND((1 << 30) - 1) / (1 << 30)) * F.col("size")
         picked = rows_.where(chance < pivots).where(chance >= (pivots // 8 if pivots > SMALL else 0))
-        picked = picked.select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("shared").alias("shared_x"), F.col("label").alias("label_x"))
+        picked = picked.select("key", F.col("id").alias("x"), *[F.col(c).alias(f"{c}_x") for c in ("n", "shared", "label", "known", *WORDS)])
         pairs = cut(rows_.join(picked, "key").where("label <> label_x").where(fits).select("x", F.col("id").alias("y")))
         open_ = open_.where(F.col("size") > pivots)  # in the others every member has been a pivot
         if pairs.take(1):
