@@ -305,7 +305,7 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80, bands: int = 26,
     places = blocks.rejoined(bodies, shared, candidates, "id long, line binary, doc_id long, n long, block long, at int", CANDIDATES)
     lines = cut(places.groupBy("id").agg(F.first(F.struct("line", "doc_id", "n", "block", "at")).alias("x")).select("id", "x.*"))
     classes = cut(lines.mapInArrow(described(bands * rows), "id long, n long, sig binary"))
-    near = links(classes, lambda _: lines.select("id", F.col("line").alias("shingles")), percent, bands, rows, sets_of, miss)
+    near = links(classes, lambda _: lines.select("id", F.col("line").alias("shingles")), percent, bands, rows, sets_of, miss, blocked=miss is None)
     linked = lines.drop("line").join(near, "id")
     first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "n", "id")).alias("first")).select("component", F.col("first.id").alias("first"))
     lost = linked.join(first, "component").where("id <> first").select("block", F.lit(None).cast("binary").alias("data"), F.col("at").alias("lost"))

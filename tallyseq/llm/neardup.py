@@ -8,6 +8,9 @@ check every such pair. In larger ones, sets that share a rare shingle (RARE hold
 it. For all other pairs no rare shingle is in the intersection, which bounds the similarity; under that bound 16, 128,
 1024 ... pivots meet the members of other components, until one component is left or every member has been a pivot. A bucket is thus never
 collected, and every pair that shares a bucket is checked, provably too far apart or already connected.
+
+Sets that are small enough to travel with each of their places in a bucket (lines) go another way after the pivots, with ``blocked``: the members
+of a bucket meet in groups of bounded size, where pairs are checked and only links between different components leave.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ SMALL = 16
 CELLS = 1024
 WORDS = [f"bits{k}" for k in range(CELLS // 64)]
 DECODED = 32_000_000  # bytes of sets that a task remembers
+GROUP_ROWS, GROUP_SHINGLES = 1024, 500_000  # about as many of a bucket are a chunk; two chunks meet in a group
+PAIRWISE = 64  # groups of up to so many members check pair by pair
+BITS = 4_000_000  # bytes of bit rows that are compared at once
 BROADCAST_ROWS = 400_000  # of labels or keys, some 16 bytes each
 
 
@@ -138,17 +144,149 @@ def cells(decode: Callable) -> Callable:
     return run
 
 
+def key_lists(bands: int, rows: int) -> Callable:
+    """mapInArrow function: (id, n, sig) to (id, keys): the bucket of each band."""
+    keys = band_keys(bands, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in keys(batches):
+            ids = b.column("id").to_numpy()[::bands]
+            lists = b.column("key").to_numpy().reshape(len(ids), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in lists], pa.binary())], ["id", "keys"])
+
+    return run
+
+
+def near_pairs(percent: int, decode: Callable, bands: int) -> Callable:
+    """mapInArrow function: rows by (key, lo, hi) to the (a, b) that link different labels, in large groups as many as connect what is linked.
+
+    A pair is checked in the bucket of the first band that both have in common, of two chunks if the group is made of two.
+    """
+
+    def apart(rows: pa.Table, n: np.ndarray) -> Callable:
+        """Which pairs of members (i, j) are to be checked."""
+        label, chunk, key, lo, hi = (rows.column(c).to_numpy() for c in ("label", "chunk", "key", "lo", "hi"))
+        lists = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int64).reshape(rows.num_rows, bands)
+        band = (lists == key[:, None]).argmax(1)
+
+        def some(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            keep = (label[i] != label[j]) & ((lo[i] == hi[i]) | (chunk[i] != chunk[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            which = np.flatnonzero(keep)
+            for k in range(bands):
+                at = band[i[which]]
+                which = which[(at <= k) | (lists[i[which], k] != lists[j[which], k])]
+            return which
+
+        return some
+
+    def pairwise(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of small groups."""
+        out = [np.zeros((0, 2), np.int64)]
+        some, found = apart(rows, rows.column("n").to_numpy()), []
+        for size in np.unique(sizes):
+            first, (x, y) = starts[sizes == size], np.triu_indices(int(size), 1)
+            step = max(1, BITS // (8 * max(1, len(x))))
+            for at in range(0, len(first), step):
+                i, j = (np.add.outer(first[at : at + step], z).ravel() for z in (x, y))
+                which = some(i, j)
+                found.append(np.stack([i[which], j[which]], 1))
+        ids, sets = rows.column("id").to_numpy(), rows.column("shingles").combine_chunks()
+        pairs = np.concatenate(found)
+        for at in range(0, len(pairs), 256):
+            of = pairs[at : at + 256]
+            left, right = (sets.take(pa.array(of[:, k])) for k in (0, 1))
+            b = pa.RecordBatch.from_arrays([pa.array(ids[of[:, 0]]), pa.array(ids[of[:, 1]]), left, right], ["a", "b", "set_a", "set_b"])
+            for good in linked(percent, decode)(iter([b])):
+                out.append(np.stack([good.column(c).to_numpy() for c in ("a", "b")], 1))
+        pairs = np.concatenate(out)
+        return pairs[:, 0], pairs[:, 1]
+
+    def crossing(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Links of one large group: a bit for each shingle that two members hold."""
+        sets = decode(rows.column("shingles").to_pylist())
+        n, ids = np.array(list(map(len, sets)), np.int64), rows.column("id").to_numpy()
+        some, (label, many) = apart(rows, n), (np.unique(rows.column("label").to_numpy(), return_inverse=True)[1], rows.num_rows)
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        code = np.where(count > 1, np.cumsum(count > 1), 0)[code]  # 0: held by one alone
+        words = -(-int((count > 1).sum() + 1) // 64)
+        bits, there = np.zeros((many, 8 * words), np.uint8), np.zeros(64 * words, np.uint8)
+        for k, mine in enumerate(np.split(code, np.cumsum(n)[:-1])):
+            there[mine] = 1
+            there[0] = 0
+            bits[k] = np.packbits(there)
+            there[mine] = 0
+        bits, step, a, b = bits.view(np.uint64), max(1, BITS // (8 * words)), [], []
+        for x in range(many - 1):
+            y = np.arange(x + 1, many)
+            y = y[label[y] != label[x]]
+            y = y[some(np.full(len(y), x), y)]
+            for at in range(0, len(y), step):
+                those = y[at : at + step]
+                shared = np.bitwise_count(bits[those] & bits[x]).sum(1, dtype=np.int64)
+                for z in those[100 * shared >= percent * (n[those] + n[x] - shared)].tolist():
+                    if label[z] != label[x]:
+                        label[label == label[z]] = label[x]
+                        a.append(ids[x]), b.append(ids[z])
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def joined(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        group = np.stack([rows.column(c).to_numpy() for c in ("key", "lo", "hi")], 1)
+        starts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1)))
+        sizes = np.diff(np.append(starts, len(group)))
+        small = sizes <= PAIRWISE
+        found = [pairwise(rows, starts[small], sizes[small])] if small.any() else []
+        found += [crossing(rows.slice(at, size).combine_chunks()) for at, size in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True)]
+        for a, b in found:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        of = lambda b, at: tuple(b.column(c)[at].as_py() for c in ("key", "lo", "hi"))
+        for b in (b for b in batches if b.num_rows):
+            group = np.stack([b.column(c).to_numpy() for c in ("key", "lo", "hi")], 1)
+            last = int(np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1)))[-1])  # the last group may go on in the next batch
+            if last or (held and of(held[-1], 0) != of(b, 0)):
+                yield from joined(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from joined(pa.Table.from_batches(held))
+
+    return run
+
+
+def in_groups(open_: DataFrame) -> DataFrame:
+    """Rows (key, id, n, label) of buckets as (key, lo, hi, chunk, id, n, label): each group (key, lo, hi) holds two chunks, or one, of its bucket.
+
+    Members of different labels meet in a group. A bucket that is too large for one is cut into chunks, those of its most frequent label
+    apart from the others, and no two of that label's chunks meet.
+    """
+    main = cut(open_.groupBy("key").agg(F.mode("label", deterministic=True).alias("main")))
+    rows_ = open_.join(sent(main), "key").withColumn("minor", F.col("label") != F.col("main"))
+    half = lambda of: F.ceil(F.greatest(F.count(of) / GROUP_ROWS, F.sum(of) / GROUP_SHINGLES)).cast("int")
+    n = F.col("n")
+    cuts = rows_.groupBy("key").agg(half(F.when(F.col("minor"), n)).alias("minors"), half(F.when(~F.col("minor"), n)).alias("majors"), half(n).alias("all"))
+    rows_ = rows_.join(sent(cut(cuts)), "key")
+    draw = lambda k: F.pmod(F.xxhash64("key", "id"), k).cast("int")
+    whole = F.col("all") <= 2
+    chunk = F.when(whole, 0).when(F.col("minor"), draw(F.col("minors"))).otherwise(F.col("minors") + draw(F.col("majors")))
+    others = F.when(whole, F.array(F.lit(0))).when(F.col("minor"), F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") - 1))
+    met = rows_.withColumn("chunk", chunk).select("key", "chunk", "id", "n", "label", F.explode(others).alias("other"))
+    return met.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "id", "n", "label")
+
+
 def sent(df: DataFrame) -> DataFrame:
     """Broadcast hint for a materialised table of labels or keys of at most BROADCAST_ROWS rows; a larger one is shuffled."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int, rows: int, decode: Callable = stored, miss: float | None = 1e-9, batch: int = 16) -> DataFrame:
+def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int, rows: int, decode: Callable = stored, miss: float | None = 1e-9, batch: int = 16, blocked: bool = False) -> DataFrame:
     """Components (id, component) of the classes that have a link.
 
     ``sets_of(ids)`` gives (id, shingles binary) for the ids that share a bucket, or for more; ``decode`` makes sorted
     distinct uint64 of a list of them. ``miss`` None leaves out the signatures' comparison: every pair goes to the exact check, which suits
-    sets that are shorter than their signatures. Empty input, or no bucket of two, gives no rows.
+    sets that are shorter than their signatures. ``blocked`` sends sets with each of their places in buckets that the pivots leave open, and needs
+    one row for each id in ``sets_of``. Empty input, or no bucket of two, gives no rows.
     """
     banded = classes.select("id", "n", "sig").mapInArrow(band_keys(bands, rows), "key long, id long, n long")
     many = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -184,8 +322,17 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     near = f"100 * least(n, n_x) >= {percent} * greatest(n, n_x)"
     labels = components(verified(members.join(first, "key").where("id <> x").where(near).select("x", F.col("id").alias("y"))))
 
-    # small buckets: every pair of different components
     open_ = opened(members, labels)
+    if blocked:
+        if not open_.take(1):
+            return labels
+        keys = classes.select("id", "n", "sig").join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(key_lists(bands, rows), "id long, keys binary")
+        full = in_groups(open_).join(keys.join(sets, "id"), "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        release(classes.sparkSession)
+        found = full.mapInArrow(near_pairs(percent, decode, bands), "a long, b long")
+        return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
+
+    # small buckets: every pair of different components
     other = open_.where(F.col("size") <= SMALL).select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
     pairs = cut(open_.where(F.col("size") <= SMALL).join(other, "key").where("id < x and label <> label_x").where(near).select("x", F.col("id").alias("y")).distinct())
     open_ = open_.where(F.col("size") > SMALL)
