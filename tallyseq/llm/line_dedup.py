@@ -139,7 +139,8 @@ class Lines:
         doc_ids, first = rows.column("doc_id").to_pylist(), {}
         for at, (r, n, line) in enumerate(lines_of(rows)):
             place, key = (doc_ids[r], n, at), normal(line)
-            if key not in first or place < first[key]:
+            known = first.setdefault(key, place)
+            if place < known:
                 first[key] = place
         self.lines = list(first)
         places = np.array(list(first.values()), np.int64).reshape(len(first), 3)

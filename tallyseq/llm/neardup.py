@@ -172,9 +172,8 @@ def near_pairs(percent: int, decode: Callable, bands: int) -> Callable:
         def some(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             keep = (label[i] != label[j]) & ((lo[i] == hi[i]) | (chunk[i] != chunk[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             which = np.flatnonzero(keep)
-            for k in range(bands):
-                at = band[i[which]]
-                which = which[(at <= k) | (lists[i[which], k] != lists[j[which], k])]
+            for k in range(int(band.max(initial=0))):
+                which = which[(band[i[which]] <= k) | (lists[i[which], k] != lists[j[which], k])]
             return which
 
         return some
@@ -192,34 +191,44 @@ def near_pairs(percent: int, decode: Callable, bands: int) -> Callable:
                 found.append(np.stack([i[which], j[which]], 1))
         ids, sets = rows.column("id").to_numpy(), rows.column("shingles").combine_chunks()
         pairs = np.concatenate(found)
-        for at in range(0, len(pairs), 256):
-            of = pairs[at : at + 256]
-            left, right = (sets.take(pa.array(of[:, k])) for k in (0, 1))
-            b = pa.RecordBatch.from_arrays([pa.array(ids[of[:, 0]]), pa.array(ids[of[:, 1]]), left, right], ["a", "b", "set_a", "set_b"])
-            for good in linked(percent, decode)(iter([b])):
-                out.append(np.stack([good.column(c).to_numpy() for c in ("a", "b")], 1))
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(pairs), 256):
+                of = pairs[at : at + 256]
+                yield pa.RecordBatch.from_arrays([*(pa.array(ids[of[:, k]]) for k in (0, 1)), *(sets.take(pa.array(of[:, k])) for k in (0, 1))], ["a", "b", "set_a", "set_b"])
+
+        for good in linked(percent, decode)(texts()):
+            out.append(np.stack([good.column(c).to_numpy() for c in ("a", "b")], 1))
         pairs = np.concatenate(out)
         return pairs[:, 0], pairs[:, 1]
 
     def crossing(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Links of one large group: a bit for each shingle that two members hold."""
-        sets = decode(rows.column("shingles").to_pylist())
-        n, ids = np.array(list(map(len, sets)), np.int64), rows.column("id").to_numpy()
-        some, (label, many) = apart(rows, n), (np.unique(rows.column("label").to_numpy(), return_inverse=True)[1], rows.num_rows)
+        n, label, ids = (rows.column(c).to_numpy() for c in ("n", "label", "id"))
+        some, found, wide = apart(rows, n), [], max(1, BITS // (8 * rows.num_rows))
+        for at in range(0, rows.num_rows, wide):
+            i, j = np.nonzero(np.triu(label[at : at + wide, None] != label, at + 1))
+            which = some(i := i + at, j)
+            found.append(np.stack([i[which], j[which]], 1))
+        pairs = np.concatenate(found)
+        used, pairs = np.unique(pairs, return_inverse=True)
+        if not len(used):
+            return used, used
+        pairs, sets = pairs.reshape(-1, 2), decode(rows.column("shingles").take(pa.array(used)).to_pylist())
+        n, label, ids = np.array(list(map(len, sets)), np.int64), np.unique(label[used], return_inverse=True)[1], ids[used]
         _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         code = np.where(count > 1, np.cumsum(count > 1), 0)[code]  # 0: held by one alone
         words = -(-int((count > 1).sum() + 1) // 64)
-        bits, there = np.zeros((many, 8 * words), np.uint8), np.zeros(64 * words, np.uint8)
+        bits, there = np.zeros((len(sets), 8 * words), np.uint8), np.zeros(64 * words, np.uint8)
         for k, mine in enumerate(np.split(code, np.cumsum(n)[:-1])):
             there[mine] = 1
             there[0] = 0
             bits[k] = np.packbits(there)
             there[mine] = 0
         bits, step, a, b = bits.view(np.uint64), max(1, BITS // (8 * words)), [], []
-        for x in range(many - 1):
-            y = np.arange(x + 1, many)
+        for mine in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1):
+            x, y = int(mine[0, 0]), mine[:, 1]
             y = y[label[y] != label[x]]
-            y = y[some(np.full(len(y), x), y)]
             for at in range(0, len(y), step):
                 those = y[at : at + step]
                 shared = np.bitwise_count(bits[those] & bits[x]).sum(1, dtype=np.int64)
