@@ -97,7 +97,7 @@ def rows_of(rows: list[tuple]) -> pa.RecordBatch:
 
 def deal(block: int, keys: np.ndarray, shards: int, pack: Callable[[np.ndarray], bytes]) -> list[tuple]:
     """One request row for each shard that has some of ``keys``; ``pack`` gets their indexes, in order."""
-    of = (keys % np.uint64(shards)).astype(np.int64)
+    of = (keys % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)  # short numbers are sorted by their digits
     order = np.argsort(of, kind="stable")
     edges = np.searchsorted(of[order], np.arange(shards + 1))
     return [(block, s, pack(order[edges[s] : edges[s + 1]])) for s in range(shards) if edges[s] < edges[s + 1]]

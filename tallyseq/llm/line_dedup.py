@@ -19,16 +19,17 @@ WIDTH = 8
 CHUNK = 50_000
 BLOCK_BYTES = 3_000_000
 SPACES = b" \t\n\v\f\r"
+LATIN = bytes(range(0xC4))  # bytes of UTF-8 that characters below 256 are made of
 
 
-def normal(line: str) -> bytes:
-    """What lines are compared by: A-Z lower-cased, no ASCII white space at the ends."""
-    return line.encode().lower().strip(SPACES)
+def latin(line: bytes) -> bool:
+    """Whether all characters are below 256."""
+    return line.isascii() or not line.translate(None, LATIN)
 
 
 def chunks(lines: list[bytes]) -> Iterator[list[int]]:
-    """Indexes of the lines in runs of about CHUNK bytes, whose hashes stay in the cache; lines of ASCII alone come first."""
-    plain = [x.isascii() for x in lines]
+    """Indexes of the lines in runs of about CHUNK bytes, whose hashes stay in the cache; lines of characters below 256 alone come first."""
+    plain = [latin(x) for x in lines]
     for kind in (True, False):
         run, size = [], 0
         for i, x in enumerate(lines):
@@ -45,17 +46,18 @@ def chunks(lines: list[bytes]) -> Iterator[list[int]]:
 def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of WIDTH characters, line by line, and how many each line has; a shorter line is one run.
 
-    WIDTH characters of ASCII are one 64-bit word, which is what their hash is made of; other runs are hashed from their code points.
+    WIDTH characters below 256 are one 64-bit word, which is what their hash is made of; other runs are hashed from their code points.
     """
-    if all(map(bytes.isascii, lines)):
-        lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-        data = b"".join([x.ljust(WIDTH, b"\0") for x in lines])
+    if all(map(latin, lines)):
+        singles = [x if x.isascii() else x.decode().encode("latin-1") for x in lines]
+        lengths = np.fromiter(map(len, singles), np.int64, len(lines))
+        data = b"".join([x.ljust(WIDTH, b"\0") for x in singles])
         h = np.ndarray((len(data) - WIDTH + 1,), "<u8", data, strides=(1,)).astype(np.uint64)
     else:
         texts = [x.decode() for x in lines]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         codes = np.frombuffer("".join([t.ljust(WIDTH, "\0") for t in texts]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        other, word, h, size = codes > np.uint64(127), codes, mix64(codes + np.uint64(1)), 1
+        other, word, h, size = codes > np.uint64(255), codes, mix64(codes + np.uint64(1)), 1
         while size < WIDTH:
             other = other[:-size] | other[size:]
             word = word[:-size] | (word[size:] << np.uint64(8 * size))
@@ -69,19 +71,25 @@ def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(lines: list[bytes], k: int) -> np.ndarray:
-    """A row of ``k`` 32-bit minima for each line."""
+    """A row for each line: 32-bit minima of half of ``k`` permutations, then the maxima of the same ones.
+
+    Two lines agree in either with the probability of their similarity. In both they agree less often than if these were independent, so bands
+    of minima and bands of maxima miss a pair together no more often than bands of as many permutations.
+    """
+    half = -(-k // 2)
     rng = np.random.default_rng(19970611)
     a, c = rng.integers(0, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, k, dtype=np.uint32)
     out = np.empty((len(lines), k), np.uint32)
     for which in chunks(lines):
         h, many = shingle_hashes([lines[i] for i in which])
         x, starts = (h >> np.uint64(32)).astype(np.uint32), np.cumsum(many) - many
-        t, least = np.empty_like(x), np.empty((k, len(which)), np.uint32)
-        for j in range(k):
+        t, ends = np.empty_like(x), np.empty((2 * half, len(which)), np.uint32)
+        for j in range(half):
             np.multiply(x, a[j], out=t)
             t += c[j]
-            np.minimum.reduceat(t, starts, out=least[j])
-        out[which] = least.T
+            np.minimum.reduceat(t, starts, out=ends[j])
+            np.maximum.reduceat(t, starts, out=ends[half + j])
+        out[which] = ends[:k].T
     return out
 
 
@@ -113,12 +121,12 @@ def opened(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(blocks.widen(body)).read_all()
 
 
-def lines_of(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
-    """(row, line number, line) of the lines that take part: not blank, of a row with a doc_id."""
-    for r, (i, t) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("text"), strict=True)):
-        if i is not None and (t := t.as_py()):
-            for n, line in enumerate(t.split("\n")):
-                if line.strip(" \t\n\v\f\r"):
+def lines_of(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
+    """(row, line number, line) of the lines that take part: not blank, of a row with a doc_id. Lines are as they are compared: A-Z lower-cased, no ASCII white space at the ends."""
+    for r, (i, t) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("text").cast(pa.binary()).to_pylist(), strict=True)):
+        if i is not None and t:
+            for n, line in enumerate(t.lower().split(b"\n")):
+                if line := line.strip(SPACES):
                     yield r, n, line
 
 
@@ -138,10 +146,10 @@ class Lines:
     def __init__(self, rows: pa.Table) -> None:
         doc_ids, first = rows.column("doc_id").to_pylist(), {}
         for at, (r, n, line) in enumerate(lines_of(rows)):
-            place, key = (doc_ids[r], n, at), normal(line)
-            known = first.setdefault(key, place)
+            place = (doc_ids[r], n, at)
+            known = first.setdefault(line, place)
             if place < known:
-                first[key] = place
+                first[line] = place
         self.lines = list(first)
         places = np.array(list(first.values()), np.int64).reshape(len(first), 3)
         self.doc_id, self.n, self.at = places[:, 0].copy(), places[:, 1].astype(np.uint32), places[:, 2].astype(np.int32)
