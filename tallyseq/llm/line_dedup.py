@@ -192,7 +192,7 @@ def numbers(answers: list[bytes]) -> np.ndarray:
 def split(shards: int, bands: int, rows: int):
     """Requests of a block: band keys of the lines it owns. Each line has one owner, so equal keys are of different lines.
 
-    A shard gets the upper 32 bits of the keys that fall to it by their remainder.
+    A shard gets the upper 32 bits of the keys that fall to it by their remainder, and of each the line's number times ``bands`` plus the band's.
     """
 
     def finish(body: bytes, answers: list[bytes]) -> pa.Table:
@@ -204,7 +204,7 @@ def split(shards: int, bands: int, rows: int):
         key = np.broadcast_to(mix64(np.arange(1, bands + 1, dtype=np.uint64)), (len(lines), bands)).copy()
         for r in range(rows):
             key = mix64(key ^ sig[:, :, r])
-        key, of = key.ravel(), np.repeat(which, bands)
+        key, of = key.ravel(), (which[:, None] * np.uint32(bands) + np.arange(bands, dtype=np.uint32)).ravel()
 
         def pack(mine: np.ndarray) -> bytes:
             return blocks.put((key[mine] >> np.uint64(32)).astype(np.uint32), np.diff(of[mine], prepend=np.uint32(0)))
@@ -216,7 +216,7 @@ def split(shards: int, bands: int, rows: int):
 
 
 def shared_bands(requests: list[bytes]) -> list[bytes]:
-    """Answer of a shard: each block's lines whose band key another line has too."""
+    """Answer of a shard: each block's lines and bands whose key another line has too."""
     asked = [blocks.get(d) for d in requests]
     keys = np.concatenate([a[0] for a in asked])
     order = np.argsort(keys)
@@ -227,16 +227,23 @@ def shared_bands(requests: list[bytes]) -> list[bytes]:
     return [blocks.put(np.unique(np.cumsum(a[1].astype(np.int64))[mine]).astype(np.uint32)) for a, mine in zip(asked, parts, strict=True)]
 
 
-CANDIDATES = pa.schema([("id", pa.int64()), ("line", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("block", pa.int64()), ("at", pa.int32())])
+CANDIDATES = pa.schema([("id", pa.int64()), ("line", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("held", pa.binary())])
 
 
-def candidates(body: bytes, answers: list[bytes]) -> pa.Table:
-    own = Lines(opened(body))
-    if own.lines and not answers:
-        raise RuntimeError("a block lacks the answers about its lines")
-    mine = numbers(answers)
-    lines = [own.lines[i] for i in mine.tolist()]
-    return pa.table([ids_of(lines).view(np.int64), pa.array(lines, pa.binary()), own.doc_id[mine], own.n[mine].astype(np.int64), np.full(len(mine), blocks.name(body)), own.at[mine]], schema=CANDIDATES)
+def candidates(bands: int):
+    """Lines of a block that have company, and in which bands (held)."""
+
+    def finish(body: bytes, answers: list[bytes]) -> pa.Table:
+        own = Lines(opened(body))
+        if own.lines and not answers:
+            raise RuntimeError("a block lacks the answers about its lines")
+        found = numbers(answers)
+        mine, first = np.unique(found // np.uint32(bands), return_index=True)
+        held = [x.tobytes() for x in np.split((found % np.uint32(bands)).astype(np.uint16), first[1:])][: len(mine)]
+        lines = [own.lines[i] for i in mine.tolist()]
+        return pa.table([ids_of(lines).view(np.int64), pa.array(lines, pa.binary()), own.doc_id[mine], own.n[mine].astype(np.int64), np.full(len(mine), blocks.name(body)), own.at[mine], pa.array(held, pa.binary())], schema=CANDIDATES)
+
+    return finish
 
 
 def sets_of(lines: list[bytes]) -> list[np.ndarray]:
@@ -258,7 +265,7 @@ def described(k: int):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 lines = part.column("line").to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(map(len, sets_of(lines)), pa.int64()), pa.array([s.tobytes() for s in signatures(lines, k)], pa.binary())], ["id", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(map(len, sets_of(lines)), pa.int64()), pa.array([s.tobytes() for s in signatures(lines, k)], pa.binary()), part.column("held")], ["id", "n", "sig", "held"])
 
     return run
 
@@ -311,11 +318,11 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80, bands: int = 26,
     own = cut(blocks.answered_rows(bodies.mapInArrow(claims(shards), blocks.ROWS), owners, shards))
     keys = blocks.rejoined(bodies, own, split(shards, bands, rows), blocks.ROWS, blocks.FIELDS)
     shared = blocks.answered(keys, shared_bands, shards)
-    places = blocks.rejoined(bodies, shared, candidates, "id long, line binary, doc_id long, n long, block long, at int", CANDIDATES)
-    lines = cut(places.groupBy("id").agg(F.first(F.struct("line", "doc_id", "n", "block", "at")).alias("x")).select("id", "x.*"))
-    classes = cut(lines.mapInArrow(described(bands * rows), "id long, n long, sig binary"))
+    places = blocks.rejoined(bodies, shared, candidates(bands), "id long, line binary, doc_id long, n long, block long, at int, held binary", CANDIDATES)
+    lines = cut(places.groupBy("id").agg(F.first(F.struct("line", "doc_id", "n", "block", "at", "held")).alias("x")).select("id", "x.*"))
+    classes = cut(lines.mapInArrow(described(bands * rows), "id long, n long, sig binary, held binary"))
     near = links(classes, lambda _: lines.select("id", F.col("line").alias("shingles")), percent, bands, rows, sets_of, miss, blocked=miss is None)
-    linked = lines.drop("line").join(near, "id")
+    linked = lines.drop("line", "held").join(near, "id")
     first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "n", "id")).alias("first")).select("component", F.col("first.id").alias("first"))
     lost = linked.join(first, "component").where("id <> first").select("block", F.lit(None).cast("binary").alias("data"), F.col("at").alias("lost"))
     answers = own.select("block", "data", F.lit(None).cast("int").alias("lost")).unionByName(lost)

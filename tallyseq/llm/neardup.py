@@ -103,7 +103,7 @@ def linked(percent: int, decode: Callable) -> Callable:
 
 
 def band_keys(bands: int, rows: int) -> Callable:
-    """mapInArrow function: (id, n, sig) to one (key, id, n) for each band."""
+    """mapInArrow function: (id, n, sig) to one (key, id, n) for each band, or, with a column held of 16-bit numbers of bands, for those."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
@@ -114,7 +114,12 @@ def band_keys(bands: int, rows: int) -> Callable:
             key = np.broadcast_to(salt, (b.num_rows, bands)).copy()
             for r in range(rows):
                 key = mix64(key ^ sig[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64))] + [pa.array(np.repeat(b.column(c).to_numpy(zero_copy_only=False), bands)) for c in ("id", "n")], ["key", "id", "n"])
+            many = bands
+            if "held" in b.schema.names:
+                held = b.column("held").to_pylist()
+                many = [len(x) // 2 for x in held]
+                key = key[np.repeat(np.arange(b.num_rows), many), np.frombuffer(b"".join(held), np.uint16)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64))] + [pa.array(np.repeat(b.column(c).to_numpy(zero_copy_only=False), many)) for c in ("id", "n")], ["key", "id", "n"])
 
     return keys
 
@@ -295,9 +300,9 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     ``sets_of(ids)`` gives (id, shingles binary) for the ids that share a bucket, or for more; ``decode`` makes sorted
     distinct uint64 of a list of them. ``miss`` None leaves out the signatures' comparison: every pair goes to the exact check, which suits
     sets that are shorter than their signatures. ``blocked`` sends sets with each of their places in buckets that the pivots leave open, and needs
-    one row for each id in ``sets_of``. Empty input, or no bucket of two, gives no rows.
+    one row for each id in ``sets_of``. A column held of ``classes`` names the bands in which a set may have company (16-bit numbers); the others are left out. Empty input, or no bucket of two, gives no rows.
     """
-    banded = classes.select("id", "n", "sig").mapInArrow(band_keys(bands, rows), "key long, id long, n long")
+    banded = classes.select("id", "n", "sig", *({"held"} & set(classes.columns))).mapInArrow(band_keys(bands, rows), "key long, id long, n long")
     many = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(banded.join(many, "key"))
     ids = members.groupBy("id").agg(F.sum("size").alias("company"))
@@ -326,8 +331,8 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
         return components(known.unionByName(verified(pairs)))
 
     release(classes.sparkSession)
-    middle = F.max_by(F.struct(F.col("id").alias("x"), F.col("n").alias("n_x")), F.struct("company", F.xxhash64("key", "id")))
-    first = members.join(ids, "id").groupBy("key").agg(middle.alias("pivot")).select("key", "pivot.*")
+    order = F.shiftleft(F.least("company", F.lit((1 << 20) - 1)), 43) + F.shiftright(F.xxhash64("key", "id"), 21)  # by company, then at random; a long, so that it is aggregated by hash
+    first = members.join(ids, "id").withColumn("order", order).groupBy("key").agg(F.max_by("id", "order").alias("x"), F.max_by("n", "order").alias("n_x"))
     near = f"100 * least(n, n_x) >= {percent} * greatest(n, n_x)"
     labels = components(verified(members.join(first, "key").where("id <> x").where(near).select("x", F.col("id").alias("y"))))
 

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from tallyseq.llm import line_dedup
+from tallyseq.llm import line_dedup, neardup
 from tallyseq.llm.common import mix64
 
 
@@ -34,3 +35,26 @@ def test_runs_of_latin_characters_are_words():
     assert many.tolist() == [len(want)] and (h == want).all()
     beside, _ = line_dedup.shingle_hashes([f"{line}語".encode()])
     assert (beside[:-1] == want).all() and beside[-1] not in want
+
+
+def test_only_bands_with_company_leave_a_block(table, monkeypatch, spark):
+    """Two near lines and one that has nothing in common with them: the rows that meet by band are those of bands that both have."""
+    keys, made = neardup.band_keys, spark.sparkContext.accumulator(0)
+
+    def counted(bands, rows):
+        def run(batches):
+            for b in keys(bands, rows)(batches):
+                made.add(b.num_rows)
+                yield b
+
+        return run
+
+    monkeypatch.setattr(neardup, "band_keys", counted)
+    monkeypatch.setattr(neardup, "key_lists", lambda *_: pytest.fail("no bucket is left open"))
+    first = "a line of some length that two documents hold, but for the last of its many words: one"
+    second = f"{first[:-3]}two"
+    a, b = line_dedup.signatures([first.encode(), second.encode()], 104).reshape(2, 26, 4)
+    common = int((a == b).all(1).sum())
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.without_repeated_lines(table({1: first, 2: second, 3: "nothing of the kind is found in here"})).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+    assert 0 < common < 26 and made.value == 2 * 2 * common  # counted once, met once
