@@ -30,14 +30,12 @@ CBUB_FIELDS = pa.schema([("rec_no", pa.int64()), ("has_tags", pa.bool_()), ("cb_
 
 
 def read_sam(spark: SparkSession, path: str, max_records: int = 0) -> DataFrame:
-    """Alignments of SAM text; rec_no counts the records of a file from 0. Casts are tried only: filters may meet header lines before they go."""
-    raw = numbered_lines(spark, [path])
-    heads = raw.where(F.col("value").startswith("@")).groupBy("path").agg(F.count("*").alias("heads"))
-    rows = raw.where(~F.col("value").startswith("@") & (F.col("value") != "")).join(heads, "path", "left")
+    """Alignments of SAM text; rec_no counts the records of a file from 0. Header and empty lines go before lines are numbered, so no line meets another in a join; casts are tried only."""
+    rows = numbered_lines(spark, [path], ~F.col("value").startswith("@") & (F.col("value") != ""))
     f = F.split("value", "\t")
     tag = F.transform(F.filter(F.slice(f, 12, 1 << 16), lambda x: F.size(F.split(x, ":", 3)) == 3), lambda x: F.struct(F.split(x, ":", 3)[0].alias("key"), F.split(x, ":", 3)[2].alias("value")))
     tags = F.map_from_entries(F.array_distinct(tag))
-    out = rows.select((F.col("line") - F.coalesce("heads", F.lit(0))).alias("rec_no"), f[0].alias("qname"), F.get(f, F.lit(1)).try_cast("int").alias("flag"), F.get(f, F.lit(4)).try_cast("int").alias("mapq"), F.get(f, F.lit(9)).alias("seq"), tags.alias("tags"))
+    out = rows.select(F.col("line").alias("rec_no"), f[0].alias("qname"), F.get(f, F.lit(1)).try_cast("int").alias("flag"), F.get(f, F.lit(4)).try_cast("int").alias("mapq"), F.get(f, F.lit(9)).alias("seq"), tags.alias("tags"))
     out = out.withColumn("nh", F.try_element_at("tags", F.lit("NH")).try_cast("int"))
     return out.where(F.col("rec_no") < max_records) if max_records else out
 
