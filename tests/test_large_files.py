@@ -1,5 +1,11 @@
 """Files of many rows: what is shuffled, written twice or read by one task."""
 
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyseq.sinks import files as sinks
 from tallyseq.sources import alignments
 
 
@@ -20,3 +26,23 @@ def test_sam_lines_meet_no_join(spark, tmp_path):
             spark.conf.set(k, v)
     assert "SortMergeJoin" not in plan and parts > 1
     assert sorted((r["rec_no"], r["qname"], r["nh"]) for r in rows) == [(i, f"q{i}", i) for i in range(2000)] and first == 3
+
+
+@pytest.mark.parametrize("root", ["", "viewfs://shelf"])
+def test_text_stands_once(spark, tmp_path, root):
+    """The parts of a file of lines are gzip, whatever their number; the file is plain, also where only Spark writes."""
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.shelf.link.{tmp_path}", f"file:{tmp_path}")
+    n, text = 20_000, "the same words in each line, and the number "
+    rows = spark.range(n, numPartitions=7).select(F.concat(F.lit(text), "id").alias("value"), (-F.col("id")).alias("k"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_lines(rows, f"{root}{tmp_path}/x.txt", "k", head="head\n")
+        sinks.write_lines(rows.limit(0), f"{root}{tmp_path}/none.txt", "k", head="head\n")
+        sinks.write_lines(rows.where("k = -5"), f"{root}{tmp_path}/one.txt")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert (tmp_path / "x.txt").read_text() == "head\n" + "".join(f"{text}{i}\n" for i in range(n - 1, -1, -1))
+    assert (tmp_path / "none.txt").read_text() == "head\n" and (tmp_path / "one.txt").read_text() == f"{text}5\n"
+    parts = [p.stat().st_size for p in (tmp_path / "x.txt.parts").glob("part-*")]
+    assert len(parts) > 1 and sum(parts) < os.path.getsize(tmp_path / "x.txt") / 3
