@@ -1,29 +1,39 @@
 """Files of many rows: what is shuffled, written twice or read by one task."""
 
 import os
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyseq.plans import roundtrips
 from tallyseq.sinks import files as sinks
 from tallyseq.sources import alignments
 
 
+@contextmanager
+def settings(spark, **given):
+    """Settings of Spark's SQL, their names after spark.sql. with two underscores for a dot."""
+    new = {f"spark.sql.{k.replace('__', '.')}": v for k, v in given.items()}
+    old = {k: spark.conf.get(k) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_sam_lines_meet_no_join(spark, tmp_path):
     """Lines of SAM text are numbered without a shuffle, however small the tables that may be broadcast; header and empty lines count nowhere."""
     line = lambda i: f"q{i}\t{i % 5}\tc1\t1\t30\t4M\t*\t0\t0\tACGT\t*\tNH:i:{i}\n"
     (tmp_path / "x.sam").write_text("@HD\tVN:1\n\n@SQ\tSN:c1\n" + "".join(line(i) + ("\n" if i % 100 == 0 else "") for i in range(2000)))
-    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes")}
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
-    try:
+    with settings(spark, autoBroadcastJoinThreshold="-1", files__maxPartitionBytes="10000"):
         df = alignments.read_sam(spark, f"{tmp_path}/x.sam")
         plan = df._jdf.queryExecution().executedPlan().toString()
         rows, first = df.collect(), alignments.read_sam(spark, f"{tmp_path}/x.sam", 3).count()
         parts = df.rdd.getNumPartitions()
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
     assert "SortMergeJoin" not in plan and parts > 1
     assert sorted((r["rec_no"], r["qname"], r["nh"]) for r in rows) == [(i, f"q{i}", i) for i in range(2000)] and first == 3
 
@@ -34,15 +44,20 @@ def test_text_stands_once(spark, tmp_path, root):
     spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.shelf.link.{tmp_path}", f"file:{tmp_path}")
     n, text = 20_000, "the same words in each line, and the number "
     rows = spark.range(n, numPartitions=7).select(F.concat(F.lit(text), "id").alias("value"), (-F.col("id")).alias("k"))
-    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
+    with settings(spark, adaptive__coalescePartitions__enabled="false"):
         sinks.write_lines(rows, f"{root}{tmp_path}/x.txt", "k", head="head\n")
         sinks.write_lines(rows.limit(0), f"{root}{tmp_path}/none.txt", "k", head="head\n")
         sinks.write_lines(rows.where("k = -5"), f"{root}{tmp_path}/one.txt")
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
     assert (tmp_path / "x.txt").read_text() == "head\n" + "".join(f"{text}{i}\n" for i in range(n - 1, -1, -1))
     assert (tmp_path / "none.txt").read_text() == "head\n" and (tmp_path / "one.txt").read_text() == f"{text}5\n"
     parts = [p.stat().st_size for p in (tmp_path / "x.txt.parts").glob("part-*")]
     assert len(parts) > 1 and sum(parts) < os.path.getsize(tmp_path / "x.txt") / 3
+
+
+def test_written_lines_are_read_by_splits(spark, tmp_path):
+    """lines_of(): several tasks read a file, and numbers run over all of its lines."""
+    (tmp_path / "x.txt").write_text("".join(f"line {i}\n" if i % 7 else "\n" for i in range(1, 3001)))
+    with settings(spark, files__maxPartitionBytes="5000"):
+        rows = roundtrips.lines_of(spark, f"{tmp_path}/x.txt").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["line_no"], r["value"]) for r in rows) == [(i, f"line {i}") for i in range(1, 3001) if i % 7]
+    assert len({r["task"] for r in rows}) > 3
