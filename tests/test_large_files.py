@@ -6,6 +6,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tallyseq.plans import roundtrips
 from tallyseq.sinks import files as sinks
 from tallyseq.sources import alignments
@@ -61,3 +62,11 @@ def test_written_lines_are_read_by_splits(spark, tmp_path):
         rows = roundtrips.lines_of(spark, f"{tmp_path}/x.txt").withColumn("task", F.spark_partition_id()).collect()
     assert sorted((r["line_no"], r["value"]) for r in rows) == [(i, f"line {i}") for i in range(1, 3001) if i % 7]
     assert len({r["task"] for r in rows}) > 3
+
+
+def test_tap_is_read_by_splits(spark):
+    """nh_debug_file: the log of all counted records is read by several tasks, none of which holds it whole."""
+    df = __spark_entry__.queries()["nh_debug_file"](spark, "/root/testdata/sf0.001")
+    with settings(spark, files__maxPartitionBytes="10000"):
+        tap = df.where("event = 'nh_tap'").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["index"] for r in tap) == list(range(len(tap))) and len({r["task"] for r in tap}) > 1
