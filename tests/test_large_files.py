@@ -70,3 +70,11 @@ def test_tap_is_read_by_splits(spark):
     with settings(spark, files__maxPartitionBytes="10000"):
         tap = df.where("event = 'nh_tap'").withColumn("task", F.spark_partition_id()).collect()
     assert sorted(r["index"] for r in tap) == list(range(len(tap))) and len({r["task"] for r in tap}) > 1
+
+
+def test_heads_meet_filters_on_numbers(spark, tmp_path):
+    """fields() of lines_of(): a join by a number may ask the lines of the head for theirs before they are left out."""
+    (tmp_path / "x.txt").write_text("name number\n" + "".join(f"n{i} {i}\n" for i in range(50)))
+    rows = roundtrips.fields(roundtrips.lines_of(spark, f"{tmp_path}/x.txt").where("line_no > 1"), " ", name="string", number="long")
+    joined = rows.join(spark.range(10).withColumnRenamed("id", "number"), "number").collect()
+    assert sorted((r["number"], r["name"]) for r in joined) == [(i, f"n{i}") for i in range(10)]
